@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,44 +109,45 @@ def sample_documents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id long, title string, body string")
 
 
-def draw(key: Column, stream: int, n: int, seed: int = 0) -> Column:
-    """A number in [0, n) that depends on key, stream and seed only.
+def draw(key: str, stream: int, n: int, seed: int = 0) -> str:
+    """SQL for a number in [0, n) that depends on key, stream and seed only.
 
     Multiplications and a square modulo a prime, in plain integer arithmetic, so
     any engine can draw the same numbers.
     """
-    x = (F.pmod(key.cast("long"), F.lit(PRIME)) * 48271 + (stream * 7919 + seed * 104729 + 1)) % PRIME
-    x = (x * x + 12345) % PRIME
-    x = (x * 69621 + stream * 16807) % PRIME
-    return F.shiftright(x, 3) % n
+    x = f"((pmod(cast({key} as bigint), {PRIME}) * 48271 + {stream * 7919 + seed * 104729 + 1}) % {PRIME})"
+    x = f"(({x} * {x} + 12345) % {PRIME})"
+    x = f"(({x} * 69621 + {stream * 16807}) % {PRIME})"
+    return f"(shiftright({x}, 3) % {n})"
 
 
-def _pick(key: Column, stream: int, values: tuple[str, ...], seed: int) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (draw(key, stream, len(values), seed) + 1).cast("int"))
+def _pick(key: str, stream: int, values: Sequence[str], seed: int) -> Column:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"element_at(array({listed}), cast({draw(key, stream, len(values), seed)} + 1 as int))")
 
 
-def _digits(key: Column, stream: int, width: int, seed: int) -> Column:
+def _digits(key: str, stream: int, width: int, seed: int) -> Column:
     """`width` random digits, leading zeros included."""
     parts, left = [], width
     while left:
         w = min(5, left)
-        parts.append(F.lpad(draw(key, stream + len(parts), 10**w, seed).cast("string"), w, "0"))
+        parts.append(f"lpad(cast({draw(key, stream + len(parts), 10**w, seed)} as string), {w}, '0')")
         left -= w
-    return F.concat(*parts)
+    return F.expr(f"concat({', '.join(parts)})")
 
 
-def _between(key: Column, stream: int, low: int, high: int, seed: int) -> Column:
-    return (draw(key, stream, high - low + 1, seed) + low).cast("string")
+def _between(key: str, stream: int, low: int, high: int, seed: int) -> Column:
+    return F.expr(f"cast({draw(key, stream, high - low + 1, seed)} + {low} as string)")
 
 
-def _slots(key: Column, seed: int) -> dict[str, Column]:
+def _slots(key: str, seed: int) -> dict[str, Column]:
     """A random value for every slot of the templates."""
 
     def number(stream, low, high):
         return _between(key, stream, low, high, seed)
 
     def date(stream):
-        month = _pick(key, stream, tuple(MONTHS["en"].split()), seed)
+        month = _pick(key, stream, MONTHS["en"].split(), seed)
         return F.concat(month, F.lit(" "), number(stream + 1, 1, 28), F.lit(", "), number(stream + 2, 1950, 2005))
 
     name = F.concat(_pick(key, 1, FIRST_NAMES, seed), F.lit(" "), _pick(key, 2, LAST_NAMES, seed))
@@ -185,14 +187,14 @@ def generate_documents(
     score 1.  Where `pii` is true (by default for seven in ten) the document has
     some.  A projection over the keys, so any number is made in parallel.
     """
-    k = quoted(key)
-    has_pii = draw(k, 36, 10, seed) < 7 if pii is None else pii
+    k, name = quoted(key), f"`{key}`"
+    has_pii = F.expr(f"{draw(name, 36, 10, seed)} < 7") if pii is None else pii
     base = keys.select(
         k,
         has_pii.alias("__pii"),
-        draw(k, 37, len(PII_TEMPLATES), seed).cast("int").alias("__template"),
-        _digits(k, 38, 5, seed).alias("__number"),
-        *(value.alias(f"__{slot}") for slot, value in _slots(k, seed).items()),
+        F.expr(draw(name, 37, len(PII_TEMPLATES), seed)).cast("int").alias("__template"),
+        _digits(name, 38, 5, seed).alias("__number"),
+        *(value.alias(f"__{slot}") for slot, value in _slots(name, seed).items()),
     )
 
     def column(kind: str, part: str) -> Column:

@@ -288,16 +288,17 @@ def list_entities(
     names = text_columns(df, keys, fields)
     if not names:
         raise ValueError("no text columns to search")
-    per_field = [
-        let(
-            text_or_null(quoted(name), policy.min_chars),
-            lambda text, name=name: F.transform(
+
+    def in_field(name: str) -> Column:
+        def located(text: Column) -> Column:
+            return F.transform(
                 F.coalesce(detect(text), spans.no_entities()),
                 lambda e: F.struct(F.lit(name).alias("field"), *(e[f].alias(f) for f in ("type", "score", "begin", "end"))),
-            ),
-        )
-        for name in names
-    ]
+            )
+
+        return let(text_or_null(quoted(name), policy.min_chars), located)
+
+    per_field = [in_field(name) for name in names]
     everything = F.concat(*per_field) if len(per_field) > 1 else per_field[0]
     # The outer explode with a null test runs the patterns once; the plain one
     # would have the optimizer repeat them in a filter it infers.
