@@ -26,6 +26,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def hold(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns that are computed once, whatever is filtered afterwards.
+
+    The optimizer moves a filter on a projected column below the projection and
+    computes the column there a second time, which for a search through every
+    text doubles the job.  It does not move filters below a generator, so the
+    values pass through one that yields exactly one row.
+    """
+    values = F.struct(*(value.alias(name) for name, value in columns.items()))
+    return df.select("*", F.inline_outer(F.array(values)))
+
+
 def text_columns(df: DataFrame, key: str | Sequence[str] = (), fields: Sequence[str] | None = None) -> list[str]:
     """Names of the columns that may hold text, in column order.
 

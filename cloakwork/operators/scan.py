@@ -16,6 +16,7 @@ from cloakwork.functions import spans
 from cloakwork.functions.language import detect_language
 from cloakwork.functions.text import (
     combine_text,
+    hold,
     is_text,
     let,
     quoted,
@@ -102,11 +103,9 @@ def _scan(
         return changed if only is None else F.when(only, changed).otherwise(old)
 
     held = {name: f"__matches_{i}" for i, name in enumerate(names)}
-    out = df.withColumns({column: matches(name) for name, column in held.items()})
-    all_types = (
-        F.concat(*(types(F.col(column)) for column in held.values())) if held else spans.no_strings()
-    )
-    out = out.withColumn("__types", all_types)
+    out = hold(df, {column: matches(name) for name, column in held.items()}) if held else df
+    all_types = F.concat(spans.no_strings(), *(types(F.col(column)) for column in held.values()))
+    out = hold(out, {"__types": all_types})
 
     redacting = any(policy.redacts for _, policy in variants)
     stamp = scan_time(scanned_at)
@@ -184,7 +183,7 @@ def scan_multilingual(
     policy = policy or Policy()
     names = text_columns(df, key, fields)
     combined = combine_text(names, policy.min_chars)
-    spoken = df.withColumn("pii_language", detect_language(combined, language_chars))
+    spoken = hold(df.drop("pii_language"), {"pii_language": detect_language(combined, language_chars)})
     others = [
         (F.col("pii_language") == language, policy.with_options(language=language))
         for language in LANGUAGES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,15 +86,15 @@ class VersionedTable:
         self.root = root.rstrip("/")
 
     def version(self) -> int | None:
-        if not self.exists():
+        """The current version; None before the first."""
+        try:
+            log = self.spark.read.schema("version long").parquet(f"{self.root}/versions")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        log = self.spark.read.schema("version long").parquet(f"{self.root}/versions")
         return log.agg(F.max("version")).first()[0]
 
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def read(self) -> DataFrame:
         version = self.version()
         if version is None:
