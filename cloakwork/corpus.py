@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans
-from cloakwork.functions.text import quoted
+from cloakwork.functions.text import hold, quoted
 from cloakwork.operators.scan import detect_pii
 from cloakwork.policy import Policy
 from cloakwork.rules import FIRST_NAMES, MONTHS
@@ -189,12 +189,15 @@ def generate_documents(
     """
     k, name = quoted(key), f"`{key}`"
     has_pii = F.expr(f"{draw(name, 36, 10, seed)} < 7") if pii is None else pii
-    base = keys.select(
-        k,
-        has_pii.alias("__pii"),
-        F.expr(draw(name, 37, len(PII_TEMPLATES), seed)).cast("int").alias("__template"),
-        _digits(name, 38, 5, seed).alias("__number"),
-        *(value.alias(f"__{slot}") for slot, value in _slots(name, seed).items()),
+    # Held: a filter on a document must not bring its whole making along.
+    base = hold(
+        keys.select(k),
+        {
+            "__pii": has_pii,
+            "__template": F.expr(draw(name, 37, len(PII_TEMPLATES), seed)).cast("int"),
+            "__number": _digits(name, 38, 5, seed),
+            **{f"__{slot}": value for slot, value in _slots(name, seed).items()},
+        },
     )
 
     def column(kind: str, part: str) -> Column:
@@ -219,20 +222,23 @@ def generate_documents(
             before = end
         return F.array(*entities).cast(f"array<{spans.ENTITY_TYPE}>")
 
-    def choose(value, pii_value, clean_value) -> Column:
+    def choose(pii_value, clean_value) -> Column:
         out = None
         for flag, templates, make in ((True, PII_TEMPLATES, pii_value), (False, CLEAN_TEMPLATES, clean_value)):
             for i, template in enumerate(templates):
                 test = (F.col("__pii") == F.lit(flag)) & (F.col("__template") == i)
                 out = F.when(test, make(template)) if out is None else out.when(test, make(template))
-        return out.alias(value)
-
-    return base.select(
-        k,
-        choose("title", lambda t: F.concat(F.lit(f"{t[0]} #"), F.col("__number")), lambda t: F.lit(t[0])),
-        choose("body", lambda t: body(t[1]), lambda t: body(t[1])),
-        choose("truth", lambda t: truth(t[1]), lambda t: spans.no_entities()),
+        return out
+
+    documents = hold(
+        base,
+        {
+            "title": choose(lambda t: F.concat(F.lit(f"{t[0]} #"), F.col("__number")), lambda t: F.lit(t[0])),
+            "body": choose(lambda t: body(t[1]), lambda t: body(t[1])),
+            "truth": choose(lambda t: truth(t[1]), lambda t: spans.no_entities()),
+        },
     )
+    return documents.select(k, "title", "body", "truth")
 
 
 def generate_corpus(spark: SparkSession, n: int = 1000, pii: int = 700, seed: int = 0) -> DataFrame:
