@@ -39,10 +39,10 @@ def stream_raw_documents(
     spark: SparkSession, directory: str, *, files_per_batch: int | None = None, skip_json: bool = True
 ) -> DataFrame:
     """Files that are not JSON as they land, each one document ``source_key, body``."""
-    stream = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
+    stream = spark.readStream.option("recursiveFileLookup", True)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    files = stream.text(directory).select(
+    files = stream.text(directory, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_key"), F.col("value").alias("body")
     )
     return files.where(~F.col("source_key").endswith(".json")) if skip_json else files
