@@ -45,6 +45,39 @@ def _with_pattern(text: Column, rules: Sequence[Rule], use: Callable[[str], Colu
     return found.otherwise(use(joined_pattern(without))) if without else found
 
 
+SUM_BLOCK = 64
+
+
+def running_sum(numbers: Column) -> Column:
+    """The sum of the first n numbers, for every n.
+
+    A fold that appends to an array copies the array at every step.  Here blocks
+    are summed first and each number then added to the few before it in its block.
+    """
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+    def in_blocks(blocks: Column) -> Column:
+        def sums(totals: Column) -> Column:
+            def one(block: Column, j: Column) -> Column:
+                def after(before: Column) -> Column:
+                    return F.transform(block, lambda x, i: before + total(F.slice(block, 1, i + 1)))
+
+                return let(total(F.slice(totals, 1, j)), after)
+
+            return F.flatten(F.transform(blocks, one))
+
+        return let(F.transform(blocks, total), sums)
+
+    def split_up(numbers: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / SUM_BLOCK).cast("int"))
+        blocks = F.transform(starts, lambda j: F.slice(numbers, j * SUM_BLOCK + 1, SUM_BLOCK))
+        return F.when(F.size(numbers) > 0, let(blocks, in_blocks)).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers, split_up)
+
+
 def contains_match(text: Column, rules: Sequence[Rule]) -> Column:
     """True when any rule matches anywhere."""
     if not rules:
@@ -150,28 +183,22 @@ def find_entities(text: Column, rules: Sequence[Rule]) -> Column:
     if not rules:
         return no_entities()
 
-    def step(acc: Column, pair: Column) -> Column:
-        match, cue = pair["match"], _cue(pair["match"], rules)
-        begin = acc["pos"] + F.length(pair["piece"])
-        end = begin + F.length(match)
-        entity = F.struct(
+    def entity(match: Column, end: Column) -> Column:
+        cue = _cue(match, rules)
+        begin = end - F.length(match)
+        return F.struct(
             _type(match, rules).alias("type"),
             _score(match, rules).alias("score"),
             (begin if cue is None else begin + F.length(cue)).alias("begin"),
             end.alias("end"),
         ).cast(ENTITY_TYPE)
-        return F.struct(end.alias("pos"), F.concat(acc["found"], F.array(entity)).alias("found"))
 
     def located(matches: Column) -> Column:
         # The last piece has no match behind it.
-        pairs = F.zip_with(
-            F.slice(_pieces(text, rules), 1, F.size(matches)),
-            matches,
-            lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")),
-        )
-        start = F.struct(F.lit(0).alias("pos"), no_entities().alias("found"))
-        entities = F.aggregate(pairs, start, step, lambda acc: acc["found"])
-        return F.when(F.size(matches) > 0, entities).otherwise(no_entities())
+        pieces = F.slice(_pieces(text, rules), 1, F.size(matches))
+        lengths = F.zip_with(pieces, matches, lambda piece, match: F.length(piece) + F.length(match))
+        found = let(running_sum(lengths), lambda ends: F.zip_with(matches, ends, entity))
+        return F.when(F.size(matches) > 0, found).otherwise(no_entities())
 
     return let(find_matches(text, rules), located)
 
@@ -196,11 +223,34 @@ def redact_spans(text: Column, entities: Column) -> Column:
 
     Spans are taken by falling begin offset, equal begins in list order, and each
     is cut from the text as the earlier ones left it.  Overlaps are therefore not
-    resolved, as the callers of this rule expect.
+    resolved, as the callers of this rule expect.  Lists without overlaps, the
+    usual kind, are put together from the pieces between the spans instead, which
+    gives the same text without copying it for every span.
     """
-    ordered = F.array_sort(entities, lambda left, right: right["begin"] - left["begin"])
-    spliced = F.aggregate(
-        ordered,
+    ordered = F.array_sort(entities, lambda left, right: left["begin"] - right["begin"])
+
+    def either(spans: Column) -> Column:
+        def separate(size: Column) -> Column:
+            # Each span lies behind the one before it, and all begin inside the text.
+            fits = F.zip_with(
+                spans,
+                F.slice(spans, 2, F.size(spans)),
+                lambda a, b: (a["begin"] >= 0)
+                & (a["end"] >= a["begin"])
+                & (a["begin"] <= size)
+                & F.coalesce((b["begin"] > a["begin"]) & (b["begin"] >= a["end"]), b.isNull()),
+            )
+            return F.forall(fits, lambda ok: F.coalesce(ok, F.lit(False)))
+
+        whole = let(F.length(text), separate)
+        return F.when(whole, _join_pieces(text, spans)).otherwise(_splice(text, entities))
+
+    return F.when(F.size(entities) > 0, let(ordered, either)).otherwise(text)
+
+
+def _splice(text: Column, entities: Column) -> Column:
+    return F.aggregate(
+        F.array_sort(entities, lambda left, right: right["begin"] - left["begin"]),
         text,
         lambda t, e: F.concat(
             F.substring(t, F.lit(1), e["begin"]),
@@ -210,4 +260,36 @@ def redact_spans(text: Column, entities: Column) -> Column:
             F.substring(t, e["end"] + 1, F.length(t)),
         ),
     )
-    return F.when(F.size(entities) > 0, spliced).otherwise(text)
+
+
+BLOCK_CHARS = 1024
+
+
+def _join_pieces(text: Column, spans: Column) -> Column:
+    """The text with separate spans, sorted, replaced.
+
+    Counting to the n-th character of a text walks over all before it, so the
+    text is first cut into blocks and a piece taken from the blocks it lies in.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+    def piece(blocks: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / BLOCK_CHARS).cast("int")
+        count = F.floor(end / BLOCK_CHARS).cast("int") - first + 1
+        held = F.array_join(F.slice(blocks, first + 1, count), "")
+        return F.substring(held, begin - first * BLOCK_CHARS + 1, F.greatest(end - begin, F.lit(0)))
+
+    def joined(held: Column) -> Column:
+        blocks, size = held["blocks"], held["size"]
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda e: F.least(e["end"], size)))
+        pieces = F.zip_with(
+            ends,
+            spans,
+            lambda end, e: F.concat(
+                piece(blocks, end, F.coalesce(e["begin"], size)),
+                F.when(e.isNull(), "").otherwise(F.concat(F.lit("["), e["type"], F.lit("]"))),
+            ),
+        )
+        return F.array_join(pieces, "")
+
+    return let(F.struct(blocks.alias("blocks"), F.length(text).alias("size")), joined)

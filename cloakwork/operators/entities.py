@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans
-from cloakwork.functions.text import quoted, text_columns, text_or_null
+from cloakwork.functions.text import let, quoted, text_columns, text_or_null
 from cloakwork.operators.scan import scan_time
 from cloakwork.policy import Policy
 from cloakwork.rules import EDGE_BEFORE
@@ -133,28 +133,16 @@ def name_entities(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     hits = candidates.join(known, ["name", "salt"], "left_semi")
-    # A pair is dropped when the pair starting one word earlier was taken; in a
-    # run of overlapping pairs that is every second one.
-    packed = hits.groupBy(quoted(key), "field").agg(
-        F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("pairs")
-    )
-    start = F.array().cast("array<struct<begin:int,end:int>>")
-    taken = F.aggregate(
-        "pairs",
-        start,
-        lambda acc, p: F.when(
-            (F.size(acc) == 0) | (p["begin"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(p))
-        ).otherwise(acc),
-    )
+    # Pairs that share a word form runs; of a run every second pair is taken.
+    in_text = Window.partitionBy(quoted(key), "field").orderBy("begin")
+    parted = F.col("begin") >= F.lag("end").over(in_text)
+    runs = hits.withColumn("parted", parted.cast("int")).withColumn("run", F.sum("parted").over(in_text))
+    place = F.row_number().over(Window.partitionBy(quoted(key), "field", "run").orderBy("begin"))
     return (
-        packed.select(quoted(key), "field", F.explode(taken).alias("p"))
+        runs.withColumn("place", place)
+        .where(F.col("place") % 2 == 1)
         .select(
-            quoted(key),
-            "field",
-            F.lit("NAME").alias("type"),
-            F.lit(score).alias("score"),
-            F.col("p.begin").alias("begin"),
-            F.col("p.end").alias("end"),
+            quoted(key), "field", F.lit("NAME").alias("type"), F.lit(score).alias("score"), "begin", "end"
         )
     )
 
@@ -162,25 +150,30 @@ def name_entities(
 def _word_pairs(text: Column) -> Column:
     """Neighbouring capitalised words as ``struct<first,begin,end>``."""
     word = EDGE_BEFORE + "[A-Z][a-z]+(?![0-9A-Za-z_])"
-    words = F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    gaps = F.split(text, word, -1)
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["gap"])
-        end = begin + F.length(x["word"])
-        here = F.struct(
-            x["word"].alias("word"), x["gap"].alias("gap"), begin.alias("begin"), end.alias("end")
-        ).cast("struct<word:string,gap:string,begin:int,end:int>")
-        return F.struct(end.alias("pos"), F.concat(acc["found"], F.array(here)).alias("found"))
-
-    zipped = F.zip_with(
-        F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.struct(g.alias("gap"), w.alias("word"))
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"), F.split(text, word, -1).alias("gaps")
     )
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<word:string,gap:string,begin:int,end:int>>").alias("found"),
-    )
-    located = F.aggregate(zipped, start, step, lambda acc: acc["found"])
+
+    def located(found: Column) -> Column:
+        gaps = F.slice(found["gaps"], 1, F.size(found["words"]))
+        lengths = F.zip_with(gaps, found["words"], lambda gap, word: F.length(gap) + F.length(word))
+        named = F.zip_with(gaps, found["words"], lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+        placed = F.zip_with(
+            named,
+            spans.running_sum(lengths),
+            lambda x, end: F.struct(
+                x["word"].alias("word"),
+                x["gap"].alias("gap"),
+                (end - F.length(x["word"])).alias("begin"),
+                end.alias("end"),
+            ),
+        )
+        return let(placed, _neighbours)
+
+    return F.when(text.isNotNull(), let(found, located))
+
+
+def _neighbours(located: Column) -> Column:
     pairs = F.zip_with(
         located,
         F.slice(located, 2, F.greatest(F.size(located) - 1, F.lit(0))),
@@ -189,4 +182,4 @@ def _word_pairs(text: Column) -> Column:
             F.struct(a["word"].alias("first"), a["begin"].alias("begin"), b["end"].alias("end")),
         ),
     )
-    return F.when(F.size(words) > 1, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.filter(pairs, lambda p: p.isNotNull())

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.text import quoted
-from cloakwork.operators.filters import unscanned, within_cap
+from cloakwork.operators.filters import cap_documents, unscanned, within_cap
 from cloakwork.operators.reports import coverage, run_summary, type_breakdown, view_flagged
 from cloakwork.operators.scan import scan_documents
 from cloakwork.policy import Policy
-from cloakwork.sinks.tables import VersionedTable, append_documents, overwrite_partitions
+from cloakwork.sinks.tables import METADATA_SCHEMA, VersionedTable, append_documents, overwrite_partitions
 from cloakwork.sources.documents import read_json_documents
 
 # Bounds of one scheduled run.
@@ -23,8 +23,6 @@ SCHEDULED_BATCH = 25
 
 def with_metadata(df: DataFrame) -> DataFrame:
     """`df` with null metadata columns where it has none: nothing is scanned yet."""
-    from cloakwork.sinks.tables import METADATA_SCHEMA
-
     return df.withColumns(
         {f.name: F.lit(None).cast(f.dataType) for f in METADATA_SCHEMA.fields if f.name not in df.columns}
     )
@@ -67,14 +65,17 @@ def scan_unscanned(
     before = table.read()
     if unscanned(before).isEmpty():
         return run_summary(before.limit(0))
-    due = unscanned(before)
-    if max_docs:
-        due = due.where(within_cap(due, max_docs, key))
-    keys = [key] if isinstance(key, str) else list(key)
-    ids = due.select(*(quoted(k) for k in keys))
     after = table.write(scan_pending(before, policy, max_docs, key=key, scanned_at=scanned_at))
-    # Over the rows as written: only ids and flags are read.
-    return run_summary(after.select(*(quoted(k) for k in keys), "pii_flag").join(ids, keys, "left_semi"))
+    return _gained(before, after)
+
+
+def _gained(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Documents scanned and flagged between two states; reads only flags."""
+
+    def grown(name: str) -> Column:
+        return (F.col(name) - coverage(before).select(name).scalar()).alias(name)
+
+    return coverage(after).select(grown("scanned"), grown("flagged"))
 
 
 def scan_unscanned_partitions(
@@ -82,6 +83,7 @@ def scan_unscanned_partitions(
     path: str,
     partition_by: str,
     policy: Policy | None = None,
+    max_docs: int | None = None,
     *,
     key: str | Sequence[str] = "doc_id",
     scanned_at=None,
@@ -91,12 +93,15 @@ def scan_unscanned_partitions(
     Returns how many partitions were rewritten.
     """
     table = spark.read.parquet(path)
-    # One value per partition directory; the scan for it reads only the flag.
-    due = [r[0] for r in unscanned(table).select(quoted(partition_by)).distinct().collect()]
-    if due:
-        touched = table.where(quoted(partition_by).isin(*due))
-        overwrite_partitions(scan_pending(touched, policy, key=key, scanned_at=scanned_at), path, [partition_by])
-    return len(due)
+    due = cap_documents(unscanned(table), max_docs, key)
+    # One value per partition directory; finding them reads keys and flags only.
+    values = [r[0] for r in due.select(quoted(partition_by)).distinct().collect()]
+    if values:
+        # Holds every document due, so the cap falls on the same ones again.
+        touched = table.where(quoted(partition_by).isin(*values))
+        scanned = scan_pending(touched, policy, max_docs, key=key, scanned_at=scanned_at)
+        overwrite_partitions(scanned, path, [partition_by])
+    return len(values)
 
 
 def scheduled_scan(

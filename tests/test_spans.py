@@ -54,6 +54,27 @@ def test_redact_spans_equals_a_plain_splice_on_random_input(spark):
     assert redacted(spark, cases) == [splice(t, e) for t, e in cases]
 
 
+def test_redact_spans_without_overlaps_over_many_blocks(spark):
+    rng = random.Random(8)
+    cases = []
+    for size in (0, 1, 1023, 1024, 1025, 2048, 5000):
+        text = "".join(rng.choice("ab é漢😀\n") for _ in range(size))
+        cuts = sorted(rng.sample(range(size + 1), min(size + 1, 40) // 2 * 2))
+        cases.append((text, [("NAME", 0.9, b, e) for b, e in zip(cuts[::2], cuts[1::2])]))
+        cases.append((text, [("SSN", 0.9, size, size + 3)]))
+        cases.append((text, [("SSN", 0.9, 0, size)]))
+    assert redacted(spark, cases) == [splice(t, e) for t, e in cases]
+
+
+def test_many_spans_in_one_text(spark):
+    text, n = "a@b.co " * 20_000, 20_000
+    df = spark.createDataFrame([(text,)], "t string")
+    found = df.select("t", spans.find_entities(F.col("t"), Policy().rules()).alias("e")).cache()
+    last = found.select(F.size("e"), F.element_at("e", -1)["end"]).first()
+    assert tuple(last) == (n, len(text) - 1)
+    assert found.select(spans.redact_spans(F.col("t"), F.col("e"))).first()[0] == "[EMAIL] " * n
+
+
 def test_filter_entities(spark):
     ents = [("NAME", 0.99, 0, 10), ("NAME", 0.3, 15, 20), ("IP_ADDRESS", 0.99, 25, 35), ("SSN", 0.7, 1, 2)]
     df = spark.createDataFrame([(ents,)], f"e {ENTITIES}")

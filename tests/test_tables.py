@@ -246,6 +246,14 @@ def test_only_partitions_with_unscanned_documents_are_rewritten(spark, tmp_path)
     assert scan_unscanned_partitions(spark, path, "day") == 0
 
 
+def test_a_capped_scan_in_place_touches_the_partitions_of_its_documents(spark, tmp_path):
+    path = str(tmp_path / "index")
+    halves = with_metadata(text_table(spark)).withColumn("day", F.floor(F.col("doc_id") / 20).cast("string"))
+    halves.write.partitionBy("day").parquet(path)
+    assert scan_unscanned_partitions(spark, path, "day", max_docs=25) == 2
+    assert sorted(ids(filters.scanned(spark.read.parquet(path)))) == list(range(25))
+
+
 def test_coverage_report(spark, tmp_path):
     store = VersionedTable(spark, str(tmp_path / "index"))
     store.write(with_metadata(text_table(spark)))
