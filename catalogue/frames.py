@@ -87,6 +87,18 @@ def metadata(df: DataFrame, *extra: str) -> DataFrame:
     return df.select("doc_id", *extra, "pii_flag", "pii_count", joined("pii_types"))
 
 
+def state(df: DataFrame, *extra: str) -> DataFrame:
+    """Metadata of a table some of whose documents are unscanned, without nulls."""
+    columns = [
+        F.coalesce(F.col("pii_flag").cast("string"), F.lit("unscanned")).alias("pii_flag"),
+        F.coalesce("pii_count", F.lit(-1)).alias("pii_count"),
+        F.coalesce(F.array_join("pii_types", ","), F.lit("")).alias("pii_types"),
+    ]
+    if "pii_scan_status" in df.columns:
+        columns.append(F.coalesce("pii_scan_status", F.lit("none")).alias("pii_scan_status"))
+    return df.select("doc_id", *extra, *columns)
+
+
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document with known content for every order."""
     keys = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
@@ -264,7 +276,8 @@ def replace_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def update_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumn("source", F.lit("labelled"))
     changed = keyed.update_by_id(docs(spark, sf_dir), labels)
-    return changed.select("doc_id", "text", "lang", "source", "quality", "toxic")
+    known = (F.coalesce(c, F.lit(-1)).alias(c) for c in ("quality", "toxic"))
+    return changed.select("doc_id", "text", "lang", "source", *known)
 
 
 @query
@@ -276,14 +289,15 @@ def latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mark_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = keyed.mark_in_progress(docs(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return marked.select("doc_id", "pii_scan_status")
+    return marked.select("doc_id", F.coalesce("pii_scan_status", F.lit("none")).alias("pii_scan_status"))
 
 
 @query
 def mark_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = keyed.mark_in_progress(docs(spark, sf_dir), table(spark, sf_dir, "labels"))
     done = table(spark, sf_dir, "labels").where("quality = 1")
-    return keyed.mark_complete(started, done).select("doc_id", "pii_scan_status")
+    marked = keyed.mark_complete(started, done)
+    return marked.select("doc_id", F.coalesce("pii_scan_status", F.lit("none")).alias("pii_scan_status"))
 
 
 @query
@@ -719,7 +733,7 @@ def scan_unscanned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scheduled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir)
     scans.scheduled_scan(store, Policy())
-    return metadata(store.read(), "text")
+    return state(store.read().drop("pii_scan_status"), "text")
 
 
 @query
@@ -743,7 +757,7 @@ def run_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.VersionedTable(spark, fresh_dir(spark, "index"))
     store.write(scans.with_metadata(docs(spark, sf_dir)))
     done = batch.run_batch(store, Policy(), max_docs=None)
-    return metadata(done, "text", "pii_scan_status")
+    return state(done, "text")
 
 
 @query
@@ -759,7 +773,7 @@ def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers.select(F.concat("doc_id", F.lit(".jsonl")).alias("File"), "Entities").write.json(path)
     output = detector_output.read_detector_output(spark, path, glob="*.json")
     target = scans.with_metadata(docs(spark, sf_dir))
-    return metadata(batch.import_results(target, output), "pii_scan_status")
+    return state(batch.import_results(target, output))
 
 
 @query

@@ -280,6 +280,15 @@ def meta(*extra: str) -> str:
     return META.format(extra="".join(f"{e}, " for e in extra))
 
 
+def state(is_scanned: str) -> str:
+    """Metadata where documents may be unscanned, without nulls."""
+    return (
+        f"CASE WHEN {is_scanned} THEN CAST(pii_flag AS VARCHAR) ELSE 'unscanned' END AS pii_flag, "
+        f"CASE WHEN {is_scanned} THEN pii_count ELSE -1 END AS pii_count, "
+        f"CASE WHEN {is_scanned} THEN pii_types ELSE '' END AS pii_types"
+    )
+
+
 def words(column: str) -> str:
     return f"regexp_split_to_array(lower({column}), '[^\\p{{L}}]+')"
 
@@ -421,18 +430,18 @@ def statements() -> dict[str, str]:
         ),
         "update_by_id": (
             "SELECT d.doc_id, text, lang, CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE source END AS source, "
-            "quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+            "coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
         ),
         "latest_by_id": (
             "SELECT conv_id, turn, role, text FROM conversations "
             "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"
         ),
         "mark_in_progress": (
-            "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'in_progress' END AS pii_scan_status "
+            "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'in_progress' ELSE 'none' END AS pii_scan_status "
             "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
         ),
         "mark_complete": (
-            "SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'complete' WHEN l.doc_id IS NOT NULL THEN 'in_progress' END "
+            "SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'complete' WHEN l.doc_id IS NOT NULL THEN 'in_progress' ELSE 'none' END "
             "AS pii_scan_status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
         ),
         "export_lines": (
@@ -604,9 +613,7 @@ def statements() -> dict[str, str]:
         ),
         "scheduled_scan": (
             f"SELECT doc_id, CASE WHEN due THEN {red} ELSE text END AS text, "
-            "CASE WHEN lang <> 'en' OR due THEN pii_flag END AS pii_flag, "
-            "CASE WHEN lang <> 'en' OR due THEN pii_count END AS pii_count, "
-            "CASE WHEN lang <> 'en' OR due THEN pii_types END AS pii_types FROM ("
+            f"{state("lang <> 'en' OR due")} FROM ("
             "SELECT *, lang = 'en' AND row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 250 AS due "
             f"FROM {SCANNED})"
         ),
@@ -615,13 +622,12 @@ def statements() -> dict[str, str]:
         ),
         "process_file": f"SELECT doc_id, {redacted_pair}, pii_flag, pii_count, pii_types FROM {file_scan}",
         "run_batch": (
-            f"SELECT doc_id, text, CASE WHEN {is_long('text')} THEN pii_flag END AS pii_flag, "
-            f"CASE WHEN {is_long('text')} THEN pii_count END AS pii_count, "
-            f"CASE WHEN {is_long('text')} THEN pii_types END AS pii_types, "
-            f"CASE WHEN {is_long('text')} THEN 'complete' END AS pii_scan_status FROM {SCANNED}"
+            f"SELECT doc_id, text, {state(is_long('text'))}, "
+            f"CASE WHEN {is_long('text')} THEN 'complete' ELSE 'none' END AS pii_scan_status FROM {SCANNED}"
         ),
         "import_results": (
-            "SELECT d.doc_id, pii_flag, pii_count, pii_types, CASE WHEN l.doc_id IS NOT NULL THEN 'complete' END AS pii_scan_status "
+            f"SELECT d.doc_id, {state('l.doc_id IS NOT NULL')}, "
+            "CASE WHEN l.doc_id IS NOT NULL THEN 'complete' ELSE 'none' END AS pii_scan_status "
             f"FROM documents d LEFT JOIN (SELECT doc_id, {label_meta} FROM labels) l ON d.doc_id = l.doc_id"
         ),
         "coverage_report": (

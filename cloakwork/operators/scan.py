@@ -159,12 +159,35 @@ def scan_by_policy(
 ) -> DataFrame:
     """Scan with the policy a column's value asks for, in one pass.
 
-    Values without a policy of their own get `default`.
+    Values without a policy of their own get `default`.  Values with equal
+    policies share one branch of the plan.
     """
-    variants = [(F.coalesce(quoted(column) == F.lit(v), F.lit(False)), p) for v, p in policies.items()]
+    values: dict[Policy, list] = {}
+    for value, policy in policies.items():
+        values.setdefault(policy, []).append(value)
+    variants = [
+        (F.coalesce(quoted(column).isin(*same), F.lit(False)), policy) for policy, same in values.items()
+    ]
     return _scan(df, [*variants, (None, default or Policy())], key, fields, scanned_at, None)
 
 
+# Each policy of a table becomes a branch of the plan, so the table is bounded.
+MAX_TABLE_POLICIES = 1_000
+
+
+def policies_from(rows: DataFrame, column: str) -> dict[object, Policy]:
+    """Policies kept as a table: one row per value of `column`.
+
+    Other columns are named after `Policy` fields (``types, threshold, mode,
+    min_chars, language``); absent ones and nulls take the defaults.
+    """
+    known = [c for c in ("types", "threshold", "mode", "min_chars", "language") if c in rows.columns]
+    taken = rows.select(quoted(column).alias("__value"), *known).take(MAX_TABLE_POLICIES + 1)
+    if len(taken) > MAX_TABLE_POLICIES:
+        raise ValueError(f"more than {MAX_TABLE_POLICIES} policies; give groups of values one policy each")
+    return {r["__value"]: Policy(**{c: r[c] for c in known if r[c] is not None}) for r in taken}
+
+
 def scan_multilingual(
     df: DataFrame,
     policy: Policy | None = None,

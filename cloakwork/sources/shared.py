@@ -21,9 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="cloakwork-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cloakwork-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

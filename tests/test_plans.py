@@ -120,3 +120,33 @@ def test_a_policy_leaves_unwanted_patterns_out_of_the_plan(docs):
     text = plan(scan_documents(docs, Policy(types=["SSN"])))
     assert "@" not in text.split("FileScan")[0]
     assert spans.find_matches(F.col("x"), ()) is not None
+
+
+def test_filters_and_columns_pass_a_scan(docs):
+    some = scan_documents(docs, Policy(mode="FLAG"), fields=["body"]).where("lang = 'de'").select("doc_id", "pii_flag")
+    text = plan(some)
+    assert "EqualTo(lang,de)" in text
+    assert "source" not in text.split("FileScan")[1].split("]")[0]
+
+
+def test_policies_of_one_kind_share_a_branch(docs):
+    same = {f"l{i}": Policy(types=["SSN"]) for i in range(50)}
+    text = plan(scan_by_policy(docs, "lang", same, Policy(types=["PHONE"]), fields=["body"]))
+    assert text.count("regexp_extract_all(body") == 2
+
+
+def test_streams_keep_no_state(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    logical = scan_documents(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" not in logical and "Join" not in logical
+
+
+def test_shared_folder_is_the_named_one(spark):
+    from cloakwork.sources.shared import ensure_checkpoint_dir, fresh_dir, shared_dir
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == named.rstrip("/")
+    assert fresh_dir(spark, "x").startswith(f"{named}/x-") and fresh_dir(spark, "x") != fresh_dir(spark, "x")
+    ensure_checkpoint_dir(spark)
+    assert named in spark.sparkContext.getCheckpointDir()

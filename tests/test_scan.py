@@ -12,6 +12,7 @@ from cloakwork.operators.scan import (
     contains_pii,
     detected_entities,
     explain_entities,
+    policies_from,
     scan_by_policy,
     scan_documents,
     scan_multilingual,
@@ -259,6 +260,15 @@ def test_policies_by_column(spark):
     }
 
 
+def test_policies_kept_as_a_table(spark):
+    rows = spark.createDataFrame(
+        [("x", ["EMAIL"], None), ("y", None, "FLAG")], "desk string, types array<string>, mode string"
+    )
+    assert policies_from(rows, "desk") == {"x": Policy(types=["EMAIL"]), "y": Policy(mode="FLAG")}
+    with pytest.raises(ValueError, match="more than"):
+        policies_from(spark.range(2000).selectExpr("id as desk"), "desk")
+
+
 @pytest.mark.parametrize(
     "language, text, expected",
     [
