@@ -40,7 +40,7 @@ from cloakwork.sources.shared import fresh_dir, spread
 from cloakwork.streaming import stream_new_documents, stream_scan, stream_table, stream_to_index
 from cloakwork.streaming.index import stream_dual_write
 
-SCANNED_AT = "2025-05-15 01:30:00"
+SCANNED_AT = "2025-05-15T01:30:00Z"
 # The e-mail, phone and card rules cover the personal data in `documents`.
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

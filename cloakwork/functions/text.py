@@ -102,6 +102,11 @@ def clean_utf8(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(restored)
 
 
+def in_utc(ts: Column) -> Column:
+    """A time as the UTC wall clock shows it, whatever the session's zone."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
 def scanned_at_text(ts: Column) -> Column:
-    """A scan time as JSON exports write it."""
-    return F.date_format(ts, SCANNED_AT_FORMAT)
+    """A scan time as JSON exports write it, in UTC."""
+    return F.date_format(in_utc(ts), SCANNED_AT_FORMAT)

@@ -10,8 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cloakwork.functions.text import combine_text, quoted, tail_chars, text_columns, truncate_text
+from cloakwork.functions.text import combine_text, in_utc, quoted, tail_chars, text_columns, truncate_text
 from cloakwork.operators.filters import flagged, high_risk, preview
 from cloakwork.operators.scan import contains_pii
 from cloakwork.policy import Policy
@@ -54,10 +55,13 @@ def status_breakdown(df: DataFrame) -> DataFrame:
 
 
 def scanned_per_day(df: DataFrame, ts: str = "pii_scanned_at", fill_gaps: bool = False) -> DataFrame:
-    """Documents scanned per day; with `fill_gaps`, days without any show zero."""
+    """Documents scanned per UTC day; with `fill_gaps`, days without any show zero."""
+    # A time without a zone is taken as it is.
+    zoned = isinstance(df.schema[ts].dataType, T.TimestampType)
+    day = F.to_date(in_utc(quoted(ts)) if zoned else quoted(ts))
     daily = (
         df.where(quoted(ts).isNotNull())
-        .groupBy(F.to_date(quoted(ts)).alias("day"))
+        .groupBy(day.alias("day"))
         .agg(F.count("*").alias("docs"))
     )
     if not fill_gaps:
@@ -174,5 +178,5 @@ def audit_rows(
         "pii_count",
         "pii_scanned_at",
         tail.cast("long").alias("tail_chars"),
-        F.to_date("pii_scanned_at").alias("scan_date"),
+        F.to_date(in_utc(F.col("pii_scanned_at"))).alias("scan_date"),
     )

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from cloakwork.functions.text import scanned_at_text
 from cloakwork.operators import entities, filters, keyed, reports
 from cloakwork.operators.scan import detected_entities, scan_documents
 from cloakwork.plans.scans import (
@@ -69,6 +70,18 @@ def test_reports(table):
     assert ids(reports.top_risk(table)) == [2, 1, 5]
 
 
+def test_days_and_stamps_are_utc_in_any_session(spark):
+    df = spark.createDataFrame([(1, "Write to a@b.org, please, today.")], "doc_id long, body string")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        done = scan_documents(df, scanned_at="2025-05-15T01:30:00Z")
+        assert done.select(scanned_at_text(F.col("pii_scanned_at"))).first()[0] == "2025-05-15T01:30:00Z"
+        assert str(reports.scanned_per_day(done).first().day) == "2025-05-15"
+        assert str(reports.audit_rows(done).first().scan_date) == "2025-05-15"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_reports_of_an_empty_table(table):
     empty = table.limit(0)
     assert tuple(reports.coverage(empty).first()) == (0, 0, 0)
