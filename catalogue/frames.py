@@ -224,7 +224,7 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out = write_json_files(spark, sf_dir), fresh_dir(spark, "stream")
     stream = stream_new_documents(spark, path, FILE_SCHEMA, prefix="part-", suffix=".txt")
     running = stream_dual_write(
-        stream.select("doc_id", "title", "body"), f"{out}/restricted", f"{out}/shared", f"{out}/checkpoint"
+        stream, f"{out}/restricted", f"{out}/shared", f"{out}/checkpoint"
     )
     running.awaitTermination()
     return metadata(spark.read.parquet(f"{out}/shared"), "title", "body")

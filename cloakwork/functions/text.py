@@ -94,7 +94,7 @@ def clean_utf8(raw: Column) -> Column:
     after; U+FDD0, a code point reserved for internal use, leads the escape and
     is itself escaped.
     """
-    esc, mark = "﷐", "�"
+    esc, mark = "\ufdd0", "\ufffd"
     text = raw.cast("string")
     escaped = F.replace(F.replace(text, F.lit(esc), F.lit(esc + "0")), F.lit(mark), F.lit(esc + "1"))
     valid = F.replace(F.make_valid_utf8(escaped), F.lit(mark), F.lit(""))

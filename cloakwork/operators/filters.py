@@ -36,11 +36,16 @@ def flagged(df: DataFrame) -> DataFrame:
     return df.where(F.col("pii_flag"))
 
 
-def awaiting_export(df: DataFrame) -> DataFrame:
-    """Unscanned documents that are not already out with a batch detector."""
+def is_awaiting_export(df: DataFrame) -> Column:
+    """True for unscanned documents that are not already out with a batch detector."""
+    due = F.col("pii_flag").isNull()
     if "pii_scan_status" not in df.columns:
-        return unscanned(df)
-    return unscanned(df).where(F.coalesce(F.col("pii_scan_status") != IN_PROGRESS, F.lit(True)))
+        return due
+    return due & F.coalesce(F.col("pii_scan_status") != IN_PROGRESS, F.lit(True))
+
+
+def awaiting_export(df: DataFrame) -> DataFrame:
+    return df.where(is_awaiting_export(df))
 
 
 def _literals(values: Sequence[str]) -> Column:

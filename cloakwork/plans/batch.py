@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans
-from cloakwork.functions.text import quoted, text_columns
+from cloakwork.functions.text import is_text, quoted, text_columns
 from cloakwork.operators.entities import metadata_from_lists
-from cloakwork.operators.filters import COMPLETE, awaiting_export, cap_documents
-from cloakwork.operators.keyed import latest_by_id, mark_in_progress, update_by_id
+from cloakwork.operators.filters import COMPLETE, IN_PROGRESS, is_awaiting_export, within_cap
+from cloakwork.operators.keyed import latest_by_id, update_by_id
 from cloakwork.policy import Policy
 from cloakwork.sinks.exports import LINE_SCHEMA, export_jsonl
 from cloakwork.sinks.tables import VersionedTable
@@ -20,14 +20,24 @@ from cloakwork.sources.shared import fresh_dir
 BATCH_DOCUMENTS = 10_000
 
 
-def documents_to_export(
+def to_export(
     df: DataFrame, max_docs: int | None = BATCH_DOCUMENTS, *, key: str = "doc_id", min_chars: int = 20
-) -> DataFrame:
-    """Documents a batch run takes: unscanned, not out already, and with text."""
+) -> Column:
+    """True for the documents a batch run takes.
+
+    Those that are unscanned, not out already, and have text; at most `max_docs`.
+    """
     has_text = F.lit(False)
     for name in text_columns(df, key):
-        has_text = has_text | F.coalesce(F.length(quoted(name)) > min_chars, F.lit(False))
-    return cap_documents(awaiting_export(df).where(has_text), max_docs, key)
+        has_text = has_text | is_text(quoted(name), min_chars)
+    due = is_awaiting_export(df) & has_text
+    return due & within_cap(df.where(due), max_docs, key) if max_docs else due
+
+
+def documents_to_export(
+    df: DataFrame, max_docs: int | None = BATCH_DOCUMENTS, *, key: str = "doc_id", min_chars: int = 20
+) -> DataFrame:
+    return df.where(to_export(df, max_docs, key=key, min_chars=min_chars))
 
 
 def detect_lines(lines: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -82,18 +92,21 @@ def run_batch(
     """Export, detect and import in one job; the table's new rows, or None.
 
     Each step leaves files the next one reads, so a detector of one's own can
-    take the place of `detect_lines`.
+    take the place of `detect_lines`.  The table must have ``pii_scan_status``
+    (`scans.with_metadata`).
     """
     spark: SparkSession = table.spark
     policy = policy or Policy()
     work = work_dir or fresh_dir(spark, "batch")
-    due = documents_to_export(table.read(), max_docs, key=key, min_chars=policy.min_chars)
-    export_jsonl(due, f"{work}/input", key=key, min_chars=policy.min_chars, max_chars=max_chars)
+    start = table.read()
+    due = to_export(start, max_docs, key=key, min_chars=policy.min_chars)
+    export_jsonl(start.where(due), f"{work}/input", key=key, min_chars=policy.min_chars, max_chars=max_chars)
     lines = spark.read.schema(LINE_SCHEMA).json(f"{work}/input")
     if lines.isEmpty():
         return None
-    exported = lines.select(F.col("id").try_cast(table.read().schema[key].dataType).alias(key))
-    table.write(mark_in_progress(table.read(), exported, key))
+    # The rows exported are known by condition, so marking them joins nothing.
+    status = F.when(due, F.lit(IN_PROGRESS)).otherwise(F.col("pii_scan_status"))
+    table.write(start.withColumn("pii_scan_status", status))
     detect_lines(lines, policy).write.json(f"{work}/output")
     output = read_detector_output(spark, f"{work}/output", glob="*.json")
     return table.write(import_results(table.read(), output, policy, key=key, scanned_at=scanned_at))

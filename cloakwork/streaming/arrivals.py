@@ -18,11 +18,12 @@ def stream_new_documents(
     prefix: str = "",
     suffix: str = ".json",
     files_per_batch: int | None = None,
+    source_column: str | None = None,
 ) -> DataFrame:
     """JSON files as they land, an object or an array each.
 
-    Only names that begin with `prefix` and end with `suffix` are read.  Adds
-    ``source_key``, the file a document came from.
+    Only names that begin with `prefix` and end with `suffix` are read.
+    `source_column` names a column to add for the file a document came from.
     """
     stream = (
         spark.readStream.schema(schema)
@@ -32,7 +33,10 @@ def stream_new_documents(
     )
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    return stream.json(directory).withColumn("source_key", F.col("_metadata.file_path"))
+    documents = stream.json(directory)
+    if source_column is None:
+        return documents
+    return documents.withColumn(source_column, F.col("_metadata.file_path"))
 
 
 def stream_raw_documents(
@@ -61,8 +65,8 @@ def stream_table(
 def stream_scan(stream: DataFrame, policy: Policy | None = None, *, key: str = "doc_id") -> DataFrame:
     """A stream of documents with the scan applied.
 
-    The scan is a projection, so the stream keeps no state.  ``source_key`` is
-    scanned like other text unless it is the key; the scan time is the
-    micro-batch's.
+    The scan is a projection, so the stream keeps no state.  The ``source_key`` of
+    raw documents is scanned like other text unless it is the key; the scan time
+    is the micro-batch's.
     """
     return scan_documents(stream, policy, key=key)

@@ -133,7 +133,7 @@ def test_stream_reads_new_files_once(spark, folder, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
 
     def arrive():
-        stream = stream_new_documents(spark, str(folder), SCHEMA, files_per_batch=1)
+        stream = stream_new_documents(spark, str(folder), SCHEMA, files_per_batch=1, source_column="source_key")
         run(stream_to_index(stream_scan(stream, key="source_key"), out, checkpoint))
         return {r.title: r.body for r in spark.read.parquet(out).collect()}, spark.read.parquet(out).count()
 
@@ -147,7 +147,7 @@ def test_stream_reads_new_files_once(spark, folder, tmp_path):
 def test_stream_takes_names_by_prefix_and_suffix(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     stream = stream_new_documents(spark, str(folder), SCHEMA, prefix="tw")
-    run(stream_to_index(stream_scan(stream, key="source_key"), out, str(tmp_path / "cp")))
+    run(stream_to_index(stream_scan(stream), out, str(tmp_path / "cp")))
     assert {r.title for r in spark.read.parquet(out).collect()} == {"Two", "Three"}
 
 
@@ -162,7 +162,7 @@ def test_stream_of_raw_files(spark, folder, tmp_path):
 
 def test_stream_to_routes(spark, folder, tmp_path):
     out = str(tmp_path / "out")
-    stream = stream_scan(stream_new_documents(spark, str(folder), SCHEMA), key="source_key")
+    stream = stream_scan(stream_new_documents(spark, str(folder), SCHEMA))
     run(stream_to_routes(stream, out, str(tmp_path / "cp"), sensitive=["EMAIL"]))
     routes = {r.title: r.route for r in spark.read.parquet(out).collect()}
     assert routes == {"One": "restricted", "Two": "standard", "Three": "open"}
@@ -173,7 +173,7 @@ def test_stream_dual_write_with_summary(spark, folder, tmp_path):
     paths = {n: str(tmp_path / n) for n in ("restricted", "shared", "cp", "summary")}
     run(
         stream_dual_write(
-            stream, paths["restricted"], paths["shared"], paths["cp"], key="source_key", summary=paths["summary"]
+            stream, paths["restricted"], paths["shared"], paths["cp"], summary=paths["summary"]
         )
     )
     assert spark.read.parquet(paths["restricted"]).where("body like '%@%'").count() == 1
