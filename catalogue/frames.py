@@ -133,9 +133,8 @@ def write_json_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def label_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two outside entities for every label, scored by what the label says."""
-    labels = table(spark, sf_dir, "labels")
 
     def one(kind: str, score: Column, begin: int, end: int) -> Column:
         return F.struct(
@@ -146,7 +145,13 @@ def label_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("NAME", 0.5 + 0.4 * F.col("quality"), 0, 10),
         one("SSN", 0.4 + 0.5 * F.col("toxic"), 20, 25),
     )
-    return labels.select("doc_id", F.lit("text").alias("field"), F.inline(both))
+    return table(spark, sf_dir, "labels").select("doc_id", both.alias("entities"))
+
+
+def label_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rows."""
+    answers = label_answers(spark, sf_dir)
+    return answers.select("doc_id", F.lit("text").alias("field"), F.inline("entities"))
 
 
 def as_lines(entities: str | Column) -> Column:
@@ -514,9 +519,7 @@ def name_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def filter_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outside entities against a stricter policy, and labels likewise."""
-    rows = label_entities(spark, sf_dir).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("type", "score", "begin", "end"))).alias("entities")
-    )
+    rows = label_answers(spark, sf_dir)
     kept = spans.filter_entities(F.col("entities"), ["SSN", "EMAIL"], 0.9)
     named = F.transform("entities", lambda e: F.struct(e["type"].alias("name"), e["score"].alias("score")))
     return rows.select(
@@ -763,19 +766,32 @@ def run_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "detector-output")
-    one = F.struct(
-        F.col("type").alias("Type"),
-        F.col("score").alias("Score"),
-        F.col("begin").alias("BeginOffset"),
-        F.col("end").alias("EndOffset"),
+    answers = label_answers(spark, sf_dir).select(
+        F.concat("doc_id", F.lit(".jsonl")).alias("File"),
+        F.transform(
+            "entities",
+            lambda e: F.struct(
+                e["type"].alias("Type"),
+                e["score"].alias("Score"),
+                e["begin"].alias("BeginOffset"),
+                e["end"].alias("EndOffset"),
+            ),
+        ).alias("Entities"),
     )
-    answers = label_entities(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(one).alias("Entities"))
-    answers.select(F.concat("doc_id", F.lit(".jsonl")).alias("File"), "Entities").write.json(path)
+    answers.write.json(path)
     output = detector_output.read_detector_output(spark, path, glob="*.json")
     target = scans.with_metadata(docs(spark, sf_dir))
     return state(batch.import_results(target, output))
 
 
+@query
+def import_results_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a batch detector applied to the text they were made on."""
+    output = label_answers(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "entities")
+    target = scans.with_metadata(docs(spark, sf_dir).select("doc_id", "text"))
+    return state(batch.import_results(target, output, redact_field="text"), "text")
+
+
 @query
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = scans.coverage_report(_store(spark, sf_dir))

@@ -365,9 +365,14 @@ def presets() -> str:
     return " UNION ALL ".join(arms)
 
 
-def redacted_labels() -> str:
+def label_text() -> str:
+    """A document's text with the two outside entities its label accepts replaced."""
     toxic = "CASE WHEN coalesce(l.toxic, 0) = 1 THEN substr(text, 1, 20) || '[SSN]' || substr(text, 26) ELSE text END"
-    name = f"CASE WHEN coalesce(l.quality, 0) = 1 THEN '[NAME]' || substr({toxic}, 11) ELSE {toxic} END"
+    return f"CASE WHEN coalesce(l.quality, 0) = 1 THEN '[NAME]' || substr({toxic}, 11) ELSE {toxic} END"
+
+
+def redacted_labels() -> str:
+    name = label_text()
     n = "(coalesce(l.quality, 0) + coalesce(l.toxic, 0))"
     return (
         f"SELECT d.doc_id, CASE WHEN length(text) > 20 THEN {name} ELSE text END AS text, "
@@ -630,6 +635,11 @@ def statements() -> dict[str, str]:
             "CASE WHEN l.doc_id IS NOT NULL THEN 'complete' ELSE 'none' END AS pii_scan_status "
             f"FROM documents d LEFT JOIN (SELECT doc_id, {label_meta} FROM labels) l ON d.doc_id = l.doc_id"
         ),
+        "import_results_redacted": (
+            f"SELECT d.doc_id, {label_text()} AS text, {state('l.doc_id IS NOT NULL')}, "
+            "CASE WHEN l.doc_id IS NOT NULL THEN 'complete' ELSE 'none' END AS pii_scan_status "
+            f"FROM documents d LEFT JOIN (SELECT doc_id, quality, toxic, {label_meta} FROM labels) l ON d.doc_id = l.doc_id"
+        ),
         "coverage_report": (
             "SELECT count(*) AS total, count(pii_flag) AS scanned, count(*) FILTER (WHERE pii_flag) AS flagged, "
             f"'before' AS stage FROM {PARTLY} UNION ALL "

@@ -61,22 +61,32 @@ def import_results(
     policy: Policy | None = None,
     *,
     key: str = "doc_id",
+    redact_field: str | None = None,
     scanned_at=None,
 ) -> DataFrame:
     """The target with metadata from detector output; text stays as it is.
 
     `output` has ``id, entities`` (`read_detector_output`).  Updated rows get
-    status ``complete``; ids the target lacks are ignored.
+    status ``complete``; ids the target lacks are ignored.  `redact_field` names
+    the field the lines were made of, when that was one field alone and whole:
+    offsets then fit it, and it is redacted too.
     """
     policy = policy or Policy()
     found = metadata_from_lists(F.col("entities"), policy, scanned_at)
     key_type = target.schema[key].dataType
+    if redact_field is not None:
+        found["__entities"] = spans.filter_entities(F.col("entities"), policy.accepted_types(), policy.threshold)
     updates = output.select(
         F.col("id").try_cast(key_type).alias(key),
         *(column.alias(name) for name, column in found.items()),
         F.lit(COMPLETE).alias("pii_scan_status"),
     ).where(quoted(key).isNotNull())
-    return update_by_id(target, latest_by_id(updates, key), key)
+    done = update_by_id(target, latest_by_id(updates, key), key)
+    if redact_field is None:
+        return done
+    old, entities = quoted(redact_field), F.col("__entities")
+    new = F.when(entities.isNotNull(), spans.redact_spans(old, entities)).otherwise(old)
+    return done.withColumn(redact_field, new).drop("__entities")
 
 
 def run_batch(
