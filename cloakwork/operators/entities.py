@@ -14,6 +14,10 @@ from cloakwork.policy import Policy
 from cloakwork.rules import EDGE_BEFORE
 
 
+# Name tables up to this many bytes are sent to every executor.
+MAX_BROADCAST_BYTES = 8_000_000
+
+
 def accepts(policy: Policy) -> Column:
     """Whether an entity row has a wanted type and enough score."""
     ok = F.col("type").isin(*policy.accepted_types()) & (F.col("score") >= policy.threshold)
@@ -100,15 +104,18 @@ def name_entities(
     score: float = 0.9,
     min_chars: int = Policy.min_chars,
     salts: int = 16,
+    broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """NAME entities by joining word pairs with a name table, for lists of any size.
 
     Emits every capitalised word followed by another one as a candidate, with its
-    offsets, and keeps those whose first word is in ``names.name``.  A frequent
-    first word is spread over `salts` tasks; the name table is repeated that often
-    unless Spark finds it small enough to broadcast.  Candidates that share a word
-    are resolved from the left, as the NAME rule does.
+    offsets, and keeps those whose first word is in ``names.name``.  Lists of up to
+    `broadcast_bytes`, measured first, go to every executor.  Longer ones are
+    shuffled, and a frequent first word is then spread over `salts` tasks.
+    Candidates that share a word are resolved from the left, as the NAME rule does.
     """
+    known = names.select("name").distinct()
+    size = known.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
     per_field = []
     for field in text_columns(docs, key, fields):
         per_field.append(
@@ -127,15 +134,18 @@ def name_entities(
         F.col("c.first").alias("name"),
         F.col("c.begin").alias("begin"),
         F.col("c.end").alias("end"),
-        F.pmod(F.xxhash64(quoted(key), "c.begin"), F.lit(salts)).cast("int").alias("salt"),
     )
-    known = names.select("name").distinct().withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    hits = candidates.join(known, ["name", "salt"], "left_semi")
+    if size <= broadcast_bytes:
+        hits = candidates.join(F.broadcast(known), "name", "left_semi")
+    else:
+        salt = F.pmod(F.xxhash64(quoted(key), "begin"), F.lit(salts)).cast("int")
+        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        hits = candidates.withColumn("salt", salt).join(
+            known.withColumn("salt", every_salt), ["name", "salt"], "left_semi"
+        )
     # Pairs that share a word form runs; of a run every second pair is taken.
     in_text = Window.partitionBy(quoted(key), "field").orderBy("begin")
-    parted = F.col("begin") >= F.lag("end").over(in_text)
+    parted = F.coalesce(F.col("begin") >= F.lag("end").over(in_text), F.lit(True))
     runs = hits.withColumn("parted", parted.cast("int")).withColumn("run", F.sum("parted").over(in_text))
     place = F.row_number().over(Window.partitionBy(quoted(key), "field", "run").orderBy("begin"))
     return (

@@ -122,7 +122,7 @@ def within_cap(df: DataFrame, max_docs: int, key: str | Sequence[str] = "doc_id"
     else:
         last = _nth_key(ids, max_docs)
     # A scalar subquery: one value, found before the documents are read.
-    return F.coalesce(ordered <= last.scalar(), F.lit(False))
+    return ordered <= last.scalar()
 
 
 def _nth_key(ids: DataFrame, n: int) -> DataFrame:

@@ -183,20 +183,24 @@ def test_names_by_join_equal_names_by_rule(spark):
     made = generate_corpus(spark, 300, 250).select("doc_id", "body")
     tricky = spark.createDataFrame(
         [(1000, "Customer Robert Johnson met Thomas Thomas Martin and James Mary Robert Paul Jones, O Mary Lee"),
+         (1002, "Thomas Thomas Martin was here"), (1003, "James Mary Robert Paul Jones Mary Thomas Lee, and so on"),
          (1001, "é漢😀 John Smith\nMary  Lee, Paul X and Paul xy. Mark Mc Donald JohnSmith")],
         "doc_id long, body string",
     )
     docs = made.unionByName(tricky)
     names = spark.createDataFrame([(n,) for n in FIRST_NAMES], "name string")
-    by_join = {tuple(r) for r in entities.name_entities(docs, names).collect()}
     by_rule = {tuple(r) for r in detected_entities(docs, Policy(types=["NAME"])).collect()}
-    assert by_join == by_rule and len(by_rule) > 250
+    assert len(by_rule) > 250
+    # Broadcast, and shuffled with salts.
+    for most in (10**6, 0):
+        by_join = entities.name_entities(docs, names, broadcast_bytes=most)
+        assert {tuple(r) for r in by_join.collect()} == by_rule
 
 
 def test_names_by_join_with_one_name_everywhere(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("It was John Smith again, they said").alias("body"))
     names = spark.createDataFrame([("John",)], "name string")
-    assert entities.name_entities(docs, names).count() == 3000
+    assert entities.name_entities(docs, names, broadcast_bytes=0).count() == 3000
 
 
 def test_versioned_table(spark, tmp_path, table):
