@@ -93,9 +93,22 @@ def find_matches(text: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(found, no_strings())
 
 
+# Stands for a match while the pieces around it are cut out; reserved for internal
+# use by Unicode, and texts that hold it all the same are cut with the pattern.
+MARK = "\ufdd0"
+
+
 def _pieces(text: Column, rules: Sequence[Rule]) -> Column:
-    """The text between the matches: one piece more than there are matches."""
-    return _with_pattern(text, rules, lambda p: F.split(text, p, -1))
+    """The text between the matches: one piece more than there are matches.
+
+    `split` compiles its pattern for every row, `regexp_replace` once.
+    """
+
+    def cut(pattern: str) -> Column:
+        marked = F.regexp_replace(text, F.lit(pattern), F.lit(MARK))
+        return F.when(F.contains(text, F.lit(MARK)), F.split(text, pattern, -1)).otherwise(F.split(marked, MARK, -1))
+
+    return _with_pattern(text, rules, cut)
 
 
 def _by_rule(match: Column, rules: Sequence[Rule], value: Callable[[Rule], Column]) -> Column:
