@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import chat
+from cloakwork.llm import bpe, chat, main_text, packing, secret_scan
 from cloakwork.llm.shared import read
 
 OWN_CONVERSATION = (-1, "<|im_end|><|im_start|>assistant ok")
@@ -59,8 +60,62 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
+
+
+def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and the ids decoded again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, VOCABULARY, PATTERN)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secrets of all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        sha(secret_scan.digest(base)).alias("base_sha256"),
+        secret_scan.digest(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op4_bpe_chunks": op4_bpe_chunks,
+    "op6_html_main_text": op6_html_main_text,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import cloakwork
 from cloakwork.sources.shared import fresh_dir
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Add this package's place to the path of Python workers, for where it isn't installed."""
+    root = str(Path(cloakwork.__file__).resolve().parent.parent)
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (path, root)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
