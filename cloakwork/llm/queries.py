@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import bpe, chat, main_text, packing, secret_scan
+from cloakwork.llm import bpe, chat, main_text, packing, secret_scan, toxicity
 from cloakwork.llm.shared import read
 
 OWN_CONVERSATION = (-1, "<|im_end|><|im_start|>assistant ok")
@@ -18,6 +18,11 @@ def sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def in_fold(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether the checksum of the id as text has this remainder; a null id is in none."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, read back from their training text."""
     conv_id, text = OWN_CONVERSATION
@@ -77,6 +82,16 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored, by labels of four folds of five."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scorer = toxicity.fit(docs, labels.where(~in_fold("doc_id", 5, 0)))
+    return toxicity.score(docs, scorer).select(
+        "doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -113,6 +128,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op4_bpe_chunks": op4_bpe_chunks,
+    "op5_toxicity": op5_toxicity,
     "op6_html_main_text": op6_html_main_text,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
