@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import bpe, chat, main_text, packing, secret_scan, toxicity
+from cloakwork.llm import bpe, chat, language, main_text, packing, secret_scan, toxicity
 from cloakwork.llm.shared import read
 
 OWN_CONVERSATION = (-1, "<|im_end|><|im_start|>assistant ok")
@@ -65,6 +65,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three folds of four."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold("doc_id", 4, 2)
+    net = language.fit(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "label_share"
+    )
+
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
@@ -127,6 +137,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_language_id": op2_language_id,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_toxicity": op5_toxicity,
     "op6_html_main_text": op6_html_main_text,
