@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import bpe, chat, language, main_text, packing, secret_scan, toxicity
+from cloakwork.llm import bpe, chat, language, main_text, order_minhash, packing, secret_scan, toxicity
 from cloakwork.llm.shared import read
 
 OWN_CONVERSATION = (-1, "<|im_end|><|im_start|>assistant ok")
@@ -110,6 +110,12 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their class of near copies."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -141,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_toxicity": op5_toxicity,
     "op6_html_main_text": op6_html_main_text,
+    "op7_order_minhash": op7_order_minhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
