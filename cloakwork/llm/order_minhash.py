@@ -2,21 +2,22 @@
 
 A text is its words in lower case.  Its k-mers are shingles of five words, labelled with
 the number of the occurrence, so that each is unique in its text.  Each of `SKETCHES`
-hash functions picks the two k-mers it maps lowest, and a sketch holds them in the order
-they have in the text; sketches agree for texts that are alike in edits, not only in
-words.  Texts whose sketches agree in a whole band are candidates.
+hash functions picks the `PICKED` k-mers it maps lowest, and a sketch holds them in the
+order they have in the text; sketches agree for texts that are alike in edits, not only
+in words.  Texts that agree in a sketch are candidates, if the lowest k-mers of
+`AGREEING` functions are the same, as they are in texts that edits have left alike.
 
-Two texts are similar when their best alignment has at least `THRESHOLD` times as many
-matched k-mers as it has columns, m / (n1 + n2 - m).  The alignment of labelled k-mers
-is the longest increasing run of matched positions; only matches within the band that
-the threshold leaves are looked at.
+Two texts are similar when an alignment of their words needs at most
+`(1 - THRESHOLD) * max(n1, n2)` edits.  It runs along the k-mers that both have, within
+the band that so many edits leave, and aligns the words between them.  At a shingle
+similarity of 0.8 or more texts are similar; so they are when single words were edited
+here and there, which few shingles survive.
 
 Texts with the same words form one node from the start.  The members of a bucket are
 not paired with each other: in some rounds each is aligned with one of them, and what
 that links is one component.  Then the pairs of a bucket that are in different components
-and whose sketches agree in at least `AGREEING` places are aligned, block by block, so no
-candidate pair that could join two components is left out.  The classes are the
-components.
+are looked at, block by block, so no candidate pair that could join two components is
+left out.  The classes are the components.
 
 Defined results: texts without words are the same only if they are equal and not empty;
 null and empty texts are alone; a text of fewer than five words is one k-mer; repeated
@@ -33,16 +34,17 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
 from cloakwork.llm.shared import free_name, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCHES, ROWS_PER_BAND = 32, 2
-#: Of 32 sketches of texts with similarity 0.8 some 20 agree; fewer than 8 in one pair of a million.
-AGREEING = 8
+SKETCHES, PICKED = 32, 3
+#: Of the lowest k-mers of 32 functions, texts that share 45 of 100 k-mers agree in some 14,
+#: and in fewer than 5 once in ten thousand times.
+AGREEING = 5
 HUB_ROUNDS = 2
 #: Members of a bucket that are paired at once.
 BLOCK = 1_000
@@ -90,9 +92,9 @@ def word_hashes(words: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def labelled_kmers(words: bytes, k: int = SHINGLE) -> np.ndarray:
-    """Hashes of the k-mers in text order, each with the number of its occurrence."""
-    hashes = word_hashes(words)
+def labelled(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Hashes of the k-mers of words in text order, each with the number of its occurrence."""
+    hashes = hashes.astype(np.uint64)
     if not len(hashes):
         return hashes
     n = max(1, len(hashes) - k + 1)
@@ -116,92 +118,152 @@ _FACTORS = _RANDOM.integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.ui
 _OFFSETS = _RANDOM.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
-def sketches(kmers: np.ndarray) -> np.ndarray:
-    """For each hash function the two lowest k-mers, hashed in the order of the text."""
+def sketches(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash function the lowest k-mers, hashed in the order of the text, and the lowest one."""
     values, places = [], []
     rows = np.arange(SKETCHES)
     for at in range(0, len(kmers), KMERS_AT_ONCE):
         v = kmers[at : at + KMERS_AT_ONCE] * _FACTORS[:, None] + _OFFSETS[:, None]
-        for _ in range(min(2, v.shape[1])):
+        for _ in range(min(PICKED, v.shape[1])):
             lowest = v.argmin(axis=1)
             values.append(v[rows, lowest])
             places.append(lowest + at)
             v[rows, lowest] = np.uint64(0xFFFFFFFFFFFFFFFF)
     value, place = np.stack(values, axis=1), np.stack(places, axis=1)
-    two = np.argsort(value, axis=1, kind="stable")[:, :2]
-    chosen = np.sort(np.take_along_axis(place, two, axis=1), axis=1)
-    out = np.zeros(SKETCHES, np.uint64)
-    for j in range(chosen.shape[1]):
-        out = mixed(out * _ODD + kmers[chosen[:, j]])
-    return out
-
-
-def bands(sketch: np.ndarray) -> np.ndarray:
-    grouped = sketch.reshape(-1, ROWS_PER_BAND)
-    out = np.arange(1, len(grouped) + 1, dtype=np.uint64)
-    for j in range(ROWS_PER_BAND):
-        out = mixed(out * _ODD + grouped[:, j])
-    return out
-
-
-def alignment(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> int:
-    """Matched k-mers of the best alignment within the band, if they can reach the threshold, else 0."""
-    total = len(x) + len(y)
-    # m / (total - m) >= threshold
-    need = int(np.ceil(threshold * total / (1 + threshold) - 1e-9))
-    if min(len(x), len(y)) < max(1, need):
-        return 0
-    _, at_x, at_y = np.intersect1d(x, y, return_indices=True)
-    inside = np.abs(at_x - at_y) <= total - 2 * need
-    at_x, at_y = at_x[inside], at_y[inside]
-    if len(at_x) < need:
-        return 0
-    path = at_y[np.argsort(at_x)]
+    picked = np.take_along_axis(place, np.argsort(value, axis=1, kind="stable")[:, :PICKED], axis=1)
+    in_order = np.sort(picked, axis=1)
+    out = np.arange(1, SKETCHES + 1, dtype=np.uint64)
+    for j in range(in_order.shape[1]):
+        out = mixed(out * _ODD + kmers[in_order[:, j]])
+    return out, kmers[picked[:, 0]]
+
+
+def _increasing(path: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing run."""
     if (np.diff(path) > 0).all():
-        return len(path)
-    tails: list[int] = []
-    for place in path.tolist():
-        k = bisect_left(tails, place)
+        return np.arange(len(path))
+    tails, ends, before = [], [], np.empty(len(path), np.int64)
+    for i, value in enumerate(path.tolist()):
+        k = bisect_left(tails, value)
+        before[i] = ends[k - 1] if k else -1
         if k == len(tails):
-            tails.append(place)
+            tails.append(value)
+            ends.append(i)
+        else:
+            tails[k], ends[k] = value, i
+    out, i = [], ends[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1])
+
+
+def _edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Edit distance of two stretches of words, or more than `most`; rows of the band."""
+    if abs(len(x) - len(y)) > most:
+        return most + 1
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, word in enumerate(x):
+        low, high = max(0, i + 1 - most), min(len(y), i + 1 + most)
+        new = np.full(len(y) + 1, most + 1)
+        inside = place[low : high + 1]
+        step = row[low : high + 1] + 1
+        if low:
+            step = np.minimum(step, row[low - 1 : high] + (y[low - 1 : high] != word))
         else:
-            tails[k] = place
-    return len(tails) if len(tails) >= need else 0
+            step[1:] = np.minimum(step[1:], row[:high] + (y[:high] != word))
+        # What comes from the left: the least of the earlier ones, and a step for each place.
+        new[low : high + 1] = np.minimum.accumulate(step - inside) + inside
+        row = np.minimum(new, most + 1)
+    return int(row[-1])
+
+
+def edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Edits of the alignment of word sequences along their common k-mers, or more than `most`."""
+    if abs(len(x) - len(y)) > most:
+        return most + 1
+    kmers = [labelled(words) for words in (x, y)]
+    _, at_x, at_y = np.intersect1d(*kmers, return_indices=True)
+    inside = np.abs(at_x - at_y) <= most
+    at_x, at_y = at_x[inside], at_y[inside]
+    if not len(at_x):
+        return most + 1
+    order = np.argsort(at_x)
+    at_x, at_y = at_x[order], at_y[order]
+    chain = _increasing(at_y)
+    at_x, at_y = at_x[chain], at_y[chain]
+    # Runs of k-mers on one diagonal match all their words; a run begins after the words of the one before.
+    first = np.flatnonzero(np.diff(at_x - at_y, prepend=at_x[0] - at_y[0] - 1))
+    k = min(SHINGLE, len(x), len(y))
+    gaps, end_x, end_y = [], 0, 0
+    # On one diagonal, k-mers may be apart as well.
+    begins = np.unique(np.concatenate([first, np.flatnonzero(np.diff(at_x, prepend=at_x[0]) > k)]))
+    for i, until in zip(begins.tolist(), (np.append(begins[1:], len(at_x)) - 1).tolist()):
+        skip = max(0, end_x - int(at_x[i]), end_y - int(at_y[i]))
+        start_x, start_y = int(at_x[i]) + skip, int(at_y[i]) + skip
+        if start_x > int(at_x[until]) + k:
+            continue
+        gaps.append((end_x, start_x, end_y, start_y))
+        end_x, end_y = int(at_x[until]) + k, int(at_y[until]) + k
+    gaps.append((end_x, len(x), end_y, len(y)))
+    wide = [(b - a, d - c) for a, b, c, d in gaps]
+    upper, lower = sum(max(g) for g in wide), sum(abs(g[0] - g[1]) for g in wide)
+    if upper <= most or lower > most:
+        return upper if upper <= most else most + 1
+    # The stretches one after the other, each with what the others leave.
+    total = lower
+    for (a, b, c, d), (m, n) in zip(gaps, wide):
+        own = abs(m - n)
+        total += _edits(x[a:b], y[c:d], most - total + own) - own
+        if total > most:
+            return most + 1
+    return total
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    m = alignment(x, y, threshold)
-    return m > 0 and m >= threshold * (len(x) + len(y) - m) - 1e-9
+    most = int((1 - threshold) * max(len(x), len(y)) + 1e-9)
+    return edits(x, y, most) <= most
 
 
 def _summaries(texts: pa.Array) -> pa.Array:
-    """Node key, number of k-mers, sketches and bands; no key for empty texts, no bands without words."""
+    """Key of the words, their number, sketches and lowest k-mers; no key for empty texts, no sketches without words."""
     rows = []
     for text in texts.to_pylist():
         words = normal_form(text)
         if not words:
             key = hashlib.md5(b"\x00" + text.encode("utf-8", "replace")).digest() if text else None
-            rows.append({"key": key, "n": 0, "sketch": None, "bands": None})
+            rows.append({"key": key, "n": 0, "lowest": None, "buckets": None})
             continue
-        kmers = labelled_kmers(words)
-        sketch = sketches(kmers)
+        hashes = word_hashes(words)
+        sketch, lowest = sketches(labelled(hashes))
         rows.append(
             {
                 "key": hashlib.md5(words).digest(),
-                "n": len(kmers),
-                "sketch": (sketch & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                "bands": bands(sketch).view(np.int64).tolist(),
+                "n": len(hashes),
+                "lowest": (lowest & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                "buckets": sketch.view(np.int64).tolist(),
             }
         )
     return pa.array(
         rows,
-        pa.struct([("key", pa.binary()), ("n", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]),
+        pa.struct([("key", pa.binary()), ("n", pa.int32()), ("lowest", pa.binary()), ("buckets", pa.list_(pa.int64()))]),
     )
 
 
-def _kmer_bytes(texts: pa.Array) -> pa.Array:
+def _word_bytes(texts: pa.Array) -> pa.Array:
     return pa.array(
-        [(labelled_kmers(normal_form(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in texts.to_pylist()], pa.binary()
+        [(word_hashes(normal_form(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in texts.to_pylist()], pa.binary()
+    )
+
+
+def _agreeing_lowest(x: pa.Array, y: pa.Array) -> pa.Array:
+    return pa.array(
+        [
+            int((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).sum()) >= AGREEING
+            for a, b in zip(x.to_pylist(), y.to_pylist())
+        ],
+        pa.bool_(),
     )
 
 
@@ -219,14 +281,14 @@ def _aligned(threshold: float):
 
 
 def _agreeing(threshold: float):
-    """Pairs of a block's members that differ in component, agree in sketches and could be similar in length."""
+    """Pairs of a block's members that differ in component, agree in lowest k-mers and could be similar in length."""
 
     def agreeing(groups: pa.Array, same_block: pa.Array) -> pa.Array:
         out = []
         for members, same in zip(groups.to_pylist(), same_block.to_pylist()):
-            sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "<u4").reshape(len(members), -1)
+            lowest = np.frombuffer(b"".join(m["lowest"] for m in members), "<u4").reshape(len(members), -1)
             n = np.array([m["n"] for m in members])
-            label = np.unique([m["component"] for m in members], return_inverse=True)[1]
+            label = np.array([m["component"] for m in members])
             side = np.array([m["side"] for m in members])
             pairs = []
             for i in range(len(members) - 1):
@@ -234,77 +296,84 @@ def _agreeing(threshold: float):
                 fits = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)
                 if not same:
                     fits &= side[rest] != side[i]
-                for j in np.flatnonzero(fits) + i + 1:
-                    if (sketch[i] == sketch[j]).sum() >= AGREEING:
-                        a, b = sorted((members[i]["key"], members[j]["key"]))
-                        pairs.append({"a": a, "b": b})
+                at = np.flatnonzero(fits) + i + 1
+                for j in at[(lowest[at] == lowest[i]).sum(axis=1) >= AGREEING].tolist():
+                    a, b = sorted((members[i]["node"], members[j]["node"]))
+                    pairs.append({"a": a, "b": b})
             out.append(pairs)
-        return pa.array(out, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
-    return F.arrow_udf(agreeing, "array<struct<a:binary,b:binary>>")
+    return F.arrow_udf(agreeing, "array<struct<a:bigint,b:bigint>>")
 
 
-def _similar_pairs(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
-    x = kmers.select(F.col("key").alias("a"), F.col("kmers").alias("x"))
-    y = kmers.select(F.col("key").alias("b"), F.col("kmers").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(_aligned(threshold)("x", "y")).select("a", "b")
+def _both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """The pairs with a column of either node as x and y."""
+    x = nodes.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = nodes.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b")
 
 
 def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return members.withColumn("component", F.col("key"))
-    known = labels.select(F.col("node").alias("key"), "component")
-    return members.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        return members.withColumn("component", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _several(placed: DataFrame, *more: Column) -> DataFrame:
+    """Buckets that hold more than one component."""
+    ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more)
+    return ends.where("low <> high").drop("low", "high")
 
 
-def _node_links(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _node_links(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the nodes that are similar to another one."""
-    members = nodes.where(F.size("bands") > 0).select("key", "n", F.explode("bands").alias("bucket"))
+    members = nodes.where(F.size("buckets") > 0).select("node", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "omh-members")
-    candidates = members.select("key").distinct()
-    kmers = staged(
-        reps.join(candidates, "key", "left_semi").select("key", F.arrow_udf(_kmer_bytes, "binary")("text").alias("kmers")),
-        "omh-kmers",
+    candidates = members.select("node").distinct()
+    lowest = nodes.select("node", "lowest")
+    words = staged(
+        texts.join(candidates, "node", "left_semi").select("node", F.arrow_udf(_word_bytes, "binary")("text").alias("words")),
+        "omh-words",
     )
+
+    def found_in(pairs: DataFrame) -> DataFrame:
+        return staged(_both(pairs, words, "words").where(_aligned(threshold)("x", "y")).select("a", "b"), "omh-links")
+
     labels, links, tested = None, None, None
     for turn in range(HUB_ROUNDS):
         placed = _with_component(members, labels)
-        order = F.xxhash64("key", F.lit(turn))
-        hubs = placed.groupBy("bucket").agg(F.min_by(F.struct("key", "component", "n"), order).alias("hub"))
+        hubs = _several(placed, F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("hub"))
         pairs = (
             placed.join(hubs, "bucket")
             .where(F.col("component") != F.col("hub.component"))
             .where(F.least("n", "hub.n") >= F.greatest("n", "hub.n") * threshold - 1e-9)
-            .select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
+            .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
             .distinct()
         )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "omh-pairs")
-        found = staged(_similar_pairs(pairs, kmers, threshold), "omh-links")
+        agreeing = F.arrow_udf(_agreeing_lowest, "boolean")("x", "y")
+        pairs = staged(_both(pairs, lowest, "lowest").where(agreeing).select("a", "b"), "omh-pairs")
+        found = found_in(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    rest = staged(_rest_pairs(nodes, members, labels, threshold).join(tested, ["a", "b"], "left_anti"), "omh-pairs")
-    found = staged(_similar_pairs(rest, kmers, threshold), "omh-links")
+    rest = staged(_rest_pairs(lowest, members, labels, threshold).join(tested, ["a", "b"], "left_anti"), "omh-pairs")
+    found = found_in(rest)
     return labels if found.isEmpty() else components(links.unionByName(found))
 
 
-def _rest_pairs(nodes: DataFrame, members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _rest_pairs(lowest: DataFrame, members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of buckets that still hold several components."""
     placed = _with_component(members, labels)
-    mixed_buckets = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    )
-    mixed_buckets = mixed_buckets.where("low <> high").select("bucket", "size")
-    own = placed.join(mixed_buckets, "bucket").join(nodes.select("key", "sketch"), "key")
+    own = placed.join(_several(placed, F.count("*").alias("size")), "bucket").join(lowest, "node")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK))
-    own = own.withColumn("block", F.pmod(F.xxhash64("key"), blocks))
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     grouped = spread.groupBy(
         "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-    ).agg(F.collect_list(F.struct("key", "n", "sketch", "component", F.col("block").alias("side"))).alias("members"))
+    ).agg(F.collect_list(F.struct("node", "n", "lowest", "component", F.col("block").alias("side"))).alias("members"))
     found = _agreeing(threshold)(F.col("members"), F.col("one") == F.col("two"))
     return grouped.select(F.explode(found).alias("pair")).select("pair.*").distinct()
 
@@ -327,7 +396,7 @@ def near_duplicates(
         df.select(
             *(df[f"`{c}`"] for c in columns),
             F.monotonically_increasing_id().alias(at),
-            F.arrow_udf(_summaries, "struct<key:binary,n:int,sketch:binary,bands:array<bigint>>")(df[f"`{text}`"]).alias(found),
+            F.arrow_udf(_summaries, "struct<key:binary,n:int,lowest:binary,buckets:array<bigint>>")(df[f"`{text}`"]).alias(found),
         ),
         "omh-rows",
     )
@@ -336,18 +405,16 @@ def near_duplicates(
     first = F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(at).alias("at")))
     nodes = staged(
         rows.groupBy(key.alias("key")).agg(
+            F.min(at).alias("node"),
             first.alias("first"),
             F.count("*").alias("copies"),
-            F.any_value(F.col(found)["n"]).alias("n"),
-            F.any_value(F.col(found)["sketch"]).alias("sketch"),
-            F.any_value(F.col(found)["bands"]).alias("bands"),
+            *(F.any_value(F.col(found)[c]).alias(c) for c in ("n", "lowest", "buckets")),
         ),
         "omh-nodes",
     )
-    firsts = nodes.select("key", F.col("first.at").alias("at"))
-    reps = rows.select(F.col(at).alias("at"), F.col(text).alias("text")).join(firsts, "at").select("key", "text")
-    labels = _node_links(nodes.select("key", "n", "sketch", "bands"), reps, threshold)
-    placed = _with_component(nodes.select("key", "first", "copies"), labels)
+    texts = rows.select(F.col(at).alias("node"), F.col(text).alias("text"))
+    labels = _node_links(nodes.select("node", "n", "lowest", "buckets"), texts, threshold)
+    placed = _with_component(nodes.select("key", "node", "first", "copies"), labels)
     classes = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("size"))
     # Documents alone in their class need no join.
     shared = staged(
