@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import bpe, chat, language, main_text, order_minhash, packing, secret_scan, toxicity
+from cloakwork.llm import (
+    bpe,
+    chat,
+    language,
+    main_text,
+    order_minhash,
+    packing,
+    permutation_index,
+    secret_scan,
+    toxicity,
+)
 from cloakwork.llm.shared import read
 
 OWN_CONVERSATION = (-1, "<|im_end|><|im_start|>assistant ok")
@@ -80,6 +90,12 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors, by inner product, of every twentieth vector."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and the ids decoded again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,6 +160,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
+    "op3_permutation_index": op3_permutation_index,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_toxicity": op5_toxicity,
     "op6_html_main_text": op6_html_main_text,
