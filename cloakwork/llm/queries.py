@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloakwork.llm import (
     bpe,
     chat,
+    embedding_dedup,
     language,
     main_text,
     order_minhash,
@@ -138,6 +139,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, VOCABULARY, PATTERN)
 
 
+def op9_embedding_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links and components within a label."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -166,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_main_text": op6_html_main_text,
     "op7_order_minhash": op7_order_minhash,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_embedding_descent": op9_embedding_descent,
     "op10_secret_scan": op10_secret_scan,
 }
 

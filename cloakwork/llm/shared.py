@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +61,18 @@ def with_struct(df: DataFrame, value: Column, fields: dict[str, str]) -> DataFra
 def smallest_by_hash(df: DataFrame, n: int, key: str, per: str | None = None, seed: int = 42) -> DataFrame:
     """Up to `n` rows (of each value of `per`) in the order of a hash of the key.
 
-    The ranks are limited before the shuffle, so no task gets more than `n` rows of
-    a value from each of its sources.
+    With `per`, whose values must be few, rows over a bound of the hash that some 2n
+    rows of a value are under are left out first, so a value that most rows have sends
+    no more rows to its task than another.  Null values of `per` have no rows.
     """
-    at, rank = free_name(df, "hash"), free_name(df, "rank")
+    at, rank, bound = free_name(df, "hash"), free_name(df, "rank"), free_name(df, "bound")
     hashed = df.withColumn(at, F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
     if per is None:
         return hashed.orderBy(at, key).limit(n).drop(at)
+    share = F.least(F.lit(1.0), F.lit(2.0 * n + 100) / F.count("*"))
+    bounds = df.groupBy(F.col(per).alias(bound)).agg(share.alias("share"))
+    placed = F.pmod(F.col(at), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    under = hashed.join(F.broadcast(bounds), F.col(per) == F.col(bound)).where(placed <= F.col("share"))
     window = Window.partitionBy(per).orderBy(at, key)
-    return hashed.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n).drop(at, rank)
-
-
-def by_batch(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """`mapInArrow` by a function of one batch."""
-
-    def run(batches):
-        for batch in batches:
-            out = function(batch)
-            yield from [out] if isinstance(out, pa.RecordBatch) else out
-
-    return df.mapInArrow(run, schema)
+    ranked = under.select(*(hashed[f"`{c}`"] for c in hashed.columns), F.row_number().over(window).alias(rank))
+    return ranked.where(F.col(rank) <= n).drop(at, rank)
