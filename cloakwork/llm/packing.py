@@ -34,10 +34,9 @@ from cloakwork.llm.shared import staged
 CAPACITY, END_ID = 2_048, 0
 #: The string that the vocabulary keeps as one token of its own, and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
-#: Of each length at most this part is covered by one step.
-STEP = 0.5
-#: How strongly a covered part lowers a price.
-RATE = 0.1
+#: A step covers at most this part of a length; less of each where lengths are few, and
+#: prices then fall the faster.  So many steps are taken at most, about.
+LEAST_STEP, MOST_STEP, STEPS, RATE = 0.01, 0.5, 4_000, 0.05
 #: A configuration that leaves more than this part of a sequence empty and is used at
 #: most so often is taken apart again and its pieces placed by best fit.
 SPARE, FEW = 0.001, 4
@@ -118,8 +117,10 @@ def priciest(prices: np.ndarray, capacity: int) -> dict[int, int]:
     return chosen
 
 
-def fractional(histogram: dict[int, int], capacity: int, step: float = STEP, rate: float = RATE) -> dict:
+def fractional(histogram: dict[int, int], capacity: int) -> dict:
     """Configurations (sorted pairs of length and count) and how often each is used."""
+    step = min(MOST_STEP, max(LEAST_STEP, len(histogram) / STEPS))
+    rate = RATE / step
     wanted = np.zeros(capacity + 1)
     for n, count in histogram.items():
         wanted[n] = count
