@@ -48,6 +48,7 @@ DROPPED_NAMES = frozenset(
 DROPPED_ROLES = frozenset(
     "alert banner complementary contentinfo dialog menu menubar navigation search".split()
 )
+UNSEEN = 2
 #: A paragraph ends where one of these begins.
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "head", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -72,7 +73,8 @@ class PageLines(HTMLParser):
         self.dropped: list[bool] = []
         self.parents: list[int] = [-1]
         self.names: list[str] = ["page"]
-        self._open: list[tuple[str, bool, int]] = [("page", False, 0)]
+        # Name, whether it is dropped (inside of a line without ending it: UNSEEN), section.
+        self._open: list[tuple[str, int, int]] = [("page", 0, 0)]
         self._data: list[str] = []
         self._n_tags = 0
 
@@ -85,7 +87,7 @@ class PageLines(HTMLParser):
                 self.texts.append(text)
                 self.tags.append(self._n_tags)
                 self.sections.append(section)
-                self.dropped.append(dropped)
+                self.dropped.append(dropped > 0)
                 self._n_tags = 0
 
     def _close(self, names: tuple[str, ...], within: frozenset = frozenset()) -> None:
@@ -112,12 +114,13 @@ class PageLines(HTMLParser):
             return
         _, dropped, section = self._open[-1]
         if not dropped:
-            dropped = tag in DROPPED or (attrs and _named_dropped(attrs)) or tag == "header" and not self._in_article()
+            if tag in DROPPED or attrs and _named_dropped(attrs) or tag == "header" and not self._in_article():
+                dropped = 1 if tag in BLOCKS else UNSEEN
         if tag in SECTIONS:
             self.parents.append(section)
             self.names.append(tag)
             section = len(self.names) - 1
-        self._open.append((tag, bool(dropped), section))
+        self._open.append((tag, dropped, section))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -132,7 +135,8 @@ class PageLines(HTMLParser):
             self._close((tag,), frozenset() if tag in SCOPES else SCOPES)
 
     def handle_data(self, data: str) -> None:
-        self._data.append(data)
+        if self._open[-1][1] != UNSEEN:
+            self._data.append(data)
 
     def _in_article(self) -> bool:
         return any(name in ARTICLES for name, _, _ in self._open)

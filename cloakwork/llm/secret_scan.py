@@ -120,7 +120,7 @@ def random_spans(candidate: str, window: int, threshold: float) -> list[tuple[in
     """
     if len(candidate) < window:
         return []
-    term = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    term = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
     most = (math.log2(window) - threshold) * window + 1e-9
     counts: dict[str, int] = {}
     total, spans = 0.0, []
