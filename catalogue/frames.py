@@ -465,6 +465,15 @@ def cap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.select("doc_id")
 
 
+@query
+def cap_documents_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred lines by quantity: a key that very many lines have."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag")
+    nulls = lines.withColumn("l_quantity", F.when(F.col("l_quantity") > 1, F.col("l_quantity")))
+    taken = filters.cap_documents(nulls, 5_000, "l_quantity")
+    return taken.groupBy("l_quantity").agg(F.count("*").alias("lines"))
+
+
 # -- detection and redaction --------------------------------------------------
 
 
@@ -735,7 +744,7 @@ def scan_unscanned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scheduled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir)
-    scans.scheduled_scan(store, Policy())
+    scans.scheduled_scan(store, Policy(), rounds=10)
     return state(store.read().drop("pii_scan_status"), "text")
 
 
@@ -784,6 +793,16 @@ def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(batch.import_results(target, output))
 
 
+@query
+def import_results_many_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector that answers in a line for each finding, and one more without any."""
+    answers = label_answers(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "entities")
+    lines = answers.select("id", F.explode("entities").alias("e")).select("id", F.array("e").alias("entities"))
+    none = answers.select("id", F.filter("entities", lambda _: F.lit(False)).alias("entities"))
+    target = scans.with_metadata(docs(spark, sf_dir))
+    return state(batch.import_results(target, lines.unionByName(none)))
+
+
 @query
 def import_results_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a batch detector applied to the text they were made on."""

@@ -125,23 +125,23 @@ def made(keys: str, seed: int = 0) -> str:
         return " || ".join(parts)
 
     def date(stream: int) -> str:
-        return f"{pick(stream, MONTHS['en'].split())} || ' ' || {number(stream + 1, 1, 28)} || ', ' || {number(stream + 2, 1950, 2005)}"
+        return f"{pick(stream, MONTHS['en'].split())} || ' ' || {number(stream + 1, 1, 30)} || ', ' || {number(stream + 2, 1931, 2024)}"
 
     slots = {
-        "ssn": f"{number(3, 100, 999)} || '-' || {number(4, 10, 99)} || '-' || {number(5, 1000, 9999)}",
-        "mail_tail": f"{number(6, 1, 99)} || '@' || {pick(7, DOMAINS)}",
-        "phone": f"'(' || {number(8, 200, 999)} || ') ' || {number(9, 200, 999)} || '-' || {number(10, 1000, 9999)}",
-        "addr": f"{number(11, 100, 9999)} || ' ' || {pick(12, STREETS)} || ', ' || {pick(13, CITIES)}",
-        "amt": f"{number(14, 1, 500)} || ',000'",
-        "acct": digits(15, 10),
-        "cc": " || '-' || ".join([number(17, 4000, 4999), *(number(s, 1000, 9999) for s in (18, 19, 20))]),
+        "ssn": f"{digits(3, 3)} || '-' || {digits(4, 2)} || '-' || {digits(5, 4)}",
+        "mail_tail": f"{number(6, 0, 999)} || '@' || {pick(7, DOMAINS)}",
+        "phone": f"'(' || {number(8, 201, 989)} || ') ' || {number(9, 210, 999)} || '-' || {digits(10, 4)}",
+        "addr": f"{number(11, 1, 25000)} || ' ' || {pick(12, STREETS)} || ', ' || {pick(13, CITIES)}",
+        "amt": f"{number(14, 2, 97)} || ',500'",
+        "acct": digits(15, 12),
+        "cc": " || ' ' || ".join(digits(s, 4) for s in (40, 18, 19, 20)),
         "date": date(21),
         "dob": date(24),
-        "pol": digits(27, 8),
-        "routing": digits(29, 9),
-        "passport": "'X' || " + digits(31, 8),
-        "q": number(33, 1, 4),
-        "ver": f"{number(34, 1, 5)} || '.' || {number(35, 0, 9)}",
+        "pol": digits(27, 7),
+        "routing": digits(29, 6),
+        "passport": "'KT' || " + digits(31, 6),
+        "q": number(33, 2, 9),
+        "ver": f"{number(34, 0, 12)} || '.' || {number(35, 0, 30)}",
         "name": f"{pick(1, FIRST_NAMES)} || ' ' || {pick(2, LAST_NAMES)}",
     }
     filled = ", ".join(f'{value} AS "s_{slot}"' for slot, value in slots.items())
@@ -507,6 +507,10 @@ def statements() -> dict[str, str]:
             f"SELECT page_id, concat_ws('|', CASE WHEN {long_url} THEN 'url: ' || substr(url, 1, 120) || '...' END, "
             f"CASE WHEN {is_long('html')} THEN 'html: ' || substr(html, 1, 120) || '...' END) AS preview FROM pages"
         ),
+        "cap_documents_ties": (
+            "SELECT l_quantity, count(*) AS lines FROM (SELECT CASE WHEN l_quantity > 1 THEN l_quantity END AS l_quantity "
+            "FROM lineitem ORDER BY 1 NULLS FIRST LIMIT 5000) GROUP BY 1"
+        ),
         "cap_documents": "SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100",
         # detection and redaction
         "contains_pii": f"SELECT doc_id, {any_match('text')} AS has_pii FROM documents",
@@ -635,6 +639,11 @@ def statements() -> dict[str, str]:
             "CASE WHEN l.doc_id IS NOT NULL THEN 'complete' ELSE 'none' END AS pii_scan_status "
             f"FROM documents d LEFT JOIN (SELECT doc_id, {label_meta} FROM labels) l ON d.doc_id = l.doc_id"
         ),
+        "import_results_many_lines": (
+            f"SELECT d.doc_id, {state('l.doc_id IS NOT NULL')}, "
+            "CASE WHEN l.doc_id IS NOT NULL THEN 'complete' ELSE 'none' END AS pii_scan_status "
+            f"FROM documents d LEFT JOIN (SELECT doc_id, {label_meta} FROM labels) l ON d.doc_id = l.doc_id"
+        ),
         "import_results_redacted": (
             f"SELECT d.doc_id, {label_text()} AS text, {state('l.doc_id IS NOT NULL')}, "
             "CASE WHEN l.doc_id IS NOT NULL THEN 'complete' ELSE 'none' END AS pii_scan_status "

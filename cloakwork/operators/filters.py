@@ -19,7 +19,7 @@ IN_PROGRESS = "in_progress"
 COMPLETE = "complete"
 
 # Up to this many keys, `cap_documents` finds its last key with one top-n.
-TOP_N_KEYS = 1_000_000
+KEYS_PER_RANGE = 1_000_000
 
 
 def unscanned(df: DataFrame) -> DataFrame:
@@ -103,44 +103,60 @@ def preview(
 
 
 def cap_documents(df: DataFrame, max_docs: int | None, key: str | Sequence[str] = "doc_id") -> DataFrame:
-    """The first `max_docs` documents by key; all of them for 0 or None.
+    """The first `max_docs` documents by key, nulls first; all of them for 0 or None.
 
-    Keys must be unique.  Only keys are sorted: the last key that still fits is
-    found first, and documents are then taken by comparing with it, so no text
-    goes through a sort or a single task.
+    Only keys are sorted: the key that the last document has is found first, and
+    documents are then taken by comparing with it.  Of several documents with that key
+    any are taken, as many as fit.
     """
-    return df if not max_docs else df.where(within_cap(df, max_docs, key))
+    if not max_docs:
+        return df
+    ordered, last, before, upto = _place_of(df, max_docs, key)
+    if upto <= max_docs:
+        return df.where(ordered <= last)
+    return df.where(ordered < last).unionByName(df.where(ordered == last).limit(max_docs - before))
 
 
 def within_cap(df: DataFrame, max_docs: int, key: str | Sequence[str] = "doc_id") -> Column:
-    """True for the rows `cap_documents` takes, as a condition."""
-    keys = [key] if isinstance(key, str) else list(key)
-    ordered = quoted(keys[0]) if len(keys) == 1 else F.struct(*(quoted(k) for k in keys))
-    ids = df.select(ordered.alias("k"))
-    if max_docs <= TOP_N_KEYS:
-        last = ids.orderBy("k").limit(max_docs).agg(F.max("k"))
-    else:
-        last = _nth_key(ids, max_docs)
-    # A scalar subquery: one value, found before the documents are read.
-    return ordered <= last.scalar()
+    """True for the rows `cap_documents` takes, as a condition.
+
+    A condition cannot tell rows of one key apart, so those of the last key are taken
+    if all of them fit, or if there is no smaller key (for a run must get on).
+    """
+    ordered, last, before, upto = _place_of(df, max_docs, key)
+    taken = ordered <= last if upto <= max_docs or not before else ordered < last
+    return F.coalesce(taken, F.lit(False))
 
 
-def _nth_key(ids: DataFrame, n: int) -> DataFrame:
-    """The n-th smallest key (or the largest, if there are fewer), for large n.
+def _place_of(df: DataFrame, n: int, key: str | Sequence[str]) -> tuple[Column, Column, int, int]:
+    """The keys as a column, the n-th smallest of them (or the largest, if there are fewer), and how many
+    keys are smaller than it, and not greater.
 
-    Range-partitions the keys, counts each range, and ranks only inside the range
-    the n-th key falls in.  The checkpoint pins the ranges: they come from
-    sampling and must not move between the two reads.
+    Range-partitions the keys, counts each range, and ranks only inside the range the
+    n-th key falls in; the same for every n.  The checkpoint pins the ranges: they come
+    from sampling and must not move between the reads.
     """
-    spark = ids.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    # A struct orders null keys as well.
+    ordered = F.struct(*(quoted(k) for k in keys))
+    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TOP_N_KEYS + 1)
-    ranged = ids.repartitionByRange(shards, "k").withColumn("shard", F.spark_partition_id()).checkpoint()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // KEYS_PER_RANGE + 1)
+    ids = df.select(ordered.alias("k")).repartitionByRange(shards, "k")
+    ranged = ids.withColumn("shard", F.spark_partition_id()).checkpoint()
     counts = [(r.shard, r["count"]) for r in ranged.groupBy("shard").count().orderBy("shard").collect()]
+    if not counts:
+        return ordered, F.lit(None), 0, 0
     before = 0
-    for shard, count in counts:
+    for shard, count in counts[:-1]:
         if before + count >= n:
-            inside = ranged.where(F.col("shard") == shard)
-            return inside.orderBy("k").limit(n - before).agg(F.max("k"))
+            break
         before += count
-    return ranged.agg(F.max("k"))
+    else:
+        shard = counts[-1][0]
+    inside = ranged.where(F.col("shard") == shard)
+    last = inside.orderBy("k").limit(max(1, n - before)).agg(F.max("k").alias("k"))
+    # A scalar subquery: one value, found before the documents are read.
+    found = last.scalar()
+    sides = inside.agg(F.count_if(F.col("k") < found).alias("less"), F.count_if(F.col("k") <= found).alias("upto")).first()
+    return ordered, found, before + sides["less"], before + sides["upto"]

@@ -42,11 +42,12 @@ def run_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("scanned"), F.count_if(F.col("pii_flag")).alias("flagged"))
 
 
-def type_breakdown(df: DataFrame, k: int = 20) -> DataFrame:
-    """Documents per entity type, the `k` most frequent; equal counts by type name."""
+def type_breakdown(df: DataFrame, k: int | None = 20) -> DataFrame:
+    """Documents per entity type, the `k` most frequent (None: all); equal counts by type name."""
     # The outer form: the plain one has the optimizer test every array beforehand.
     types = df.select(F.explode_outer("pii_types").alias("type")).where(F.col("type").isNotNull())
-    return types.groupBy("type").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "type").limit(k)
+    counts = types.groupBy("type").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "type")
+    return counts if k is None else counts.limit(k)
 
 
 def status_breakdown(df: DataFrame) -> DataFrame:

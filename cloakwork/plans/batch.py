@@ -16,16 +16,14 @@ from cloakwork.sinks.tables import VersionedTable
 from cloakwork.sources.detector_output import read_detector_output
 from cloakwork.sources.shared import fresh_dir
 
-# Fixed value: documents per batch run unless the caller says otherwise.
-BATCH_DOCUMENTS = 10_000
-
 
 def to_export(
-    df: DataFrame, max_docs: int | None = BATCH_DOCUMENTS, *, key: str = "doc_id", min_chars: int = 20
+    df: DataFrame, max_docs: int | None = None, *, key: str = "doc_id", min_chars: int = 20
 ) -> Column:
     """True for the documents a batch run takes.
 
-    Those that are unscanned, not out already, and have text; at most `max_docs`.
+    Those that are unscanned, not out already, and have text; at most `max_docs`,
+    if that is given.
     """
     has_text = F.lit(False)
     for name in text_columns(df, key):
@@ -35,7 +33,7 @@ def to_export(
 
 
 def documents_to_export(
-    df: DataFrame, max_docs: int | None = BATCH_DOCUMENTS, *, key: str = "doc_id", min_chars: int = 20
+    df: DataFrame, max_docs: int | None = None, *, key: str = "doc_id", min_chars: int = 20
 ) -> DataFrame:
     return df.where(to_export(df, max_docs, key=key, min_chars=min_chars))
 
@@ -67,11 +65,14 @@ def import_results(
     """The target with metadata from detector output; text stays as it is.
 
     `output` has ``id, entities`` (`read_detector_output`).  Updated rows get
-    status ``complete``; ids the target lacks are ignored.  `redact_field` names
+    status ``complete``; ids the target lacks are ignored.  The entities of several
+    answers about one id are taken together.  `redact_field` names
     the field the lines were made of, when that was one field alone and whole:
     offsets then fit it, and it is redacted too.
     """
     policy = policy or Policy()
+    answers = output.groupBy("id").agg(F.collect_list(F.coalesce("entities", spans.no_entities())).alias("entities"))
+    output = answers.select("id", F.array_distinct(F.flatten("entities")).alias("entities"))
     found = metadata_from_lists(F.col("entities"), policy, scanned_at)
     key_type = target.schema[key].dataType
     if redact_field is not None:
@@ -81,6 +82,7 @@ def import_results(
         *(column.alias(name) for name, column in found.items()),
         F.lit(COMPLETE).alias("pii_scan_status"),
     ).where(quoted(key).isNotNull())
+    # Ids that differ as text may be one key, such as 7 and 07.
     done = update_by_id(target, latest_by_id(updates, key), key)
     if redact_field is None:
         return done
@@ -92,7 +94,7 @@ def import_results(
 def run_batch(
     table: VersionedTable,
     policy: Policy | None = None,
-    max_docs: int | None = BATCH_DOCUMENTS,
+    max_docs: int | None = None,
     *,
     key: str = "doc_id",
     max_chars: int | None = None,

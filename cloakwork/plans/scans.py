@@ -16,8 +16,7 @@ from cloakwork.policy import Policy
 from cloakwork.sinks.tables import METADATA_SCHEMA, VersionedTable, append_documents, overwrite_partitions
 from cloakwork.sources.documents import read_json_documents
 
-# Bounds of one scheduled run.
-SCHEDULED_ROUNDS = 10
+# Fixed value: documents of one round of a bounded scheduled run.
 SCHEDULED_BATCH = 25
 
 
@@ -94,27 +93,32 @@ def scan_unscanned_partitions(
     """
     table = spark.read.parquet(path)
     due = cap_documents(unscanned(table), max_docs, key)
-    # One value per partition directory; finding them reads keys and flags only.
-    values = [r[0] for r in due.select(quoted(partition_by)).distinct().collect()]
-    if values:
+    # One row per partition directory; finding them reads keys and flags only.
+    parts = due.select(quoted(partition_by).alias("__part")).distinct()
+    count = parts.count()
+    if count:
         # Holds every document due, so the cap falls on the same ones again.
-        touched = table.where(quoted(partition_by).isin(*values))
+        touched = table.join(parts, quoted(partition_by).eqNullSafe(F.col("__part")), "left_semi")
         scanned = scan_pending(touched, policy, max_docs, key=key, scanned_at=scanned_at)
         overwrite_partitions(scanned, path, [partition_by])
-    return len(values)
+    return count
 
 
 def scheduled_scan(
     table: VersionedTable,
     policy: Policy | None = None,
     *,
-    rounds: int = SCHEDULED_ROUNDS,
+    rounds: int | None = None,
     batch: int = SCHEDULED_BATCH,
     key: str | Sequence[str] = "doc_id",
     scanned_at=None,
 ) -> DataFrame:
-    """A bounded run: at most `rounds` times `batch` documents, the rest next time."""
-    return scan_unscanned(table, policy, rounds * batch, key=key, scanned_at=scanned_at)
+    """A scheduled run over all unscanned documents.
+
+    With `rounds` a bounded one: at most `rounds` times `batch`, the rest next time.
+    """
+    most = None if rounds is None else rounds * batch
+    return scan_unscanned(table, policy, most, key=key, scanned_at=scanned_at)
 
 
 def process_file(
@@ -144,6 +148,6 @@ def coverage_report(
     return {
         "before": before,
         "after": coverage(after),
-        "types": type_breakdown(after),
+        "types": type_breakdown(after, None),
         "flagged": view_flagged(after, limit, key=key),
     }

@@ -176,8 +176,9 @@ def test_loan_example_with_short_fields(spark, fields, expected):
 
 
 def test_clinical_example_flags(spark):
-    note = "Patient Robert Martinez (DOB 3/15/1958) presents with chest pain. Contact wife at (206) 555-0134. Follow-up scheduled January 20, 2025."
+    note = "Patient Robert Martinez (DOB 3/15/1958) presents with chest pain. Contact wife Maria at (206) 555-0134. Follow-up scheduled January 20, 2025."
     row = one(spark, {"note": note}, policy=PRESETS["clinical"])
+    # A trained detector counts five: the rules do not take a given name alone for a name.
     assert row.note == note and row.pii_count == 4
     assert row.pii_types == ["DATE_TIME", "NAME", "PHONE"]
 

@@ -105,11 +105,19 @@ def test_cap_documents(spark, monkeypatch):
     for n in (1, 5, 100, 101, 500):
         assert sorted(ids(filters.cap_documents(df, n))) == list(range(min(n, 101)))
     assert filters.cap_documents(df, 0).count() == filters.cap_documents(df, None).count() == 101
-    # The way for very large caps gives the same.
-    monkeypatch.setattr(filters, "TOP_N_KEYS", 3)
+    # More ranges give the same.
+    monkeypatch.setattr(filters, "KEYS_PER_RANGE", 3)
     for n in (4, 60, 101, 500):
         assert sorted(ids(filters.cap_documents(df, n))) == list(range(min(n, 101)))
     two = df.withColumn("part", F.col("doc_id") % 2)
+    odd = spark.createDataFrame([(None, "n"), (None, "m"), (1, "a"), (1, "a"), (1, "b"), (2, "c")], "doc_id long, body string")
+    for n in range(1, 8):
+        got = sorted((r.doc_id is not None, r.doc_id or 0) for r in filters.cap_documents(odd, n).collect())
+        assert got == [(False, 0), (False, 0), (True, 1), (True, 1), (True, 1), (True, 2)][:n]
+    # As a condition: whole keys, never too many but for the first key.
+    taken = [odd.where(filters.within_cap(odd, n)).count() for n in range(1, 8)]
+    assert taken == [2, 2, 2, 2, 5, 6, 6]
+    assert filters.cap_documents(odd.limit(0), 3).count() == odd.limit(0).where(filters.within_cap(odd.limit(0), 3)).count() == 0
     capped = filters.cap_documents(two, 55, ["part", "doc_id"])
     expected = sorted((i % 2, i) for i in range(101))[:55]
     assert sorted((r.part, r.doc_id) for r in capped.collect()) == expected
