@@ -62,7 +62,7 @@ CITIES = (
 )
 DOMAINS = ("mail.example.org", "post.example.net", "example.com", "office-mail.example")
 
-# Title and body of generated documents, with and without personal data.
+# Title and body of generated documents, as many with personal data as without.
 PII_TEMPLATES = (
     ("Lease Signing", "The lease was signed on {date} by {name}, who moves to {addr} and can be called at {phone}."),
     ("Travel Booking", "Seat held for {name}; pay with card {cc}. Itinerary goes to {email}, questions to {phone}."),
@@ -82,6 +82,7 @@ CLEAN_TEMPLATES = (
     ("Trail Report", "The upper trail is open again after the storm, but the bridge by the mill stays closed."),
     ("Choir Practice", "Practice starts half an hour later on Wednesday because the hall is being painted."),
     ("Library Hours", "Opening hours change in spring; the reading room stays open for {q} hours longer."),
+    ("Bird Count", "Counted {q} herons and a pair of grebes at the pond; the feeders need cleaning before winter."),
     ("Tool Library", "The drill is back and the ladder is out until the end of the month."),
 )
 SLOT_TYPES = {
