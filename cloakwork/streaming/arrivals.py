@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from cloakwork.operators.scan import scan_documents
 from cloakwork.policy import Policy
 
+# Files of one micro-batch; what is over waits for the next one.
+FILES_PER_BATCH = 1_000
+
 
 def stream_new_documents(
     spark: SparkSession,
@@ -17,7 +20,7 @@ def stream_new_documents(
     *,
     prefix: str = "",
     suffix: str = ".json",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
     source_column: str | None = None,
 ) -> DataFrame:
     """JSON files as they land, an object or an array each.
@@ -40,7 +43,7 @@ def stream_new_documents(
 
 
 def stream_raw_documents(
-    spark: SparkSession, directory: str, *, files_per_batch: int | None = None, skip_json: bool = True
+    spark: SparkSession, directory: str, *, files_per_batch: int | None = FILES_PER_BATCH, skip_json: bool = True
 ) -> DataFrame:
     """Files that are not JSON as they land, each one document ``source_key, body``."""
     stream = spark.readStream.option("recursiveFileLookup", True)
@@ -53,7 +56,7 @@ def stream_raw_documents(
 
 
 def stream_table(
-    spark: SparkSession, directory: str, schema: T.StructType | str, *, glob: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession, directory: str, schema: T.StructType | str, *, glob: str = "*.parquet", files_per_batch: int | None = FILES_PER_BATCH
 ) -> DataFrame:
     """Parquet files of documents as they land."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob)
