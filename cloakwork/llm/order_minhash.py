@@ -8,16 +8,18 @@ in words.  Texts that agree in a sketch are candidates, if the lowest k-mers of
 `AGREEING` functions are the same, as they are in texts that edits have left alike.
 
 Two texts are similar when an alignment of their words needs at most
-`(1 - THRESHOLD) * max(n1, n2)` edits.  It runs along the k-mers that both have, within
-the band that so many edits leave, and aligns the words between them.  At a shingle
-similarity of 0.8 or more texts are similar; so they are when single words were edited
-here and there, which few shingles survive.
+`(1 - THRESHOLD) * max(n1, n2)` edits.  It runs along the k-mers that both have, in the
+order of both, within the band that so many edits leave; the words between count as
+replaced.  At a shingle similarity of 0.8 or more texts are similar; so they are when
+single words were edited here and there, which fewer shingles survive.
 
 Texts with the same words form one node from the start.  The members of a bucket are
 not paired with each other: in some rounds each is aligned with one of them, and what
 that links is one component.  Then the pairs of a bucket that are in different components
-are looked at, block by block, so no candidate pair that could join two components is
-left out.  The classes are the components.
+are looked at, each in the first bucket that holds it, so no candidate pair that could
+join two components is left out.  Small buckets give pairs; in large ones, such as those
+of a passage that very many texts share, blocks of members are aligned where they are
+and only links leave the task.  The classes are the components.
 
 Defined results: texts without words are the same only if they are equal and not empty;
 null and empty texts are alone; a text of fewer than five words is one k-mer; repeated
@@ -46,8 +48,8 @@ SKETCHES, PICKED = 32, 3
 #: and in fewer than 5 once in ten thousand times.
 AGREEING = 5
 HUB_ROUNDS = 2
-#: Members of a bucket that are paired at once.
-BLOCK = 1_000
+#: Buckets of more members are paired in blocks, of so many members, that align their texts.
+SMALL, BLOCK = 32, 200
 BYTES_AT_ONCE, KMERS_AT_ONCE = 1 << 20, 8_192
 SEED = 42
 
@@ -158,44 +160,41 @@ def _increasing(path: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def _edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
-    """Edit distance of two stretches of words, or more than `most`; rows of the band."""
-    if abs(len(x) - len(y)) > most:
-        return most + 1
-    place = np.arange(len(y) + 1)
-    row = place.copy()
-    for i, word in enumerate(x):
-        low, high = max(0, i + 1 - most), min(len(y), i + 1 + most)
-        new = np.full(len(y) + 1, most + 1)
-        inside = place[low : high + 1]
-        step = row[low : high + 1] + 1
-        if low:
-            step = np.minimum(step, row[low - 1 : high] + (y[low - 1 : high] != word))
-        else:
-            step[1:] = np.minimum(step[1:], row[:high] + (y[:high] != word))
-        # What comes from the left: the least of the earlier ones, and a step for each place.
-        new[low : high + 1] = np.minimum.accumulate(step - inside) + inside
-        row = np.minimum(new, most + 1)
-    return int(row[-1])
+def sorted_kmers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled k-mers by value, and their places."""
+    kmers = labelled(words)
+    order = np.argsort(kmers)
+    return kmers[order], order
 
 
 def edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
     """Edits of the alignment of word sequences along their common k-mers, or more than `most`."""
-    if abs(len(x) - len(y)) > most:
+    (sorted_x, order_x), (sorted_y, order_y) = sorted_kmers(x), sorted_kmers(y)
+    if not len(sorted_x) or not len(sorted_y):
+        return most + 1
+    at = np.minimum(np.searchsorted(sorted_x, sorted_y), len(sorted_x) - 1)
+    common = sorted_x[at] == sorted_y
+    at_x, at_y = order_x[at[common]], order_y[common]
+    order = np.argsort(at_x)
+    return edits_along(at_x[order], at_y[order], len(x), len(y), most)
+
+
+def edits_along(at_x: np.ndarray, at_y: np.ndarray, n_x: int, n_y: int, most: int) -> int:
+    """The same by the places of the common k-mers, ordered by those in the first sequence.
+
+    Words between matched k-mers are replaced by one another, as many as the longer side has.
+    """
+    if abs(n_x - n_y) > most:
         return most + 1
-    kmers = [labelled(words) for words in (x, y)]
-    _, at_x, at_y = np.intersect1d(*kmers, return_indices=True)
     inside = np.abs(at_x - at_y) <= most
     at_x, at_y = at_x[inside], at_y[inside]
     if not len(at_x):
         return most + 1
-    order = np.argsort(at_x)
-    at_x, at_y = at_x[order], at_y[order]
     chain = _increasing(at_y)
     at_x, at_y = at_x[chain], at_y[chain]
     # Runs of k-mers on one diagonal match all their words; a run begins after the words of the one before.
     first = np.flatnonzero(np.diff(at_x - at_y, prepend=at_x[0] - at_y[0] - 1))
-    k = min(SHINGLE, len(x), len(y))
+    k = min(SHINGLE, n_x, n_y)
     gaps, end_x, end_y = [], 0, 0
     # On one diagonal, k-mers may be apart as well.
     begins = np.unique(np.concatenate([first, np.flatnonzero(np.diff(at_x, prepend=at_x[0]) > k)]))
@@ -206,34 +205,28 @@ def edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
             continue
         gaps.append((end_x, start_x, end_y, start_y))
         end_x, end_y = int(at_x[until]) + k, int(at_y[until]) + k
-    gaps.append((end_x, len(x), end_y, len(y)))
-    wide = [(b - a, d - c) for a, b, c, d in gaps]
-    upper, lower = sum(max(g) for g in wide), sum(abs(g[0] - g[1]) for g in wide)
-    if upper <= most or lower > most:
-        return upper if upper <= most else most + 1
-    # The stretches one after the other, each with what the others leave.
-    total = lower
-    for (a, b, c, d), (m, n) in zip(gaps, wide):
-        own = abs(m - n)
-        total += _edits(x[a:b], y[c:d], most - total + own) - own
-        if total > most:
-            return most + 1
-    return total
+    gaps.append((end_x, n_x, end_y, n_y))
+    total = sum(max(b - a, d - c) for a, b, c, d in gaps)
+    return total if total <= most else most + 1
+
+
+def most_edits(n_x: int, n_y: int, threshold: float) -> int:
+    return int((1 - threshold) * max(n_x, n_y) + 1e-9)
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    most = int((1 - threshold) * max(len(x), len(y)) + 1e-9)
+    most = most_edits(len(x), len(y), threshold)
     return edits(x, y, most) <= most
 
 
 def _summaries(texts: pa.Array) -> pa.Array:
-    """Key of the words, their number, sketches and lowest k-mers; no key for empty texts, no sketches without words."""
+    """Key of the words, their number, lowest k-mers and sketches; no key for empty texts, no sketches without words."""
     rows = []
     for text in texts.to_pylist():
         words = normal_form(text)
         if not words:
             key = hashlib.md5(b"\x00" + text.encode("utf-8", "replace")).digest() if text else None
-            rows.append({"key": key, "n": 0, "lowest": None, "buckets": None})
+            rows.append({"key": key, "n": 0, "lowest": None, "sketch": None, "buckets": None})
             continue
         hashes = word_hashes(words)
         sketch, lowest = sketches(labelled(hashes))
@@ -242,12 +235,21 @@ def _summaries(texts: pa.Array) -> pa.Array:
                 "key": hashlib.md5(words).digest(),
                 "n": len(hashes),
                 "lowest": (lowest & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                "sketch": (sketch & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                 "buckets": sketch.view(np.int64).tolist(),
             }
         )
     return pa.array(
         rows,
-        pa.struct([("key", pa.binary()), ("n", pa.int32()), ("lowest", pa.binary()), ("buckets", pa.list_(pa.int64()))]),
+        pa.struct(
+            [
+                ("key", pa.binary()),
+                ("n", pa.int32()),
+                ("lowest", pa.binary()),
+                ("sketch", pa.binary()),
+                ("buckets", pa.list_(pa.int64())),
+            ]
+        ),
     )
 
 
@@ -280,24 +282,37 @@ def _aligned(threshold: float):
     return F.arrow_udf(aligned, "boolean")
 
 
+def _first_shared(sketch: np.ndarray, i: int, at: np.ndarray, function: int) -> np.ndarray:
+    """Whether no earlier function's sketch is the same, so that this bucket is the pair's first."""
+    return ~(sketch[at, :function] == sketch[i, :function]).any(axis=1)
+
+
+def _candidates(i: int, n, label, side, lowest, sketch, function: int, same: bool, threshold: float) -> np.ndarray:
+    """Later members that `i` has to be aligned with."""
+    rest = slice(i + 1, None)
+    fits = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)
+    if not same:
+        fits &= side[rest] != side[i]
+    at = np.flatnonzero(fits) + i + 1
+    at = at[(lowest[at] == lowest[i]).sum(axis=1) >= AGREEING]
+    return at[_first_shared(sketch, i, at, function)]
+
+
+def _matrix(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<u4").reshape(len(values), -1)
+
+
 def _agreeing(threshold: float):
-    """Pairs of a block's members that differ in component, agree in lowest k-mers and could be similar in length."""
+    """Pairs of a small bucket's members."""
 
-    def agreeing(groups: pa.Array, same_block: pa.Array) -> pa.Array:
+    def agreeing(groups: pa.Array, functions: pa.Array) -> pa.Array:
         out = []
-        for members, same in zip(groups.to_pylist(), same_block.to_pylist()):
-            lowest = np.frombuffer(b"".join(m["lowest"] for m in members), "<u4").reshape(len(members), -1)
-            n = np.array([m["n"] for m in members])
-            label = np.array([m["component"] for m in members])
-            side = np.array([m["side"] for m in members])
+        for members, function in zip(groups.to_pylist(), functions.to_pylist()):
+            lowest, sketch = (_matrix([m[c] for m in members]) for c in ("lowest", "sketch"))
+            n, label = (np.array([m[c] for m in members]) for c in ("n", "component"))
             pairs = []
             for i in range(len(members) - 1):
-                rest = slice(i + 1, None)
-                fits = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)
-                if not same:
-                    fits &= side[rest] != side[i]
-                at = np.flatnonzero(fits) + i + 1
-                for j in at[(lowest[at] == lowest[i]).sum(axis=1) >= AGREEING].tolist():
+                for j in _candidates(i, n, label, None, lowest, sketch, function, True, threshold).tolist():
                     a, b = sorted((members[i]["node"], members[j]["node"]))
                     pairs.append({"a": a, "b": b})
             out.append(pairs)
@@ -306,6 +321,40 @@ def _agreeing(threshold: float):
     return F.arrow_udf(agreeing, "array<struct<a:bigint,b:bigint>>")
 
 
+def _block_links(threshold: float):
+    """Links of two blocks of a large bucket; once two components are linked, they count as one."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(table: pa.Table) -> pa.Table:
+        same, function = table["one"][0] == table["two"][0], table["function"][0].as_py()
+        n, label, side, node = (table[c].to_numpy() for c in ("n", "component", "side", "node"))
+        label = np.unique(label, return_inverse=True)[1]
+        lowest, sketch = (_matrix(table[c].to_pylist()) for c in ("lowest", "sketch"))
+        kmers = [labelled(np.frombuffer(w, "<u4")) for w in table["words"].to_pylist()]
+        # Numbers for the k-mers of the block, so that one member's places can be looked up for all others.
+        numbers = np.unique(np.concatenate(kmers), return_inverse=True)[1]
+        numbers = np.split(numbers, np.cumsum([len(k) for k in kmers])[:-1])
+        place = np.full(sum(map(len, kmers)), -1)
+        found: tuple[list, list] = ([], [])
+        for i in range(len(n) - 1):
+            candidates = _candidates(i, n, label, side, lowest, sketch, function, same, threshold).tolist()
+            place[numbers[i]] = np.arange(len(numbers[i]))
+            for j in candidates:
+                if label[i] == label[j]:
+                    continue
+                in_i = place[numbers[j]]
+                at = np.flatnonzero(in_i >= 0)
+                most = most_edits(n[i], n[j], threshold)
+                if edits_along(at, in_i[at], int(n[j]), int(n[i]), most) <= most:
+                    label[label == label[j]] = label[i]
+                    found[0].append(min(node[i], node[j]))
+                    found[1].append(max(node[i], node[j]))
+            place[numbers[i]] = -1
+        return pa.table([pa.array(x, pa.int64()) for x in found], schema=kind)
+
+    return links
+
+
 def _both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     """The pairs with a column of either node as x and y."""
     x = nodes.select(F.col("node").alias("a"), F.col(column).alias("x"))
@@ -327,7 +376,7 @@ def _several(placed: DataFrame, *more: Column) -> DataFrame:
 
 def _node_links(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the nodes that are similar to another one."""
-    members = nodes.where(F.size("buckets") > 0).select("node", "n", F.explode("buckets").alias("bucket"))
+    members = nodes.where(F.size("buckets") > 0).select("node", "n", F.posexplode("buckets").alias("function", "bucket"))
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "omh-members")
     candidates = members.select("node").distinct()
@@ -359,23 +408,31 @@ def _node_links(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFra
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    rest = staged(_rest_pairs(lowest, members, labels, threshold).join(tested, ["a", "b"], "left_anti"), "omh-pairs")
-    found = found_in(rest)
+    own = _unresolved(members, labels)
+    own = staged(own.join(nodes.select("node", "lowest", "sketch"), "node"), "omh-unresolved")
+    small = own.where(F.col("size") <= SMALL).groupBy("bucket", "function")
+    small = small.agg(F.collect_list(F.struct("node", "n", "lowest", "sketch", "component")).alias("members"))
+    pairs = small.select(F.explode(_agreeing(threshold)("members", "function")).alias("pair")).select("pair.*")
+    rest = staged(pairs.join(tested, ["a", "b"], "left_anti"), "omh-pairs")
+    found = found_in(rest).unionByName(_large_links(own.where(F.col("size") > SMALL), words, threshold))
+    found = staged(found, "omh-links")
     return labels if found.isEmpty() else components(links.unionByName(found))
 
 
-def _rest_pairs(lowest: DataFrame, members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of buckets that still hold several components."""
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components."""
     placed = _with_component(members, labels)
-    own = placed.join(_several(placed, F.count("*").alias("size")), "bucket").join(lowest, "node")
+    return placed.join(_several(placed, F.count("*").alias("size")), "bucket")
+
+
+def _large_links(own: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     blocks = F.ceil(F.col("size") / F.lit(BLOCK))
-    own = own.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    grouped = spread.groupBy(
-        "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-    ).agg(F.collect_list(F.struct("node", "n", "lowest", "component", F.col("block").alias("side"))).alias("members"))
-    found = _agreeing(threshold)(F.col("members"), F.col("one") == F.col("two"))
-    return grouped.select(F.explode(found).alias("pair")).select("pair.*").distinct()
+    placed = own.withColumn("side", F.pmod(F.xxhash64("node"), blocks))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    ends = spread.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
+    columns = ("bucket", "function", "one", "two", "node", "n", "component", "side", "lowest", "sketch", "words")
+    grouped = ends.join(words, "node").select(*columns).groupBy("bucket", "one", "two")
+    return grouped.applyInArrow(_block_links(threshold), "a long, b long")
 
 
 def near_duplicates(
@@ -396,7 +453,7 @@ def near_duplicates(
         df.select(
             *(df[f"`{c}`"] for c in columns),
             F.monotonically_increasing_id().alias(at),
-            F.arrow_udf(_summaries, "struct<key:binary,n:int,lowest:binary,buckets:array<bigint>>")(df[f"`{text}`"]).alias(found),
+            F.arrow_udf(_summaries, "struct<key:binary,n:int,lowest:binary,sketch:binary,buckets:array<bigint>>")(df[f"`{text}`"]).alias(found),
         ),
         "omh-rows",
     )
@@ -408,12 +465,12 @@ def near_duplicates(
             F.min(at).alias("node"),
             first.alias("first"),
             F.count("*").alias("copies"),
-            *(F.any_value(F.col(found)[c]).alias(c) for c in ("n", "lowest", "buckets")),
+            *(F.any_value(F.col(found)[c]).alias(c) for c in ("n", "lowest", "sketch", "buckets")),
         ),
         "omh-nodes",
     )
     texts = rows.select(F.col(at).alias("node"), F.col(text).alias("text"))
-    labels = _node_links(nodes.select("node", "n", "lowest", "buckets"), texts, threshold)
+    labels = _node_links(nodes.select("node", "n", "lowest", "sketch", "buckets"), texts, threshold)
     placed = _with_component(nodes.select("key", "node", "first", "copies"), labels)
     classes = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("size"))
     # Documents alone in their class need no join.
