@@ -49,7 +49,7 @@ SKETCHES, PICKED = 32, 3
 AGREEING = 5
 HUB_ROUNDS = 2
 #: Buckets of more members are paired in blocks, of so many members, that align their texts.
-SMALL, BLOCK = 32, 200
+SMALL, BLOCK = 32, 400
 BYTES_AT_ONCE, KMERS_AT_ONCE = 1 << 20, 8_192
 SEED = 42
 
