@@ -1,4 +1,4 @@
-"""Near-duplicate texts by order MinHash, verified by banded alignment.
+"""Near-duplicate texts by order MinHash, verified by alignment of their words.
 
 A text is its words in lower case.  Its k-mers are shingles of five words, labelled with
 the number of the occurrence, so that each is unique in its text.  Each of `SKETCHES`
@@ -7,11 +7,13 @@ order they have in the text; sketches agree for texts that are alike in edits, n
 in words.  Texts that agree in a sketch are candidates, if the lowest k-mers of
 `AGREEING` functions are the same, as they are in texts that edits have left alike.
 
-Two texts are similar when an alignment of their words needs at most
-`(1 - THRESHOLD) * max(n1, n2)` edits.  It runs along the k-mers that both have, in the
-order of both, within the band that so many edits leave; the words between count as
-replaced.  At a shingle similarity of 0.8 or more texts are similar; so they are when
-single words were edited here and there, which fewer shingles survive.
+Two texts are similar when their words need at most `(1 - THRESHOLD) * max(n1, n2)`
+edits.  A chain of the k-mers that both have, in the order of both, bounds the edits from
+above, as the words between count as replaced: if it stays within the limit, the pair is
+taken.  If not, as where texts repeat passages and k-mers are matched one repeat off, the
+words are aligned exactly, row by row, until the limit is passed.  A row is one bit
+vector, so it is smaller than a band of numbers would be.  A passage that has moved counts
+as edited, however many shingles it leaves alike.
 
 Texts with the same words form one node from the start.  The members of a bucket are
 not paired with each other: in some rounds each is aligned with one of them, and what
@@ -51,6 +53,8 @@ HUB_ROUNDS = 2
 #: Buckets of more members are paired in blocks, of so many members, that align their texts.
 SMALL, BLOCK = 32, 400
 BYTES_AT_ONCE, KMERS_AT_ONCE = 1 << 20, 8_192
+#: Longer sequences look up a word's places at each row.
+MASKED = 4_096
 SEED = 42
 
 _GAP = re.compile(r"\W+")
@@ -210,13 +214,54 @@ def edits_along(at_x: np.ndarray, at_y: np.ndarray, n_x: int, n_y: int, most: in
     return total if total <= most else most + 1
 
 
+def word_masks(words: np.ndarray) -> dict[int, int] | None:
+    """The places of each word as bits; None for sequences whose masks would take much memory."""
+    if len(words) > MASKED:
+        return None
+    masks: dict[int, int] = {}
+    for i, word in enumerate(words.tolist()):
+        masks[word] = masks.get(word, 0) | 1 << i
+    return masks
+
+
+def distance(x: np.ndarray, y: np.ndarray, most: int, masks: dict[int, int] | None = None) -> int:
+    """The least edits between word sequences, or `most + 1` if there are more.
+
+    Rows of the alignment are the words of x.  A row holds, as bits, where it goes up
+    or down by one along y (Myers 1999).  The diagonal that ends in the last cell never goes
+    down, so the alignment stops when it is over `most`.  `masks` are those of y.
+    """
+    n_x, n_y = len(x), len(y)
+    score, shift = abs(n_x - n_y), n_y - n_x - 1
+    if score > most:
+        return most + 1
+    masks = masks or word_masks(y)
+    full = (1 << n_y) - 1
+    up, down = full, 0
+    for i, word in enumerate(x.tolist(), 1):
+        if masks is not None:
+            same = masks.get(word, 0)
+        else:
+            same = int.from_bytes(np.packbits(y == word, bitorder="little").tobytes(), "little")
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right_up = ((down | (level | up) ^ full) << 1 | 1) & full
+        right_down = (level & up) << 1 & full
+        up = right_down | (level | right_up) ^ full
+        down = right_up & level
+        if i + shift >= 0 and not level >> (i + shift) & 1:
+            score += 1
+            if score > most:
+                return score
+    return score
+
+
 def most_edits(n_x: int, n_y: int, threshold: float) -> int:
     return int((1 - threshold) * max(n_x, n_y) + 1e-9)
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
     most = most_edits(len(x), len(y), threshold)
-    return edits(x, y, most) <= most
+    return edits(x, y, most) <= most or distance(x, y, most) <= most
 
 
 def _summaries(texts: pa.Array) -> pa.Array:
@@ -330,7 +375,8 @@ def _block_links(threshold: float):
         n, label, side, node = (table[c].to_numpy() for c in ("n", "component", "side", "node"))
         label = np.unique(label, return_inverse=True)[1]
         lowest, sketch = (_matrix(table[c].to_pylist()) for c in ("lowest", "sketch"))
-        kmers = [labelled(np.frombuffer(w, "<u4")) for w in table["words"].to_pylist()]
+        words = [np.frombuffer(w, "<u4") for w in table["words"].to_pylist()]
+        kmers = [labelled(w) for w in words]
         # Numbers for the k-mers of the block, so that one member's places can be looked up for all others.
         numbers = np.unique(np.concatenate(kmers), return_inverse=True)[1]
         numbers = np.split(numbers, np.cumsum([len(k) for k in kmers])[:-1])
@@ -339,13 +385,18 @@ def _block_links(threshold: float):
         for i in range(len(n) - 1):
             candidates = _candidates(i, n, label, side, lowest, sketch, function, same, threshold).tolist()
             place[numbers[i]] = np.arange(len(numbers[i]))
+            masks = None
             for j in candidates:
                 if label[i] == label[j]:
                     continue
                 in_i = place[numbers[j]]
                 at = np.flatnonzero(in_i >= 0)
                 most = most_edits(n[i], n[j], threshold)
-                if edits_along(at, in_i[at], int(n[j]), int(n[i]), most) <= most:
+                near = edits_along(at, in_i[at], int(n[j]), int(n[i]), most) <= most
+                if not near:
+                    masks = masks or word_masks(words[i])
+                    near = distance(words[j], words[i], most, masks) <= most
+                if near:
                     label[label == label[j]] = label[i]
                     found[0].append(min(node[i], node[j]))
                     found[1].append(max(node[i], node[j]))

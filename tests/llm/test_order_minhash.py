@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from cloakwork.llm import order_minhash as O
 
@@ -57,6 +58,62 @@ def test_alignment_is_exact_for_edits_that_stand_apart():
     assert not O.similar(x, half)
 
 
+def test_exact_alignment_is_the_edit_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = rng.choice((2, 8, 1000))
+        a = [rng.randrange(words) for _ in range(rng.randint(1, 40))]
+        b = [w for w in a if rng.random() < 0.9] if rng.random() < 0.7 else [rng.randrange(words) for _ in range(rng.randint(1, 40))]
+        x, y, most = np.array(a, np.uint32), np.array(b, np.uint32), rng.randint(0, 45)
+        want = min(distance(a, b), most + 1)
+        was, O.MASKED = O.MASKED, rng.choice((0, O.MASKED))
+        got = O.distance(x, y, most)
+        O.MASKED = was
+        assert got == want
+
+
+def repeating(rng):
+    """A text that repeats a passage between its own words, and one without the first of the repeats."""
+    passage = [rng.randrange(10**6) for _ in range(30)]
+    parts = [[rng.randrange(10**6) for _ in range(12)] for _ in range(8)]
+    a = [w for part in parts for w in (*passage, *part)]
+    return a, a[30:]
+
+
+def test_copies_of_texts_that_repeat_passages_are_similar():
+    rng = random.Random(4)
+    for _ in range(20):
+        a, b = repeating(rng)
+        most = O.most_edits(len(a), len(b), O.THRESHOLD)
+        assert distance(a, b) == 30 <= most
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        one, two = set(O.labelled(x).tolist()), set(O.labelled(y).tolist())
+        assert len(one & two) >= 0.8 * len(one | two)
+        # The chain alone is one repeat off.
+        assert O.edits(x, y, most) > most and O.similar(x, y) and O.similar(y, x)
+        b = b[: len(b) // 2] + [rng.randrange(10**6) for _ in range(len(b) // 2)]
+        assert distance(a, b) > most and not O.similar(x, np.array(b, np.uint32))
+
+
+def test_copies_that_repeat_passages_come_together_in_small_and_large_buckets(llm):
+    rng = random.Random(5)
+    rows = []
+    for k in range(3):
+        a, b = repeating(rng)
+        rows += [(10 * k, " ".join(f"w{i}" for i in a)), (10 * k + 1, " ".join(f"w{i}" for i in b))]
+    df = llm.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    want = {i: i - i % 10 for i, _ in rows}
+    assert {r.doc_id: r.class_id for r in O.near_duplicates(df).collect()} == want
+    # Blocks of large buckets align their members where they are.
+    a, b = repeating(rng)
+    words = [np.array(w, "<u4").tobytes() for w in (a, b)]
+    table = pa.table({
+        "one": [0, 0], "two": [0, 0], "function": [0, 0], "node": [5, 6], "n": [len(a), len(b)], "component": [5, 6], "side": [0, 0],
+        "lowest": [b"\x01" * 4 * O.SKETCHES] * 2, "sketch": [b"\x01" * 4 * O.SKETCHES] * 2, "words": words,
+    })
+    assert O._block_links(O.THRESHOLD)(table).to_pylist() == [{"a": 5, "b": 6}]
+
+
 def test_kmers_are_unique_and_read_in_parts():
     words = ("a b c d e " * 300 + "f").encode()
     kmers = O.labelled(O.word_hashes(words))
