@@ -3,9 +3,11 @@
 The standard library's parser streams a page's events into lines, one per block
 element.  The text-to-tag ratio of the lines is smoothed with a Gaussian, and
 clusters of lines over a threshold are the content regions.  Ratios alone would cut
-short paragraphs at the ends of an article and join a long notice to it, so the
-regions decide which element of the page is the article, and all lines of that
-element are kept but those of menus, forms and the like inside it.
+short paragraphs at the ends of an article, so the regions decide which element of the
+page is the article: one marked as such, or the lowest that holds all of them, since an
+article may be split into several.  All lines of that element are kept but those of menus,
+forms and the like inside it.  If it is the whole page, its parts without a region before
+the first and after the last go too.  A long notice that nothing marks is kept.
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is
 read as far as it goes (what is left open ends with its parent); a page without any
@@ -35,6 +37,7 @@ BLOCKS = frozenset(
 #: Elements that may be the article, or hold it.
 SECTIONS = frozenset("article body div html main section table td".split())
 ARTICLES = frozenset(("article", "main"))
+PAGES = frozenset(("page", "html", "body"))
 #: Never part of an article, with all they hold.
 DROPPED = frozenset(
     "aside button canvas datalist dialog footer form head iframe input menu nav noscript object script select style svg"
@@ -56,8 +59,6 @@ SCOPES = frozenset("article aside body div footer form header main nav ol sectio
 
 #: Lines to each side that smoothing reaches, and its standard deviation, in lines.
 REACH, SIGMA = 2, 1.0
-#: The parent of an element is the article if it holds so many times its text in regions.
-WIDER = 1.5
 
 _NAME_PARTS = re.compile(r"[^0-9a-z]+|(?<=[a-z])(?=[0-9])")
 
@@ -175,12 +176,28 @@ def region_lines(lengths: np.ndarray, tags: np.ndarray, dropped: np.ndarray) ->
     return over if over.any() else ~dropped
 
 
-def article_of(lines: PageLines, weights: np.ndarray) -> int:
-    """The section that is the article: a marked one with the most text in regions, or the densest."""
+def core_lines(lengths: np.ndarray, tags: np.ndarray, dropped: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The lines of regions that are over the threshold by themselves, not only by those beside them."""
+    ratios = np.where(dropped, 0.0, lengths / np.maximum(tags, 1))
+    core = chosen & (ratios >= smoothed(ratios).std())
+    return core if core.any() else chosen
+
+
+def _common(parents: list[int], one: int, two: int) -> int:
+    """The lowest section that holds both; a parent comes before its sections."""
+    while one != two:
+        if one > two:
+            one = parents[one]
+        else:
+            two = parents[two]
+    return one
+
+
+def article_of(lines: PageLines, weights: np.ndarray, core: np.ndarray) -> int:
+    """The section that is the article: a marked one with the most text in regions, or the lowest that holds all cores."""
     total = [0.0] * len(lines.names)
     for section, weight in zip(lines.sections, weights.tolist()):
         total[section] += weight
-    own = list(total)
     for section in range(len(total) - 1, 0, -1):  # a parent comes before its sections
         total[lines.parents[section]] += total[section]
 
@@ -193,12 +210,33 @@ def article_of(lines: PageLines, weights: np.ndarray) -> int:
     marked = [s for s, n in enumerate(lines.names) if n in ARTICLES and total[s] > 0 and not inside_marked(s)]
     if marked:
         return max(marked, key=lambda s: (total[s], -s))
-    best = max(range(len(own)), key=lambda s: (own[s], -s))
-    while (parent := lines.parents[best]) >= 0 and total[parent] >= WIDER * total[best]:
-        best = parent
+    own = [lines.sections[i] for i in np.flatnonzero(core)]
+    best = own[0]
+    for section in own[1:]:
+        best = _common(lines.parents, best, section)
     return best
 
 
+def kept_lines(lines: PageLines, article: int, chosen: np.ndarray, core: np.ndarray) -> list[bool]:
+    """The lines of the article; of a whole page those of its parts that hold a core, and what is between or in a region."""
+    # For each section the one directly in the article that it is in; the article itself is -1, others None.
+    part: list[int | None] = [None] * len(lines.names)
+    for section, parent in enumerate(lines.parents):
+        if section == article:
+            part[section] = -1
+        elif parent >= 0 and part[parent] is not None:
+            part[section] = section if part[parent] == -1 else part[parent]
+    inside = [part[section] is not None for section in lines.sections]
+    if lines.names[article] not in PAGES:
+        return inside
+    at = np.flatnonzero(core)
+    with_core = {part[lines.sections[i]] for i in at} | {-1}
+    first, last = at[0], at[-1]
+    return [
+        here and (bool(chosen[i]) or first <= i <= last or part[lines.sections[i]] in with_core) for i, here in enumerate(inside)
+    ]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -209,15 +247,11 @@ def main_text(html: str | None) -> str:
     dropped = np.array(lines.dropped, bool)
     if dropped.all():
         return ""
-    lengths = np.array([len(t) for t in lines.texts])
-    chosen = region_lines(lengths, np.array(lines.tags), dropped)
-    article = article_of(lines, np.where(chosen, lengths, 0))
-    inside = [False] * len(lines.names)
-    for section, parent in enumerate(lines.parents):
-        inside[section] = section == article or parent >= 0 and inside[parent]
-    return "\n".join(
-        text for text, section, drop in zip(lines.texts, lines.sections, lines.dropped) if inside[section] and not drop
-    )
+    lengths, tags = np.array([len(t) for t in lines.texts]), np.array(lines.tags)
+    chosen = region_lines(lengths, tags, dropped)
+    core = core_lines(lengths, tags, dropped, chosen)
+    kept = kept_lines(lines, article_of(lines, np.where(chosen, lengths, 0), core), chosen, core)
+    return "\n".join(text for text, keep, drop in zip(lines.texts, kept, lines.dropped) if keep and not drop)
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

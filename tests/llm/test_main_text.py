@@ -26,6 +26,27 @@ def test_article_found_without_a_marked_element():
     assert len(M.main_text(page).split("\n")) == 6
 
 
+def test_articles_in_unequal_sections_are_whole():
+    long, short = ("".join(f"<p>{k} {i} is a paragraph of plain prose that goes on for some time.</p>" for i in range(n)) for k, n in (("L", 10), ("S", 4)))
+    links = f"<div><ul>{'<li><a href=x>link</a></li>' * 20}</ul></div>"
+    for parts in (
+        f"<div>{long}</div><div>{short}</div>",
+        f"<section>{short}</section><section>{long}</section>",
+        f"<table><tr><td>{long}</td><td>{short}</td></tr></table>",
+        f"<div><div>{short}</div><p>In between.</p><div><div>{long}</div></div></div>",
+    ):
+        want = 14 + parts.count("In between.")
+        for page in (f"<body>{links}<div id=content>{parts}</div><div><p>Imprint</p></div></body>", f"<body><p>{parts}</body>"):
+            got = M.main_text(page).split("\n")
+            assert len([t for t in got if t != "Imprint"]) == want and "link" not in got
+    lead = "The lead stands in the outer element and says in one sentence what the article is about."
+    got = M.main_text(f"<body>{links}<div><h1>Title</h1><p>{lead}</p><div>{long}</div></div></body>").split("\n")
+    assert got[:2] == ["Title", lead] and len(got) == 12
+    got = M.main_text(f"<body>{links}<hr><div>{short}</div><div>Short.</div><div>{long}</div><div><ul>{'<li><a href=x>more</a></li>' * 20}</ul></div>").split("\n")
+    assert [t for t in got if t not in ("link", "more")] == [*M.main_text(short).split("\n"), "Short.", *M.main_text(long).split("\n")]
+    assert got.count("link") + got.count("more") <= 2 * M.REACH
+
+
 def test_broken_empty_and_plain():
     assert M.main_text(None) == M.main_text("") == M.main_text("<script>x</script>") == M.main_text("<nav>x</nav>") == ""
     assert M.main_text("just &amp; text\n  here") == "just & text here"
