@@ -51,6 +51,13 @@ DROPPED_NAMES = frozenset(
 DROPPED_ROLES = frozenset(
     "alert banner complementary contentinfo dialog menu menubar navigation search".split()
 )
+#: Parts of a class that say where or whether something is; such a class names no element.
+MODIFIER_FIRST = frozenset("has with without no is".split())
+MODIFIER_LAST = frozenset("left right open closed enabled disabled on off none".split())
+#: Never dropped by class or id.
+KEPT = frozenset("article body html main".split())
+#: What readers add may be longer than the article; it is dropped by name unless there is nothing else.
+READERS = frozenset("comment comments disqus replies".split())
 UNSEEN = 2
 #: A paragraph ends where one of these begins.
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "head", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -66,16 +73,22 @@ _NAME_PARTS = re.compile(r"[^0-9a-z]+|(?<=[a-z])(?=[0-9])")
 class PageLines(HTMLParser):
     """Lines of a page: text, tags, the section they are in, and whether they are dropped."""
 
-    def __init__(self) -> None:
+    def __init__(self, inline_names: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self._inline_names = inline_names
+        # Elements dropped by name: the one each is in, and whether readers' text; the one of each line.
+        self.named_in: list[int] = [-1]
+        self.readers: list[bool] = [False]
+        self.named: list[int] = []
+        self.unseen_by_name = 0
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.sections: list[int] = []
         self.dropped: list[bool] = []
         self.parents: list[int] = [-1]
         self.names: list[str] = ["page"]
-        # Name, whether it is dropped (inside of a line without ending it: UNSEEN), section.
-        self._open: list[tuple[str, int, int]] = [("page", 0, 0)]
+        # Name, whether it is dropped (inside of a line without ending it: UNSEEN), section, element dropped by name.
+        self._open: list[tuple[str, int, int, int]] = [("page", 0, 0, 0)]
         self._data: list[str] = []
         self._n_tags = 0
 
@@ -84,7 +97,8 @@ class PageLines(HTMLParser):
             text = " ".join("".join(self._data).split())
             self._data.clear()
             if text:
-                _, dropped, section = self._open[-1]
+                _, dropped, section, named = self._open[-1]
+                self.named.append(max(named, 0))
                 self.texts.append(text)
                 self.tags.append(self._n_tags)
                 self.sections.append(section)
@@ -113,15 +127,22 @@ class PageLines(HTMLParser):
             self._data.append(" ")
         if tag in VOID:
             return
-        _, dropped, section = self._open[-1]
+        _, dropped, section, named = self._open[-1]
         if not dropped:
-            if tag in DROPPED or attrs and _named_dropped(attrs) or tag == "header" and not self._in_article():
+            if tag in DROPPED or attrs and _marked_dropped(attrs) or tag == "header" and not self._in_article():
                 dropped = 1 if tag in BLOCKS else UNSEEN
+            elif attrs and tag not in KEPT and (names := _dropping_names(attrs)):
+                if tag in BLOCKS:
+                    self.named_in.append(named)
+                    self.readers.append(not READERS.isdisjoint(names))
+                    named = len(self.named_in) - 1
+                elif self._inline_names:
+                    dropped, named = UNSEEN, named or -1
         if tag in SECTIONS:
             self.parents.append(section)
             self.names.append(tag)
             section = len(self.names) - 1
-        self._open.append((tag, dropped, section))
+        self._open.append((tag, dropped, section, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,28 +159,64 @@ class PageLines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._open[-1][1] != UNSEEN:
             self._data.append(data)
+        elif self._open[-1][3] < 0:
+            self.unseen_by_name += len(data.strip())
 
     def _in_article(self) -> bool:
-        return any(name in ARTICLES for name, _, _ in self._open)
+        return any(name in ARTICLES for name, *_ in self._open)
 
     def finish(self) -> None:
         self.close()
         self._end_line()
 
 
-def _named_dropped(attrs: list) -> bool:
+def _marked_dropped(attrs: list) -> bool:
     for name, value in attrs:
         if not value:
             if name == "hidden":
                 return True
-        elif name in ("class", "id"):
-            if not DROPPED_NAMES.isdisjoint(_NAME_PARTS.split(value.lower())):
-                return True
         elif name == "role" and value.lower() in DROPPED_ROLES or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def _dropping_names(attrs: list) -> set[str]:
+    """The parts of class and id for which an element is dropped."""
+    found: set[str] = set()
+    sided: set[str] = set()
+    others = False
+    for name, value in attrs:
+        if value and name in ("class", "id"):
+            for word in value.lower().split():
+                parts = [p for p in _NAME_PARTS.split(word) if p]
+                if not parts or parts[0] in MODIFIER_FIRST or not MODIFIER_FIRST.isdisjoint(parts[1:-1]):
+                    others = True
+                elif parts[-1] in MODIFIER_LAST:
+                    sided |= DROPPED_NAMES.intersection(parts)
+                else:
+                    others = True
+                    found |= DROPPED_NAMES.intersection(parts)
+    # A name with a side is a modifier beside other names, and the element's own name without.
+    return found if others else sided
+
+
+def dropped_lines(lines: PageLines) -> np.ndarray:
+    """Which lines are dropped: by tag or role, or by the name of an element that doesn't hold most region text."""
+    dropped, named = np.array(lines.dropped, bool), np.array(lines.named, int)
+    if dropped.all() or not named.any():
+        return dropped
+    lengths = np.array([len(t) for t in lines.texts])
+    chosen = region_lines(lengths, np.array(lines.tags), dropped)
+    held = np.bincount(named, np.where(chosen, lengths, 0), len(lines.named_in))
+    for element in range(len(held) - 1, 0, -1):  # an element comes before those in it
+        held[lines.named_in[element]] += held[element]
+    gone = np.zeros(len(held), bool)
+    for element in range(1, len(held)):
+        most = held[element] >= held[0] if lines.readers[element] else held[element] > held[0] / 2
+        gone[element] = gone[lines.named_in[element]] or not most
+    return dropped | gone[named]
+
+
 def smoothed(ratios: np.ndarray, reach: int = REACH, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; weights beyond the ends are left out and the rest scaled up."""
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -237,21 +294,30 @@ def kept_lines(lines: PageLines, article: int, chosen: np.ndarray, core: np.ndar
     ]
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    lines = PageLines()
+def _lines_of(html: str, inline_names: bool = True) -> PageLines:
+    lines = PageLines(inline_names)
     for at in range(0, len(html), FED_AT_ONCE):
         lines.feed(html[at : at + FED_AT_ONCE])
     lines.finish()
-    dropped = np.array(lines.dropped, bool)
+    return lines
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    lines = _lines_of(html)
+    dropped = dropped_lines(lines)
+    if lines.unseen_by_name > sum(len(t) for t, drop in zip(lines.texts, dropped) if not drop):
+        # The page is in an element that ends no line, such as one of its own making.
+        lines = _lines_of(html, inline_names=False)
+        dropped = dropped_lines(lines)
     if dropped.all():
         return ""
     lengths, tags = np.array([len(t) for t in lines.texts]), np.array(lines.tags)
     chosen = region_lines(lengths, tags, dropped)
     core = core_lines(lengths, tags, dropped, chosen)
     kept = kept_lines(lines, article_of(lines, np.where(chosen, lengths, 0), core), chosen, core)
-    return "\n".join(text for text, keep, drop in zip(lines.texts, kept, lines.dropped) if keep and not drop)
+    return "\n".join(text for text, keep, drop in zip(lines.texts, kept, dropped) if keep and not drop)
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

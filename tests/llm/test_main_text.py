@@ -47,6 +47,28 @@ def test_articles_in_unequal_sections_are_whole():
     assert got.count("link") + got.count("more") <= 2 * M.REACH
 
 
+def test_names_of_what_holds_the_article_drop_nothing():
+    side = "<div class='sidebar'><p>More things to read on this side of the page, many of them.</p></div>"
+    for around in (
+        "<body class='single-post has-sidebar'>{}",
+        "<html class='no-banner with-ads'><body id=menu>{}",
+        "<body><div id='content' class='with-sidebar'>{}</div>",
+        "<body><div class='layout sidebar-right'>{}</div>",
+        "<body><div class='social'>{}</div>",
+        "<body><div class='widget'><div class='promo'>{}</div></div>",
+        "<body><article class='post social'>{}</article>",
+        "<body><main id=header class='comments-open'>{}</main>",
+        "<body><x-page class='social'>{}</x-page>",
+    ):
+        got = M.main_text(around.format(PARAGRAPHS + side)).split("\n")
+        assert len(got) == 6 and got[0].startswith("Paragraph 0"), around
+    comments = "".join(f"<p>A reader says at some length what there is to say, for the {i}th time.</p>" for i in range(30))
+    got = M.main_text(f"<body><div>{PARAGRAPHS}</div><div class=comments>{comments}</div><div class='sidebar-right'><p>Aside.</p></div>")
+    assert len(got.split("\n")) == 6
+    got = M.main_text(f"<body><div class=widget>{PARAGRAPHS}<p>Seen <span class=ad>unseen</span><div>End.</div></div><p>x <b class=ad><div>y")
+    assert "unseen" not in got and got.split("\n")[6:8] == ["Seen", "End."]
+
+
 def test_broken_empty_and_plain():
     assert M.main_text(None) == M.main_text("") == M.main_text("<script>x</script>") == M.main_text("<nav>x</nav>") == ""
     assert M.main_text("just &amp; text\n  here") == "just & text here"
