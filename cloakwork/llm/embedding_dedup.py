@@ -10,8 +10,10 @@ by neighbour descent: each hub brings all it is a neighbour of, in either direct
 together; those that are nearer to each other than their lists know replace the
 farthest, until few do.  A hub is saturated if its whole list is near enough for a link
 between members of the balls; its list is made twice as long and the descent goes on.
-A sample of hubs is compared with all others; while too few of their neighbours were
-found, all lists are made longer.
+Then hubs of every label are compared with all others of it, a label of few hubs whole
+and a large one as far as it takes to see enough pairs that may hold links, if need be
+whole.  Pairs that the lists lack are put into them and the descent goes on, until an
+audit of other hubs lacks none; while many are lacking, all lists are made longer too.
 
 Hubs within the threshold's angle plus both balls' radii may have linked members.  If the
 three angles allow no other, all members are linked; else the members are compared in
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
 from cloakwork.llm.permutation_index import valid_vector
-from cloakwork.llm.shared import free_name, smallest_by_hash, staged
+from cloakwork.llm.shared import free_name, staged
 
 THRESHOLD = 0.93
 #: Tables of random hyperplanes, bits of each, and members of a bucket to aim for and at most.
@@ -46,7 +48,9 @@ TABLES, BITS, BUCKET, MOST = 6, 24, 48, 256
 NEIGHBOURS, ROUNDS, STILL = 12, 6, 0.02
 #: What a place brings a member at most, in one round.
 BROUGHT = 3
-AUDITED, RECALL = 256, 0.98
+#: Hubs of a label that an audit begins with, pairs it has to see, how many times as many hubs are
+#: taken while it has not, and the part of the pairs under which all lists are made longer.
+AUDITED, AUDITED_PAIRS, MORE, RECALL = 256, 300, 4, 0.98
 MEMBERS_AT_ONCE = 1_024
 MARGIN = 1e-5
 SEED = 42
@@ -227,9 +231,9 @@ def _kth() -> Column:
     return F.when(F.size("near") < F.col("k"), F.lit(-2.0)).otherwise(F.element_at("near", -1)["sim"])
 
 
-def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The graph after rounds of neighbours-of-neighbours joins."""
-    for _ in range(ROUNDS):
+def descended(graph: DataFrame, nodes: DataFrame, turn: int = 0) -> DataFrame:
+    """The graph after rounds of neighbours-of-neighbours joins; the turn is which descent it is."""
+    for count in range(ROUNDS):
         edges = _edges_of(graph)
         met = (
             edges.select(F.col("a").alias("place"), F.col("b").alias("id"), "fresh")
@@ -237,11 +241,11 @@ def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             .groupBy("place", "id")
             .agg(F.max("fresh").alias("fresh"))
         )
-        # A place that very many meet at is split.
+        # A place that very many meet at is split, each time in another way.
         parts = met.groupBy("place").agg(F.ceil(F.count("*") / F.lit(MOST)).alias("parts"), F.max("fresh").alias("any"))
         met = met.join(parts.where("any").select("place", "parts"), "place")
         known = graph.select(F.col("node").alias("id"), _kth().alias("kth")).join(nodes.select("id", "unit"), "id")
-        places = met.join(known, "id").groupBy("place", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+        places = met.join(known, "id").groupBy("place", F.pmod(F.xxhash64("id", "place", F.lit(turn * ROUNDS + count)), "parts").alias("part"))
         gathered = places.agg(F.collect_list(F.struct("id", "unit", "kth", "fresh")).alias("members"))
         brought = gathered.select(F.explode(F.arrow_udf(_local_join, _EDGES_SQL)("members")).alias("e")).select("e.*")
         old = edges.select("a", "b", "sim", F.lit(False).alias("fresh"))
@@ -265,53 +269,93 @@ def _longer(graph: DataFrame, which: Column) -> DataFrame:
     )
 
 
-def audit(graph: DataFrame, nodes: DataFrame, least: float, n: int = AUDITED) -> float:
-    """The part that the graph holds of the neighbours, at least so similar, of a sample of nodes.
+def _near_pairs(angle: float):
+    """Pairs of two blocks' members that are within the angle and both radii, each once and least id first."""
 
-    The sample, at most `n` vectors, is broadcast; every node is compared with it.
-    """
-    sample = [(r.id, r.label, r.size, np.frombuffer(r.unit, "<f8")) for r in smallest_by_hash(nodes, n, "id").collect()]
-    shared = nodes.sparkSession.sparkContext.broadcast(sample)
-
-    def near(ids: pa.Array, labels: pa.Array, sizes: pa.Array, units: pa.Array) -> pa.Array:
+    def near(ones: pa.Array, others: pa.Array) -> pa.Array:
         out = []
-        asked: dict[tuple, tuple[list, list]] = {}
-        for i, label, size, unit in shared.value:
-            of = asked.setdefault((label, size), ([], []))
-            of[0].append(i)
-            of[1].append(unit)
-        stacked = {key: (np.array(i), np.stack(u)) for key, (i, u) in asked.items()}
-        for i, label, size, unit in zip(ids.to_pylist(), labels.to_pylist(), sizes.to_pylist(), units.to_pylist()):
-            if (label, size) not in stacked:
-                out.append([])
-                continue
-            own, x = stacked[label, size]
-            hit = (x @ np.frombuffer(unit, "<f8") >= least) & (own != i)
-            out.append(own[hit].tolist())
-        return pa.array(out, pa.list_(pa.int64()))
-
-    pairs = nodes.select(
-        F.explode(F.arrow_udf(near, "array<bigint>")("id", "label", "size", "unit")).alias("a"), F.col("id").alias("b")
+        for one, other in zip(ones.to_pylist(), others.to_pylist()):
+            x, y = (np.stack([np.frombuffer(m["unit"], "<f8") for m in side]) for side in (one, other))
+            (i, r), (j, q) = ([np.array([m[c] for m in side]) for c in ("id", "radius")] for side in (one, other))
+            sims = x @ y.T
+            apart = np.arccos(np.clip(sims, -1, 1))
+            rows, columns = np.nonzero((apart <= angle + r[:, None] + q[None, :] + MARGIN) & (i[:, None] != j[None, :]))
+            ends = np.sort(np.stack([i[rows], j[columns]], axis=1), axis=1)
+            out.append([{"a": a, "b": b, "sim": s} for (a, b), s in zip(ends.tolist(), sims[rows, columns].tolist())])
+        return pa.array(out, pa.list_(_EDGES))
+
+    return F.arrow_udf(near, _EDGES_SQL)
+
+
+def audit(graph: DataFrame, nodes: DataFrame, angle: float, turn: int) -> tuple[DataFrame, int, int]:
+    """Pairs (a, b, sim) of hubs that may hold links and that the graph lacks, their number, and that of all seen.
+
+    Hubs of each label, in the order of a hash, are compared with all of the label, block by
+    block, until `AUDITED_PAIRS` pairs were seen or the label is through.
+    """
+    where = ["label", "size"]
+    first = nodes.groupBy(*where).agg(F.count("*").alias("n"))
+    todo = staged(
+        first.select(*where, "n", F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("low"), F.least(F.lit(1.0), AUDITED / F.col("n")).alias("high")),
+        "descent-audit",
     )
-    edges = _edges_of(graph).select("a", "b")
-    either = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("known", F.lit(1))
-    found = pairs.join(either, ["a", "b"], "left").agg(F.count("*").alias("all"), F.count("known").alias("known")).first()
-    return found["known"] / found["all"] if found["all"] else 1.0
+    at = F.pmod(F.xxhash64("id", F.lit(f"audit {turn}")), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    member = F.collect_list(F.struct("id", "unit", "radius"))
+    all_found = None
+    while not todo.isEmpty():
+        placed = nodes.join(todo, where)
+        n_blocks = F.ceil(F.col("n") / F.lit(MEMBERS_AT_ONCE))
+        blocks = placed.groupBy(*where, F.pmod(F.xxhash64("id"), n_blocks).alias("block")).agg(member.alias("others"))
+        some = placed.where((at >= F.col("low")) & (at < F.col("high")))
+        asked = F.ceil(F.col("n") * (F.col("high") - F.col("low")) / F.lit(MEMBERS_AT_ONCE))
+        some = some.groupBy(*where, n_blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(turn)), asked).alias("part")).agg(member.alias("ones"))
+        some = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        pairs = some.join(blocks, [*where, "block"]).select(*where, F.explode(_near_pairs(angle)("ones", "others")).alias("e"))
+        found = staged(pairs.select(*where, "e.*"), "descent-audit")
+        all_found = found if all_found is None else all_found.unionByName(found)
+        counts = found.groupBy(*where).agg(F.count("*").alias("more"))
+        left = todo.where("high < 1").join(counts, where, "left").withColumn("seen", F.col("seen") + F.coalesce("more", F.lit(0)))
+        left = left.where(F.col("seen") < AUDITED_PAIRS)
+        todo = staged(
+            left.select(*where, "n", "seen", F.col("high").alias("low"), F.least(F.lit(1.0), F.col("high") * MORE).alias("high")),
+            "descent-audit",
+        )
+    if all_found is None:
+        return nodes.sparkSession.createDataFrame([], "a long, b long, sim double"), 0, 0
+    seen = all_found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    edges = _edges_of(graph).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    flagged = staged(seen.join(edges.withColumn("known", F.lit(True)), ["a", "b"], "left"), "descent-audit")
+    n = flagged.agg(F.count("*").alias("all"), F.count_if(F.col("known").isNull()).alias("lacking")).first()
+    return flagged.where("known IS NULL").drop("known"), n["lacking"], n["all"]
+
 
+def _with_pairs(graph: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The graph with pairs put into the lists of both; nodes without a list get one."""
+    both = pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    edges = _edges_of(graph).select("a", "b", "sim", "fresh").unionByName(both.withColumn("fresh", F.lit(True)))
+    lengths = nodes.select(F.col("id").alias("node")).join(graph.select("node", "k"), "node", "left")
+    return _graph(edges, lengths.select("node", F.coalesce("k", F.lit(k)).alias("k")))
 
-def neighbour_graph(nodes: DataFrame, reach: float, k: int = NEIGHBOURS) -> DataFrame:
-    """A graph whose lists hold the neighbours within the angle `reach` as far as found."""
+
+def neighbour_graph(nodes: DataFrame, angle: float, reach: float, k: int = NEIGHBOURS) -> DataFrame:
+    """A graph whose lists hold the neighbours within the angle `reach` as far as found.
+
+    `nodes` are (id, label, size, unit, radius); pairs within `angle` and both radii are audited.
+    """
     least = math.cos(min(math.pi, reach))
     edges = bucketed(nodes, -(-k // 2)).withColumn("fresh", F.lit(True))
     graph = descended(_graph(edges, nodes.select(F.col("id").alias("node"), F.lit(k).alias("k"))), nodes)
-    total = nodes.count()
+    total, turn = nodes.count(), 0
     while True:
+        turn += 1
         saturated = (F.size("near") >= F.col("k")) & (_kth() >= least) & (F.col("k") < total)
         if graph.where(saturated).isEmpty():
-            if audit(graph, nodes, least) >= RECALL or graph.where(F.col("k") < total).isEmpty():
+            pairs, lacking, seen = audit(graph, nodes, angle, turn)
+            if not lacking:
                 return graph
-            saturated = F.col("k") < total
-        graph = descended(_longer(graph, saturated), nodes)
+            graph = _with_pairs(graph, nodes, pairs, k)
+            saturated = (F.col("k") < total) & F.lit(lacking > (1 - RECALL) * seen)
+        graph = descended(_longer(graph, saturated), nodes, turn)
 
 
 def _balls(entries: DataFrame) -> DataFrame:
@@ -396,7 +440,7 @@ def near_duplicates(
     )
     angle = math.acos(threshold)
     widest = hubs.agg(F.max("radius")).first()[0] or 0.0
-    graph = neighbour_graph(hubs.select("id", "label", "size", "unit"), angle + 2 * widest + MARGIN)
+    graph = neighbour_graph(hubs.select("id", "label", "size", "unit", "radius"), angle, angle + 2 * widest + MARGIN)
     pairs = _edges_of(graph).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
     pairs = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 

@@ -93,6 +93,24 @@ def test_descent_against_all_pairs(llm):
     assert all(got[r[0]].kept == (r[0] == c) for r, c in zip(rows, least))
 
 
+def test_audit_sees_rare_links_of_small_labels_and_puts_them_into_the_graph(llm):
+    rng = np.random.default_rng(6)
+    unit = rng.standard_normal((420, 32))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unit[419] = unit[418] + 0.05 * unit[417]
+    unit[419] /= np.linalg.norm(unit[419])
+    rows = [(i, "hot" if i < 400 else "small", 32, v.astype("<f8").tobytes(), 0.0) for i, v in enumerate(unit)]
+    nodes = llm.createDataFrame(rows, "id long, label string, size int, unit binary, radius double")
+    # A graph that lacks the only link there is.
+    edges = llm.createDataFrame([(0, 1, 0.1, True)], "a long, b long, sim double, fresh boolean")
+    graph = D._graph(edges, nodes.selectExpr("id AS node", "12 AS k"))
+    pairs, lacking, seen = D.audit(graph, nodes, float(np.arccos(D.THRESHOLD)), 1)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(418, 419)] and lacking == seen == 1
+    graph = D._with_pairs(graph, nodes, pairs, 12)
+    assert {(r.a, r.b) for r in D._edges_of(graph).collect()} == {(0, 1), (418, 419), (419, 418)}
+    assert D.audit(graph, nodes, float(np.arccos(D.THRESHOLD)), 2)[1:] == (0, 1)
+
+
 def test_descent_odd_rows(llm):
     rows = [(5, [1.0, 0.0], 1, "x"), (4, [2.0, 0.0], 1, "x"), (4, [2.0, 0.0], 1, "x"), (3, [1.0, 0.0], None, "x"), (2, None, 1, "x"),
             (1, [0.0, 0.0], 1, "x"), (0, [float("nan"), 1.0], 1, "x"), (6, [1.0], 1, "x"), (7, [1.0, 0.0], 2, "x"), (8, [None, 1.0], 1, "x")]
