@@ -14,6 +14,7 @@ from cloakwork.llm import (
     embedding_dedup,
     language,
     main_text,
+    merkle,
     order_minhash,
     packing,
     permutation_index,
@@ -164,6 +165,97 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a manifest by language, their proofs, and those of tampered rows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+
+    def digest(n_chars: Column) -> Column:
+        return merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    tampered = F.when(in_fold("doc_id", 7, 0), digest(F.col("n_chars") + 1))
+    found = merkle.build(
+        docs, digest(F.col("n_chars")), "lang", ["doc_id"], {"doc_id": F.col("doc_id"), "tampered": tampered}
+    )
+    root = F.lit(found.root()).cast("string")
+    return (
+        merkle.proofs(found)
+        .select(
+            "doc_id",
+            F.lower(F.hex("digest")).alias("leaf"),
+            F.lower(F.hex("subroot")).alias("subroot"),
+            root.alias("root"),
+            merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+            merkle.folded(F.coalesce("tampered", "digest"), F.col("path")).alias("folded_root"),
+        )
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+    )
+
+
+OP11_SQL = r"""
+WITH RECURSIVE codes AS (
+  SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS code
+  FROM range(256) r(b)),
+code_list AS (SELECT list(code ORDER BY b) AS code FROM codes),
+marked AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                         lambda c, x: xor(c // 256, code[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+  FROM documents, code_list),
+leaves AS (
+  SELECT doc_id, lang,
+         sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf,
+         CASE WHEN crc % 7 = 0
+              THEN sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || b) END AS tampered
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                  || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+               coalesce(strlen(text) || ':' || text, '-') AS b FROM marked)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+rows AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM ranked GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1,
+         list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], '')))
+  FROM rows WHERE len(nodes) > 1),
+subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos
+  FROM rows WHERE len(nodes) = 1),
+tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], '')))
+  FROM tops WHERE len(nodes) > 1),
+all_rows AS (
+  SELECT lang, level, nodes, false AS upper FROM rows
+  UNION ALL
+  SELECT s.lang, h.height + t.level, t.nodes, true
+  FROM subroots s JOIN (SELECT lang, max(level) AS height FROM rows GROUP BY lang) h ON s.lang IS NOT DISTINCT FROM h.lang
+  CROSS JOIN tops t),
+steps AS (
+  SELECT d.doc_id, d.pos AS number, d.lang, a.level,
+         (CASE WHEN a.upper THEN s.pos // (1 << (a.level - h.height)::INT) ELSE d.pos // (1 << a.level::INT) END)::BIGINT AS place,
+         a.nodes
+  FROM ranked d
+  JOIN (SELECT lang, max(level) AS height FROM rows GROUP BY lang) h ON d.lang IS NOT DISTINCT FROM h.lang
+  JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang
+  JOIN all_rows a ON d.lang IS NOT DISTINCT FROM a.lang AND len(a.nodes) > 1),
+proofs AS (
+  SELECT lang, number, list(CASE WHEN place % 2 = 1 THEN 'L' || nodes[place] ELSE 'R' || coalesce(nodes[place + 2], '') END
+                            ORDER BY level) AS path
+  FROM steps GROUP BY lang, number),
+done AS (
+  SELECT d.doc_id, d.leaf, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root,
+         coalesce(p.path, []) AS path, coalesce(d.tampered, d.leaf) AS used
+  FROM ranked d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN proofs p ON d.lang IS NOT DISTINCT FROM p.lang AND d.pos = p.number),
+folded AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256,
+         list_reduce(path, lambda h, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || h ELSE h || x[2:] END), used) AS folded_root
+  FROM done)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -175,6 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_descent": op9_embedding_descent,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op11_merkle_manifest": OP11_SQL}
