@@ -19,6 +19,7 @@ from cloakwork.llm import (
     order_minhash,
     packing,
     permutation_index,
+    retrieval_packing,
     secret_scan,
     toxicity,
 )
@@ -288,6 +289,12 @@ FROM scored WHERE score > 0 QUALIFY rank <= 20
 """
 
 
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens with their lexical neighbours."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval_packing.pack(docs, VOCABULARY, PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -301,6 +308,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_lexical_search": op12_lexical_search,
+    "op13_retrieval_packing": op13_retrieval_packing,
 }
 
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op11_merkle_manifest": OP11_SQL, "op12_lexical_search": OP12_SQL}
