@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.packing import SPECIAL_ID, token_ids
 from cloakwork.llm.bpe import rank_table
+from cloakwork.llm.packing import SPECIAL_ID, token_ids
 from cloakwork.llm.shared import let_workers_import, staged
 
 CAPACITY, END_ID = 2_048, 1
@@ -37,6 +37,7 @@ SHARD_TOKENS = 1 << 21
 #: A seed is looked up by so many tokens; so many neighbours are returned at once.
 QUERY_TERMS, NEIGHBOURS = 24, 64
 K1, B = 1.2, 0.75
+ROWS_AT_ONCE = 256
 #: Weights are whole multiples of 1/SCALE, so a sum doesn't depend on its order.
 SCALE = 1_024
 
@@ -52,11 +53,10 @@ class Corpus:
     def of(cls, holding: np.ndarray, documents: int, tokens: int) -> Corpus:
         return cls(np.log1p((documents - holding + 0.5) / (holding + 0.5)), max(1.0, tokens / max(1, documents)))
 
-    def profile(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct tokens of a document and their weights."""
-        terms, tf = np.unique(ids, return_counts=True)
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
-        return terms.astype(np.int64), (SCALE * self.idf[terms] * part).astype(np.int64)
+    def weights(self, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        """What each posting gives; `lengths` are those of its documents."""
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / self.mean))
+        return (SCALE * self.idf[terms] * part).astype(np.int64)
 
 
 def id_type(path: str) -> str:
@@ -65,18 +65,34 @@ def id_type(path: str) -> str:
 
 
 def _tokenised(df: DataFrame, path: str, pattern: str, doc_id: str, text: str, kind: str) -> DataFrame:
-    """row (a number of its own), id, packed ids without the end, and how many with it."""
+    """row (a number of its own), id, n (ids with the end), packed ids without it, distinct tokens and their counts."""
 
-    def encode(texts: pa.Array) -> pa.Array:
-        return pa.array([token_ids(path, pattern, t or "").astype(kind).tobytes() for t in texts.to_pylist()], pa.binary())
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Few rows at a time, so that a worker holds little beside the texts it was given.
+            for part in (batch.slice(k, ROWS_AT_ONCE) for k in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                ids = [token_ids(path, pattern, t or "") for t in part.column(2).to_pylist()]
+                found = [np.unique(x, return_counts=True) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array([len(x) + 1 for x in ids], pa.int64()),
+                        pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+                        pa.array([x.astype(kind).tobytes() for x, _ in found], pa.binary()),
+                        pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary()),
+                    ],
+                    ["row", "doc_id", "n", "ids", "terms", "counts"],
+                )
 
-    size = np.dtype(kind).itemsize
-    ids = df.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(f"`{doc_id}`").alias("doc_id"),
-        F.arrow_udf(encode, "binary")(F.col(f"`{text}`")).alias("ids"),
-    )
-    return ids.withColumn("n", (F.octet_length("ids") / size + 1).cast("long"))
+    given = df.schema[doc_id].dataType.simpleString()
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`"))
+    return rows.mapInArrow(encode, f"row bigint, doc_id {given}, n bigint, ids binary, terms binary, counts binary")
+
+
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers that the rows of a binary column are packed of, one row after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _holding(rows: DataFrame, kind: str, size: int) -> np.ndarray:
@@ -85,17 +101,32 @@ def _holding(rows: DataFrame, kind: str, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                held[np.unique(np.frombuffer(ids, kind))] += 1
+            held += np.bincount(_joined(batch.column(0), kind), minlength=size)
         terms = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(held[terms])], ["term", "docs"])
 
     found = np.zeros(size, np.int64)
-    for r in rows.select("ids").mapInArrow(count, "term int, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
+    for r in rows.select("terms").mapInArrow(count, "term int, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
         found[r.term] = r.docs
     return found
 
 
+def keys_of(corpus: Corpus, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The weightiest token of each document, the smallest of equal ones; -1 where there is none.
+
+    `sizes` are the distinct tokens of each document, `terms` ascend in each.
+    """
+    keys = np.full(len(sizes), -1, np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        weights = corpus.weights(terms, counts, np.repeat(lengths, sizes))
+        most = np.repeat(np.maximum.reduceat(weights, starts), sizes[some])
+        best = np.where(weights == most, terms.astype(np.int64), np.iinfo(np.int64).max)
+        keys[some] = np.minimum.reduceat(best, starts)
+    return keys
+
+
 def shard_plan(tokens: dict[int, int], target: int) -> dict[int, tuple[int, int]]:
     """For each key its first shard and over how many it is dealt; neighbouring small keys share one."""
     plan, shard, room = {}, -1, 0
@@ -120,8 +151,10 @@ class Index:
         terms, weights = (np.concatenate([p[k] for p in profiles]) for k in (0, 1))
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = docs[order], weights[order]
-        present, starts = np.unique(terms[order], return_index=True)
-        self.lists = dict(zip(present.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)])))
+        ordered = terms[order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        bounds = zip(starts.tolist(), [*starts[1:].tolist(), len(order)])
+        self.lists = dict(zip(ordered[starts].tolist(), bounds))
 
     def neighbours(self, profile: tuple[np.ndarray, np.ndarray]) -> list[int]:
         """Unused documents by falling score, then number; none that shares no query token."""
@@ -137,6 +170,16 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")][:NEIGHBOURS].tolist()
 
 
+def profiles(corpus: Corpus, documents: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct tokens of each document and their weights."""
+    found = [np.unique(ids, return_counts=True) for ids in documents]
+    terms, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    sizes = [len(f[0]) for f in found]
+    weights = corpus.weights(terms, counts, np.repeat([len(ids) for ids in documents], sizes))
+    ends = np.cumsum(sizes)
+    return [(f[0], weights[end - len(f[0]) : end]) for f, end in zip(found, ends.tolist())]
+
+
 def fill_windows(sizes: list[int], profiles: list, capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length); all are full but the last."""
     index = Index(profiles)
@@ -214,14 +257,13 @@ def pack(
     documents, tokens = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()
     corpus = spark.sparkContext.broadcast(Corpus.of(_holding(rows, kind, size), documents, tokens))
 
-    def key_of(ids: bytes) -> int:
-        terms, weights = corpus.value.profile(np.frombuffer(ids, kind))
-        return int(terms[weights.argmax()]) if len(terms) else -1
-
-    def keys(batch: pa.Array) -> pa.Array:
-        return pa.array([key_of(ids) for ids in batch.to_pylist()], pa.int32())
+    def keys(terms: pa.Array, counts: pa.Array, n: pa.Array) -> pa.Array:
+        sizes = np.array([len(c) // 4 for c in counts.to_pylist()], np.int64)
+        return pa.array(
+            keys_of(corpus.value, _joined(terms, kind), _joined(counts, "<u4"), sizes, n.to_numpy() - 1), pa.int32()
+        )
 
-    keyed = rows.withColumn("key", F.arrow_udf(keys, "int")("ids"))
+    keyed = rows.withColumn("key", F.arrow_udf(keys, "int")("terms", "counts", "n"))
     plan = shard_plan({r.key: r.n for r in keyed.groupBy("key").agg(F.sum("n").alias("n")).collect()}, shard_tokens)
     shards = spark.createDataFrame([(k, *v) for k, v in plan.items()], "key int, first int, parts int")
     dealt = keyed.join(F.broadcast(shards), "key").withColumn(
@@ -233,7 +275,7 @@ def pack(
         table = table.sort_by([("key", "ascending"), ("row", "ascending")])
         shard = table["shard"][0].as_py()
         ids = [np.frombuffer(x, kind) for x in table["ids"].to_pylist()]
-        windows = fill_windows([len(x) + 1 for x in ids], [corpus.value.profile(x) for x in ids], capacity)
+        windows = fill_windows([len(x) + 1 for x in ids], profiles(corpus.value, ids), capacity)
         if windows and sum(length for _, _, length in windows[-1]) < capacity:
             windows[-1:] = powers(windows[-1])
         ended = {}
