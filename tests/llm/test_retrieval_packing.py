@@ -156,6 +156,15 @@ def test_neighbours_share_a_window_more_often_than_by_chance(llm):
     assert np.mean(pairs) > 0.9
 
 
+def test_runs_are_the_patterns_matches(llm):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aZé1٣ \n\t\u00a0\u3000'’sStmdrelv.!-日", k=rng.randint(0, 30))) for _ in range(20_000)]
+    texts += [r.text for r in llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in texts:
+        fast, given = (packing.token_ids(VOCABULARY, p, t) for p in (queries.RUNS, PATTERN))
+        assert np.array_equal(fast, given), t
+
+
 def test_query_on_the_given_table(llm):
     sf = "/root/testdata/sf0.001"
     rows = llm.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
