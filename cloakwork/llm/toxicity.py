@@ -1,21 +1,24 @@
-"""Toxicity by class-conditional Kneser-Ney models of words.
-
-Two bigram models, of toxic and of ordinary texts, back off to class unigrams and these
-to counts that both classes share.  All counts are continuation counts (in how many
-contexts a word or pair occurs), so a text that was copied a thousand times counts
-once.  The discount is `beta * sqrt(count)`: what a class says about a rare expression
-is within the noise and goes to the shared counts.  The toxic model is `1 - rho` parts
-the ordinary one, as a toxic text is mostly ordinary words; so the two likelihoods
-differ by the words that matter and not by which languages happened to be labelled.
-
-The difference of the log-likelihoods is divided by the number of words (and a few
-more, so that one word does not decide on a text of two), and a logistic curve,
-whose middle is the cut that errs least on labelled rows kept out of the counts, makes
-it a score.  `beta` is the largest of `BETAS` that errs there as seldom as the best one,
-within one standard error.
+"""Toxicity by class-conditional Kneser-Ney models of words, spelled character by character.
+
+A class gives a word the product of its characters' probabilities after what was spelled
+before them, and the end's.  A beginning that the class has seen `n` times has its counts
+discounted by modified Kneser-Ney (three discounts from the counts of counts of the class),
+and what that sets free goes to counts that both classes share: in how many distinct words a
+beginning goes on so, discounted likewise and smoothed by equal shares.  So a rare word, or
+one never seen, is judged by the stem it has in common with others, and where neither class
+knows more the shared counts cancel.  All counts are continuation counts (in how many
+contexts of two words a word occurs), so a text copied a thousand times counts once.
+
+A word of a toxic text comes from the toxic model with probability `rho`, else from the
+ordinary one, as a toxic text is mostly ordinary words.  The difference of the two
+log-likelihoods is divided by the number of words (and a few more, so that one word does
+not decide on a text of two).  A logistic curve makes it a score; its middle is the cut at
+which the two classes' shares of errors sum to least.  It is chosen by cross-fitting: each
+labelled text is judged by the model of the other `FOLDS - 1` folds, so all serve both.
 
 Bounded: the models are fitted on at most `sample` labelled documents per class, chosen
-by a hash of the id, whole texts.  What is broadcast is what these hold.
+by a hash of the id, whole texts.  Beginnings that these hold `LEAST` times are collected
+and broadcast; rarer ones are smoothed away.
 
 Defined results: null and empty texts have no evidence and score what that means under
 the curve (0 if nothing could be learned); labels that are null or not 0 or 1, and ids
@@ -27,10 +30,12 @@ output are replaced.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +45,16 @@ from pyspark.sql import functions as F
 from cloakwork.llm.shared import smallest_by_hash, staged, with_struct
 
 SAMPLE = 4_000
-BETAS = (1.5, 2.5, 4.0)
 RHO = 0.02
 #: Words added to a text's length.
 LENGTH_PRIOR = 20
-SHARED_DISCOUNT = 0.75
-#: One labelled document in so many is kept out of the counts, for the curve.  The least
-#: hash of its three-word shingles decides, so near copies stay on one side mostly.
-KEPT_OUT, SHINGLE = 3, 3
-#: An ordinary text called toxic counts as so many errors of the other kind.
-FALSE_ALARM = 3.0
-WORDS_AT_ONCE = 500_000
+#: The least hash of a text's three-word shingles is its fold, so near copies mostly share one.
+FOLDS, SHINGLE = 3, 3
+#: Words are told apart by so many characters; beginnings seen less than LEAST times are not kept.
+LONGEST, LEAST = 16, 2
+END = " "
+#: Words whose evidence a worker keeps at a time.
+MOST_VALUES = 400_000
 
 WORD = re.compile(r"\w+")
 CLASSES = (0, 1)
@@ -60,48 +64,42 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def discounts(counts: list[int]) -> np.ndarray:
+    """What is taken off counts 0, 1, 2, and 3 or more, given how many there are of 1 to 4."""
+    n = [max(1, c) for c in counts]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))])
+
+
 @dataclass
 class Model:
-    """Log-likelihood differences of words after words, in arrays by word number; 0 is any other word."""
+    """By beginning: the log-ratio of the classes up to there, and of going on as neither has."""
 
     numbers: dict[str, int]
-    unigram: np.ndarray  # [class, word]
-    backoff: np.ndarray  # [class, context]
-    pairs: np.ndarray  # context * n + word, sorted
-    bigram: np.ndarray  # [class, pair]
+    upto: np.ndarray
+    leaving: np.ndarray
     rho: float = RHO
-
-    def differences(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: toxic minus ordinary log-likelihood over its length."""
-        out = np.zeros(len(texts))
-        held: list[int] = []
-        ends: list[int] = []
-        first = 0
-        for i, text in enumerate(texts):
-            get = self.numbers.get
-            held += [get(w, 0) for w in words(text)]
-            ends.append(len(held))
-            if len(held) >= WORDS_AT_ONCE or i == len(texts) - 1:
-                out[first : i + 1] = self._of(np.array(held, np.int64), np.array(ends))
-                held, ends, first = [], [], i + 1
-        return out
-
-    def _of(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        starts = np.concatenate([[0], ends[:-1]])
-        if not len(ids):
-            return np.zeros(len(ends))
-        context = np.concatenate([[0], ids[:-1]])
-        context[starts[starts < ends]] = 0
-        p = self.backoff[:, context] * self.unigram[:, ids]
-        if len(self.pairs):
-            known = np.flatnonzero((context > 0) & (ids > 0))
-            keys = context[known] * len(self.numbers) + ids[known]
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            hit = self.pairs[at] == keys
-            p[:, known[hit]] += self.bigram[:, at[hit]]
-        each = np.log1p(self.rho * (p[1] / p[0] - 1))
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        return (sums[ends] - sums[starts]) / (ends - starts + LENGTH_PRIOR)
+    values: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def ratio(self, word: str) -> float:
+        """Log-likelihood of the word in toxic text over that in ordinary text."""
+        spelled = word[:LONGEST] + END
+        known = next(n for n in range(len(spelled), -1, -1) if spelled[:n] in self.numbers)
+        at = self.numbers[spelled[:known]]
+        return float(self.upto[at] + (self.leaving[at] if known < len(spelled) else 0.0))
+
+    def value(self, word: str) -> float:
+        found = self.values.get(word)
+        if found is None:
+            if len(self.values) >= MOST_VALUES:
+                self.values.clear()
+            found = self.values[word] = math.log1p(self.rho * math.expm1(min(self.ratio(word), 50.0)))
+        return found
+
+    def difference(self, text: str | None) -> float:
+        """Toxic minus ordinary log-likelihood over the text's length."""
+        own = words(text)
+        return sum(map(self.value, own)) / (len(own) + LENGTH_PRIOR)
 
 
 @dataclass
@@ -114,100 +112,107 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.model.differences(texts) - self.cut), -30, 30)))
+        found = np.array([self.model.difference(t) for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(self.slope * (found - self.cut), -30, 30)))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (label, word before the last, last word, word) of each batch."""
+    """Distinct (label, fold, word before the last, last word, word) of each batch."""
     for batch in batches:
         seen: set[tuple] = set()
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for label, fold, text in zip(*(c.to_pylist() for c in batch.columns)):
             own = words(text)
-            seen.update(zip([label] * len(own), ["", "", *own], ["", *own], own))
+            seen.update(zip([label] * len(own), [fold] * len(own), ["", "", *own], ["", *own], own))
         if seen:
             columns = list(zip(*seen))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.string()) for c in columns[1:])],
-                ["label", "u", "v", "w"],
+                [*(pa.array(c, pa.int32()) for c in columns[:2]), *(pa.array(c, pa.string()) for c in columns[2:])],
+                ["label", "fold", "u", "v", "w"],
             )
 
 
-def _kept_out(texts: pa.Array) -> pa.Array:
-    rows = []
-    for text in texts.to_pylist():
-        own = words(text)
-        shingles = (" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1)))
-        rows.append(min(zlib.crc32(s.encode()) for s in shingles) % KEPT_OUT == 0)
-    return pa.array(rows, pa.bool_())
-
-
-def _discounted(column: str, beta: float):
-    return F.least(F.col(column).cast("double"), F.lit(beta) * F.sqrt(column))
-
-
-def _models(sample: DataFrame, betas: tuple[float, ...], rho: float) -> list[Model]:
-    contexts = sample.select("label", "text").mapInArrow(_contexts, "label int, u string, v string, w string")
-    counted = contexts.distinct().groupBy("v", "w")
-    pairs = staged(counted.agg(*(F.count_if(F.col("label") == c).alias(f"c{c}") for c in CLASSES)), "toxicity-pairs")
-    unigrams = staged(
-        pairs.groupBy("w").agg(
-            *(F.count_if(F.col(f"c{c}") > 0).alias(f"c{c}") for c in CLASSES),
-            F.count("*").alias("both"),
-            F.max(F.greatest("c0", "c1")).alias("most"),
-        ),
-        "toxicity-words",
+def fold_of(text: str | None) -> int:
+    own = words(text)
+    shingles = (" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1)))
+    return min(zlib.crc32(s.encode()) for s in shingles) % FOLDS
+
+
+def _folds(texts: pa.Array) -> pa.Array:
+    return pa.array([fold_of(t) for t in texts.to_pylist()], pa.int32())
+
+
+def _beginnings(sample: DataFrame) -> DataFrame:
+    """A row per beginning of a word, the empty one too: counts `c` by class and fold, and `t`, distinct words.
+
+    `t` has an entry for each fold left out, and one for all.
+    """
+    contexts = sample.select("label", "fold", "text").mapInArrow(_contexts, "label int, fold int, u string, v string, w string")
+    parts = [(c, k) for c in CLASSES for k in range(FOLDS)]
+    counted = contexts.distinct().groupBy("w").agg(
+        *(F.count_if((F.col("label") == c) & (F.col("fold") == k)).alias(f"c{c}_{k}") for c, k in parts)
+    )
+    spelled = F.concat(F.substring("w", 1, LONGEST), F.lit(END))
+    beginnings = F.transform(F.sequence(F.lit(0), F.length(spelled)), lambda n: F.substr(spelled, F.lit(1), n))
+    without = [functools.reduce(lambda a, b: a + b, (F.col(f"c{c}_{j}") for c, j in parts if j != k)) for k in range(FOLDS + 1)]
+    return (
+        counted.select(*(f"c{c}_{k}" for c, k in parts), *(w.alias(f"w_{k}") for k, w in enumerate(without)), F.explode(beginnings).alias("beginning"))
+        .groupBy("beginning")
+        .agg(*(F.sum(f"c{c}_{k}").alias(f"c{c}_{k}") for c, k in parts), *(F.count_if(F.col(f"w_{k}") > 0).alias(f"t_{k}") for k in range(FOLDS + 1)))
     )
-    total = unigrams.agg(
-        F.count("*").alias("types"),
-        F.sum("both").alias("both"),
-        *(F.sum(f"c{c}").alias(f"n{c}") for c in CLASSES),
-        *(F.sum(_discounted(f"c{c}", b)).alias(f"l{c}_{k}") for c in CLASSES for k, b in enumerate(betas)),
+
+
+def _models(sample: DataFrame, rho: float) -> list[Model]:
+    """The models without each fold, and that of all; none where a class has no word."""
+    rows = staged(_beginnings(sample), "toxicity-beginnings")
+    counts = [
+        [functools.reduce(lambda a, b: a + b, (F.col(f"c{c}_{j}") for j in range(FOLDS) if j != k)) for c in CLASSES]
+        + [F.col(f"t_{k}")]
+        for k in range(FOLDS + 1)
+    ]
+    of_counts = rows.where("beginning <> ''").agg(
+        F.count_distinct(F.substring("beginning", -1, 1)),
+        *(F.count_if(counts[m][k] == n) for m in range(FOLDS + 1) for k in range(3) for n in (1, 2, 3, 4)),
     ).first()
-    if not total.types or not total.n0 or not total.n1:
+    kept = rows.where((counts[FOLDS][0] + counts[FOLDS][1] >= LEAST) | (F.col("beginning") == ""))
+    table = kept.select("beginning", *(x.cast("long").alias(f"x{m}_{k}") for m, own in enumerate(counts) for k, x in enumerate(own))).toArrow()
+    beginnings = table["beginning"].to_pylist()
+    order = sorted(range(len(beginnings)), key=lambda i: (len(beginnings[i]), beginnings[i]))
+    names = [beginnings[i] for i in order]
+    numbers = {b: i for i, b in enumerate(names)}
+    x = np.stack([table[c].to_numpy()[order] for c in table.column_names[1:]]).reshape(FOLDS + 1, 3, len(names))
+    if not names or not x[FOLDS, :2, 0].all():
         return []
-    telling = min(betas) ** 2
-    of_context = pairs.groupBy("v").agg(
-        *(F.sum(f"c{c}").alias(f"n{c}") for c in CLASSES),
-        *(F.sum(_discounted(f"c{c}", b)).alias(f"l{c}_{k}") for c in CLASSES for k, b in enumerate(betas)),
-        F.max(F.greatest("c0", "c1")).alias("most"),
-    )
-    known = unigrams.where(F.greatest("c0", "c1", "most") > telling).toPandas().sort_values("w")
-    before = of_context.where(F.col("most") > telling).toPandas().sort_values("v")
-    after = pairs.where(F.greatest("c0", "c1") > telling).toPandas()
-
-    numbers = {w: i for i, w in enumerate(dict.fromkeys(["", *known["w"], *before["v"]]))}
-    n = len(numbers)
-    both = np.ones(n)
-    at = known["w"].map(numbers).to_numpy(np.int64)
-    both[at] = known["both"]
-    shared = (np.maximum(both - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * total.types / (total.types + 1)) / total.both
-    v, w = (after[c].map(numbers).to_numpy(np.int64) for c in ("v", "w"))
-    order = np.argsort(v * n + w)
-    context = before["v"].map(numbers).to_numpy(np.int64)
+    parent = np.array([numbers[b[:-1]] for b in names])
+    ends = np.flatnonzero(np.diff([len(b) for b in names], append=-1)) + 1
+    by_length = list(zip([1, *ends[1:-1].tolist()], ends[1:].tolist()))
+    least = np.array(of_counts[1:]).reshape(FOLDS + 1, 3, 4)
     models = []
-    for k, beta in enumerate(betas):
-        def left(count):
-            return np.maximum(count - beta * np.sqrt(count), 0)  # noqa: B023
-
-        unigram, backoff = np.empty((2, n)), np.ones((2, n))
-        bigram = np.zeros((2, len(after)))
-        for c in CLASSES:
-            count = np.zeros(n)
-            count[at] = known[f"c{c}"]
-            size = total[f"n{c}"]
-            unigram[c] = left(count) / size + total[f"l{c}_{k}"] / size * shared
-            sizes = before[f"n{c}"].to_numpy(float)
-            seen = sizes > 0
-            backoff[c, context[seen]] = (before[f"l{c}_{k}"].to_numpy(float) / np.maximum(sizes, 1))[seen]
-            of = np.ones(n)
-            of[context[seen]] = sizes[seen]
-            bigram[c] = left(after[f"c{c}"].to_numpy(float)) / of[v]
-        # The empty word stands for any other one; after it, and at the start, the unigrams hold.
-        backoff[:, 0] = 1
-        models.append(Model(numbers, unigram, backoff, (v * n + w)[order], bigram[:, order], rho))
+    for m in range(FOLDS + 1):
+        known = x[m, 0] + x[m, 1] >= LEAST
+        known[0] = True
+        upto, leaving = _ratios(x[m], known, parent, by_length, [discounts(row.tolist()) for row in least[m]], of_counts[0])
+        held = {b: i for b, i in numbers.items() if known[i]} if m < FOLDS else numbers
+        models.append(Model(held, upto, leaving, rho))
     return models
 
 
+def _ratios(x, known, parent, by_length, taken_off, letters) -> tuple[np.ndarray, np.ndarray]:
+    """For each beginning the log-ratio up to there and that of what is set free after it."""
+    kept, free = np.zeros(x.shape), np.ones(x.shape)
+    for k in range(3):
+        kept[k, 1:] = np.where(known, np.maximum(x[k] - taken_off[k][np.minimum(x[k], 3)], 0), 0)[1:]
+        used = np.bincount(parent[1:], weights=kept[k, 1:], minlength=len(parent))
+        free[k] = np.where(x[k] > 0, np.maximum((x[k] - used) / np.maximum(x[k], 1), 1e-9), 1.0)
+    above = np.maximum(x[:, parent], 1)
+    shared = kept[2] / above[2] + free[2, parent] / max(1, letters)
+    toxic, ordinary = (kept[c] / above[c] + free[c, parent] * shared for c in (1, 0))
+    upto = np.zeros(len(parent))
+    step = np.log(toxic / ordinary)
+    for start, end in by_length:
+        upto[start:end] = upto[parent[start:end]] + step[start:end]
+    return upto, np.log(free[1] / free[0])
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -215,7 +220,6 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     sample: int = SAMPLE,
-    betas: tuple[float, ...] = BETAS,
     rho: float = RHO,
 ) -> Scorer:
     """A scorer from the documents that `labels` (id, label) marks."""
@@ -227,33 +231,21 @@ def fit(
     # Bounded by the sample size per class, so its ids may be broadcast.
     picked = F.broadcast(smallest_by_hash(marked, sample, "id", "label"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id")
-    aside = F.arrow_udf(_kept_out, "boolean")("text")
-    chosen = staged(texts.select("label", "text", aside.alias("out")), "toxicity-sample")
-    models = _models(chosen.where(~F.col("out")), betas, rho)
+    chosen = staged(texts.select("label", "text", F.arrow_udf(_folds, "int")("text").alias("fold")), "toxicity-sample")
+    models = _models(chosen, rho)
     if not models:
         return Scorer(None, 0.0, 0.0, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def evidence(column: pa.Array) -> pa.Array:
-        own = column.to_pylist()
-        return pa.array(np.stack([m.differences(own) for m in shared.value], axis=1).tolist(), pa.list_(pa.float64()))
-
-    kept = chosen.where("out").select("label", F.arrow_udf(evidence, "array<double>")("text").alias("x")).toPandas()
-    y = kept["label"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return Scorer(models[-1], 0.0, 1.0)
-    weight = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
-    fits = []
-    for k, model in enumerate(models):
-        x = np.array([row[k] for row in kept["x"]])
-        cost = np.where(y == 1, weight, FALSE_ALARM * weight)
-        cut, wrong = least_wrong_cut(x, y, cost)
-        spread = np.sqrt((cost[(x >= cut) != (y == 1)] ** 2).sum())
-        fits.append((wrong, spread, cut, x, model))
-    # The strongest discount that errs as seldom as the best, within one standard error.
-    most = min(wrong + spread for wrong, spread, *_ in fits)
-    cut, x, model = [f[2:] for f in fits if f[0] <= most][-1]
-    return Scorer(model, cut, slope_at(x - cut, y, weight))
+    shared = docs.sparkSession.sparkContext.broadcast(models[:FOLDS])
+
+    def evidence(column: pa.Array, fold: pa.Array) -> pa.Array:
+        held = zip(column.to_pylist(), fold.to_pylist())
+        return pa.array([shared.value[k].difference(t) for t, k in held], pa.float64())
+
+    judged = chosen.select("label", F.arrow_udf(evidence, "double")("text", "fold").alias("x")).toArrow()
+    x, y = (judged[c].to_numpy() for c in ("x", "label"))
+    weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
+    cut, _ = least_wrong_cut(x, y, weight)
+    return Scorer(models[FOLDS], cut, slope_at(x - cut, y, weight))
 
 
 def least_wrong_cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

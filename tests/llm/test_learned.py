@@ -1,10 +1,13 @@
 """Held-out accuracy of what is learned, gradients, and the cases without anything to learn from."""
 
+import collections
 import math
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloakwork.llm import language as L
 from cloakwork.llm import toxicity as T
@@ -91,26 +94,75 @@ def test_toxicity_without_examples(llm):
     assert T.score(docs.limit(0), only).count() == 0
 
 
-def test_model_against_sums_in_plain_python():
-    numbers = {"": 0, "a": 1, "b": 2}
-    unigram = np.array([[0.2, 0.5, 0.1], [0.1, 0.3, 0.4]])
-    backoff = np.array([[1, 0.5, 1], [1, 0.25, 1]])
-    model = T.Model(numbers, unigram, backoff, np.array([1 * 3 + 2]), np.array([[0.3], [0.2]]), 0.5)
-
-    def plain(text):
-        own = [numbers.get(w, 0) for w in T.words(text)]
-        total, before = 0.0, 0
-        for w in own:
-            p = [backoff[c, before] * unigram[c, w] + (0.3, 0.2)[c] * ((before, w) == (1, 2)) for c in (0, 1)]
-            total += math.log(0.5 + 0.5 * p[1] / p[0])
-            before = w
-        return total / (len(own) + T.LENGTH_PRIOR)
-
-    texts = ["a b zz", None, "", "b a b", "a a b " * 50]
-    for at_once in (2, 500_000):
-        T.WORDS_AT_ONCE = at_once
-        assert np.allclose(model.differences(texts), [plain(t) for t in texts])
-    T.WORDS_AT_ONCE = 500_000
+def plain_ratio(rows, letters, word):
+    """Log-ratio of a word from (label, text) rows: counts of contexts in each fold, discounts and backoff written out."""
+    seen = {
+        (y, T.fold_of(t), u, v, w)
+        for y, t in rows
+        for own in [T.words(t)]
+        for u, v, w in zip(["", "", *own], ["", *own], own)
+    }
+    count = collections.Counter()
+    for y, _, _, _, w in seen:
+        spelled = w[: T.LONGEST] + T.END
+        for n in range(len(spelled) + 1):
+            count[y, spelled[:n]] += 1
+    for w in {w for *_, w in seen}:
+        spelled = w[: T.LONGEST] + T.END
+        for n in range(len(spelled) + 1):
+            count["t", spelled[:n]] += 1
+    every = {b for _, b in count}
+
+    def off(kind, n):
+        of = collections.Counter(c for (k, b), c in count.items() if k == kind and b)
+        one, two = max(1, of[1]), max(1, of[2])
+        y = one / (one + 2 * two)
+        n = min(n, 3)
+        return min(max(n - (n + 1) * y * max(1, of[n + 1]) / max(1, of[n]), 0.05), n - 0.05) if n else 0.0
+
+    kept = {b for b in every if count[0, b] + count[1, b] >= T.LEAST or not b}
+
+    def rest(kind, b):
+        return max(count[kind, b] - off(kind, count[kind, b]), 0) if b in kept else 0
+
+    def free(kind, b):
+        n = count[kind, b]
+        return max((n - sum(rest(kind, c) for c in every if c and c[:-1] == b)) / n, 1e-9) if n else 1.0
+
+    spelled, total = word[: T.LONGEST] + T.END, 0.0
+    for n in range(1, len(spelled) + 1):
+        b, before = spelled[:n], spelled[: n - 1]
+        if b not in kept:
+            return total + math.log(free(1, before) / free(0, before))
+        shared = rest("t", b) / max(1, count["t", before]) + free("t", before) / letters
+        p = [rest(y, b) / max(1, count[y, before]) + free(y, before) * shared for y in (0, 1)]
+        total += math.log(p[1] / p[0])
+    return total
+
+
+def test_models_against_counts_in_plain_python(llm):
+    rng = random.Random(4)
+    words = ["idiot", "idiotic", "idle", "tree", "trees", "a", "é", "x" * 30, "x" * 16 + "y"]
+    rows = [(y, " ".join(rng.choices(words, [3 * y, y, 1, 2, 1, 3, 1, 1, 1], k=rng.randint(1, 9)))) for y in (0, 1) * 12]
+    rows += [(1, None), (0, ""), rows[0], rows[0], rows[1]]
+    folds = [T.fold_of(t) for _, t in rows]
+    sample = llm.createDataFrame([(y, t, k) for (y, t), k in zip(rows, folds)], "label int, text string, fold int").repartition(3)
+    models = T._models(sample, T.RHO)
+    letters = len({c for _, t in rows for w in T.words(t) for c in w[: T.LONGEST]} | {T.END})
+    for fold, model in enumerate(models):
+        own = [r for r, k in zip(rows, folds) if k != fold]
+        for word in [*words, "idiocy", "trie", "zz", "x", "x" * 17]:
+            assert abs(model.ratio(word) - plain_ratio(own, letters, word)) < 1e-9, (fold, word)
+    assert models[-1].ratio("idiots") > 0 > models[-1].ratio("trees")
+    text = "idiot zz tree"
+    each = [math.log(1 + T.RHO * (math.exp(models[-1].ratio(w)) - 1)) for w in text.split()]
+    assert abs(models[-1].difference(text) - sum(each) / (3 + T.LENGTH_PRIOR)) < 1e-12
+
+
+def test_discounts_are_modified_kneser_ney():
+    y = 100 / (100 + 2 * 40)
+    assert np.allclose(T.discounts([100, 40, 20, 10]), [0, 1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.5])
+    assert (T.discounts([0, 0, 0, 0]) < [0.1, 1, 2, 3]).all()
 
 
 @pytest.mark.parametrize("case", range(20))
@@ -125,15 +177,27 @@ def test_cut_by_trying_all(case):
 
 
 def test_toxicity_held_out(llm):
+    """Against the labels of rows that were kept out, for each language."""
     from cloakwork.llm import queries
 
-    words = {"pathetic", "loser", "idiot", "moron", "disgusting", "scum", "worthless", "stupid", "trash", "clown"}
-    docs = {r.doc_id: r.text for r in llm.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = llm.read.parquet(f"{SF}/documents.parquet")
     got = queries.op5_toxicity(llm, SF).collect()
-    assert len(got) == len(docs)
+    assert len(got) == docs.count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    rude = [r for r in got if not words.isdisjoint(T.words(docs[r.doc_id]))]
-    others = [r for r in got if words.isdisjoint(T.words(docs[r.doc_id])) and r.held_out]
-    assert np.mean([r.predicted for r in rude]) > 0.95
-    assert np.mean([r.predicted for r in others]) < 0.02
+    truth = {r.doc_id: r for r in llm.read.parquet(f"{SF}/labels.parquet").join(docs, "doc_id").collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([p for t, p in held if t.toxic == 1 and t.lang == lang]) >= 0.85
+        assert np.mean([p for t, p in held if t.toxic == 0 and t.lang == lang]) <= 0.03
+
+
+def test_toxicity_cut_holds_for_small_samples(llm):
+    docs = llm.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = llm.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    for sample in (200, 400, 1500):
+        scorer = T.fit(docs, labels.where(~aside), sample=sample)
+        rows = T.score(docs.join(labels, "doc_id").where(aside), scorer).collect()
+        assert np.mean([r.predicted for r in rows if r.toxic == 1]) >= 0.88
+        assert np.mean([r.predicted for r in rows if r.toxic == 0]) <= 0.09
