@@ -73,7 +73,10 @@ def discounts(counts: list[int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """By beginning: the log-ratio of the classes up to there, and of going on as neither has."""
+    """By beginning: the log-ratio of the classes up to there, and of going on as neither has.
+
+    Models may share the numbers; a beginning that one doesn't have is NaN there.
+    """
 
     numbers: dict[str, int]
     upto: np.ndarray
@@ -84,9 +87,11 @@ class Model:
     def ratio(self, word: str) -> float:
         """Log-likelihood of the word in toxic text over that in ordinary text."""
         spelled = word[:LONGEST] + END
-        known = next(n for n in range(len(spelled), -1, -1) if spelled[:n] in self.numbers)
-        at = self.numbers[spelled[:known]]
-        return float(self.upto[at] + (self.leaving[at] if known < len(spelled) else 0.0))
+        for known in range(len(spelled), -1, -1):
+            at = self.numbers.get(spelled[:known])
+            if at is not None and self.upto[at] == self.upto[at]:
+                return float(self.upto[at] + (self.leaving[at] if known < len(spelled) else 0.0))
+        return 0.0
 
     def value(self, word: str) -> float:
         found = self.values.get(word)
@@ -191,8 +196,7 @@ def _models(sample: DataFrame, rho: float) -> list[Model]:
         known = x[m, 0] + x[m, 1] >= LEAST
         known[0] = True
         upto, leaving = _ratios(x[m], known, parent, by_length, [discounts(row.tolist()) for row in least[m]], of_counts[0])
-        held = {b: i for b, i in numbers.items() if known[i]} if m < FOLDS else numbers
-        models.append(Model(held, upto, leaving, rho))
+        models.append(Model(numbers, np.where(known, upto, np.nan).astype(np.float32), leaving.astype(np.float32), rho))
     return models
 
 

