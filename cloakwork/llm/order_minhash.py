@@ -11,9 +11,10 @@ Two texts are similar when their words need at most `(1 - THRESHOLD) * max(n1, n
 edits.  A chain of the k-mers that both have, in the order of both, bounds the edits from
 above, as the words between count as replaced: if it stays within the limit, the pair is
 taken.  If not, as where texts repeat passages and k-mers are matched one repeat off, the
-words are aligned exactly, row by row, until the limit is passed.  A row is one bit
-vector, so it is smaller than a band of numbers would be.  A passage that has moved counts
-as edited, however many shingles it leaves alike.
+words that only one has, which are edited in any alignment, bound them from below; and
+where the limit is between the bounds, the words are aligned exactly inside a band of twice
+the limit, row by row, until it is passed.  A passage that has moved counts as edited,
+however many shingles it leaves alike.
 
 Texts with the same words form one node from the start.  The members of a bucket are
 not paired with each other: in some rounds each is aligned with one of them, and what
@@ -50,8 +51,8 @@ SKETCHES, PICKED = 32, 3
 #: and in fewer than 5 once in ten thousand times.
 AGREEING = 5
 HUB_ROUNDS = 2
-#: Buckets of more members are paired in blocks, of so many members, that align their texts.
-SMALL, BLOCK = 32, 400
+#: Buckets of more members are paired in blocks, of so many members or words, that align their texts.
+SMALL, BLOCK, BLOCK_WORDS = 32, 2_000, 2_000_000
 BYTES_AT_ONCE, KMERS_AT_ONCE = 1 << 20, 8_192
 #: Longer sequences look up a word's places at each row.
 MASKED = 4_096
@@ -227,32 +228,49 @@ def word_masks(words: np.ndarray) -> dict[int, int] | None:
 def distance(x: np.ndarray, y: np.ndarray, most: int, masks: dict[int, int] | None = None) -> int:
     """The least edits between word sequences, or `most + 1` if there are more.
 
-    Rows of the alignment are the words of x.  A row holds, as bits, where it goes up
-    or down by one along y (Myers 1999).  The diagonal that ends in the last cell never goes
-    down, so the alignment stops when it is over `most`.  `masks` are those of y.
+    Only the band of `most` cells on either side of the diagonal is looked at.  Rows of the
+    alignment are the words of x; a row of the band holds, as bits, where it goes up or down
+    by one along y, and moves along y with the diagonal (Hyyrö 2003).  `masks` are those
+    of y.
     """
     n_x, n_y = len(x), len(y)
-    score, shift = abs(n_x - n_y), n_y - n_x - 1
-    if score > most:
+    if abs(n_x - n_y) > most:
         return most + 1
+    if most >= n_y:
+        # A common end changes no distance, and the band then begins inside the alignment.
+        end = np.arange(1 << 40, (1 << 40) + most - n_y + 1)
+        return distance(np.append(x.astype(np.int64), end), np.append(y.astype(np.int64), end), most)
     masks = masks or word_masks(y)
-    full = (1 << n_y) - 1
-    up, down = full, 0
-    for i, word in enumerate(x.tolist(), 1):
+    wide = 2 * most + 1
+    full, top = (1 << wide) - 1, 1 << 2 * most
+    up, down = full ^ ((1 << most) - 1), 0
+    # First along the band's upper edge, whose cells never fall, then along the last column.
+    score, edge, worst = most, top >> 1, 2 * most + n_x - n_y
+    for i, word in enumerate(x.tolist()):
+        at = i - most
         if masks is not None:
-            same = masks.get(word, 0)
+            held = masks.get(word, 0)
+            same = (held >> at if at >= 0 else held << -at) & full
         else:
-            same = int.from_bytes(np.packbits(y == word, bitorder="little").tobytes(), "little")
+            window = np.packbits(y[max(0, at) : at + wide] == word, bitorder="little")
+            same = int.from_bytes(window.tobytes(), "little") << max(0, -at)
         level = ((((same & up) + up) ^ up) | same | down) & full
-        right_up = ((down | (level | up) ^ full) << 1 | 1) & full
-        right_down = (level & up) << 1 & full
-        up = right_down | (level | right_up) ^ full
-        down = right_up & level
-        if i + shift >= 0 and not level >> (i + shift) & 1:
-            score += 1
-            if score > most:
-                return score
-    return score
+        right_up, right_down = down | (level | up) ^ full, level & up
+        if i < n_y - most:
+            score += not level & top
+            if score > worst:
+                return most + 1
+        else:
+            score += bool(right_up & edge) - bool(right_down & edge)
+            edge >>= 1
+        up = right_down | (level >> 1 | right_up) ^ full
+        down = level >> 1 & right_up
+    return min(score, most + 1)
+
+
+def words_in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words both have, repeats included; all others of the longer one are edited."""
+    return len(np.intersect1d(labelled(x, 1), labelled(y, 1), assume_unique=True))
 
 
 def most_edits(n_x: int, n_y: int, threshold: float) -> int:
@@ -261,7 +279,9 @@ def most_edits(n_x: int, n_y: int, threshold: float) -> int:
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
     most = most_edits(len(x), len(y), threshold)
-    return edits(x, y, most) <= most or distance(x, y, most) <= most
+    if edits(x, y, most) <= most:
+        return True
+    return max(len(x), len(y)) - words_in_common(x, y) <= most and distance(x, y, most) <= most
 
 
 def _summaries(texts: pa.Array) -> pa.Array:
@@ -366,6 +386,12 @@ def _agreeing(threshold: float):
     return F.arrow_udf(agreeing, "array<struct<a:bigint,b:bigint>>")
 
 
+def _numbered(values: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Numbers from 0 for the values, alike for equal ones, and how many there are."""
+    distinct, numbers = np.unique(np.concatenate(values), return_inverse=True)
+    return np.split(numbers, np.cumsum([len(v) for v in values])[:-1]), len(distinct)
+
+
 def _block_links(threshold: float):
     """Links of two blocks of a large bucket; once two components are linked, they count as one."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -376,22 +402,23 @@ def _block_links(threshold: float):
         label = np.unique(label, return_inverse=True)[1]
         lowest, sketch = (_matrix(table[c].to_pylist()) for c in ("lowest", "sketch"))
         words = [np.frombuffer(w, "<u4") for w in table["words"].to_pylist()]
-        kmers = [labelled(w) for w in words]
-        # Numbers for the k-mers of the block, so that one member's places can be looked up for all others.
-        numbers = np.unique(np.concatenate(kmers), return_inverse=True)[1]
-        numbers = np.split(numbers, np.cumsum([len(k) for k in kmers])[:-1])
-        place = np.full(sum(map(len, kmers)), -1)
+        # Numbers for the words and k-mers of the block, so that one member's can be looked up for all others.
+        (single, singles), (numbers, kmers) = _numbered([labelled(w, 1) for w in words]), _numbered([labelled(w) for w in words])
+        place, has = np.full(kmers, -1), np.zeros(singles, bool)
         found: tuple[list, list] = ([], [])
         for i in range(len(n) - 1):
             candidates = _candidates(i, n, label, side, lowest, sketch, function, same, threshold).tolist()
             place[numbers[i]] = np.arange(len(numbers[i]))
+            has[single[i]] = True
             masks = None
             for j in candidates:
                 if label[i] == label[j]:
                     continue
+                most = most_edits(n[i], n[j], threshold)
+                if max(n[i], n[j]) - np.count_nonzero(has[single[j]]) > most:
+                    continue
                 in_i = place[numbers[j]]
                 at = np.flatnonzero(in_i >= 0)
-                most = most_edits(n[i], n[j], threshold)
                 near = edits_along(at, in_i[at], int(n[j]), int(n[i]), most) <= most
                 if not near:
                     masks = masks or word_masks(words[i])
@@ -401,6 +428,7 @@ def _block_links(threshold: float):
                     found[0].append(min(node[i], node[j]))
                     found[1].append(max(node[i], node[j]))
             place[numbers[i]] = -1
+            has[single[i]] = False
         return pa.table([pa.array(x, pa.int64()) for x in found], schema=kind)
 
     return links
@@ -419,6 +447,23 @@ def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after some more links; only these are followed."""
+    if labels is None:
+        return components(links)
+    if links.isEmpty():
+        return labels
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("one"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("two"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    ends = staged(ends.select("a", "b", F.coalesce("one", "a").alias("one"), F.coalesce("two", "b").alias("two")), "omh-ends")
+    moved = components(ends, "one", "two").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+    fresh = nodes.join(labels, "node", "left_anti").withColumn("component", F.col("node"))
+    every = labels.unionByName(fresh).join(moved, "component", "left")
+    return staged(every.select("node", F.coalesce("to", "component").alias("component")), "omh-labels")
+
+
 def _several(placed: DataFrame, *more: Column) -> DataFrame:
     """Buckets that hold more than one component."""
     ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more)
@@ -440,7 +485,7 @@ def _node_links(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     def found_in(pairs: DataFrame) -> DataFrame:
         return staged(_both(pairs, words, "words").where(_aligned(threshold)("x", "y")).select("a", "b"), "omh-links")
 
-    labels, links, tested = None, None, None
+    labels, tested = None, None
     for turn in range(HUB_ROUNDS):
         placed = _with_component(members, labels)
         hubs = _several(placed, F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("hub"))
@@ -457,8 +502,7 @@ def _node_links(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFra
         pairs = staged(_both(pairs, lowest, "lowest").where(agreeing).select("a", "b"), "omh-pairs")
         found = found_in(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = _joined(labels, found)
     own = _unresolved(members, labels)
     own = staged(own.join(nodes.select("node", "lowest", "sketch"), "node"), "omh-unresolved")
     small = own.where(F.col("size") <= SMALL).groupBy("bucket", "function")
@@ -467,17 +511,17 @@ def _node_links(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     rest = staged(pairs.join(tested, ["a", "b"], "left_anti"), "omh-pairs")
     found = found_in(rest).unionByName(_large_links(own.where(F.col("size") > SMALL), words, threshold))
     found = staged(found, "omh-links")
-    return labels if found.isEmpty() else components(links.unionByName(found))
+    return _joined(labels, found)
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components."""
     placed = _with_component(members, labels)
-    return placed.join(_several(placed, F.count("*").alias("size")), "bucket")
+    return placed.join(_several(placed, F.count("*").alias("size"), F.sum("n").alias("held")), "bucket")
 
 
 def _large_links(own: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(BLOCK_WORDS)))
     placed = own.withColumn("side", F.pmod(F.xxhash64("node"), blocks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     ends = spread.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))

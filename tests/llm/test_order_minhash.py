@@ -72,6 +72,19 @@ def test_exact_alignment_is_the_edit_distance():
         assert got == want
 
 
+def test_words_in_common_bound_the_distance_and_long_texts_are_banded():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.randrange(12) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        common = O.words_in_common(np.array(a, np.uint32), np.array(b, np.uint32))
+        assert common == (collections.Counter(a) & collections.Counter(b)).total()
+        assert max(len(a), len(b)) - common <= distance(a, b)
+    a = np.array([rng.randrange(10**6) for _ in range(30_000)], np.uint32)
+    b = np.delete(a, rng.sample(range(30_000), 300))
+    b[rng.sample(range(len(b)), 200)] = 10**7
+    assert O.distance(a, b, 6_000) == O.distance(b, a, 600) == 500 and O.distance(a, b, 499) == 500
+
+
 def repeating(rng):
     """A text that repeats a passage between its own words, and one without the first of the repeats."""
     passage = [rng.randrange(10**6) for _ in range(30)]
