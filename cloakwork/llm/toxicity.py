@@ -17,8 +17,9 @@ which the two classes' shares of errors sum to least.  It is chosen by cross-fit
 labelled text is judged by the model of the other `FOLDS - 1` folds, so all serve both.
 
 Bounded: the models are fitted on at most `sample` labelled documents per class, chosen
-by a hash of the id, whole texts.  Beginnings that these hold `LEAST` times are collected
-and broadcast; rarer ones are smoothed away.
+by a hash of the id, whole texts.  Beginnings that these hold `LEAST` times are collected;
+rarer ones are smoothed away.  What is broadcast to score all texts leaves out beginnings
+that tell nothing their stem doesn't tell.
 
 Defined results: null and empty texts have no evidence and score what that means under
 the curve (0 if nothing could be learned); labels that are null or not 0 or 1, and ids
@@ -53,8 +54,10 @@ FOLDS, SHINGLE = 3, 3
 #: Words are told apart by so many characters; beginnings seen less than LEAST times are not kept.
 LONGEST, LEAST = 16, 2
 END = " "
-#: Words whose evidence a worker keeps at a time.
-MOST_VALUES = 400_000
+#: Beginnings after which all words give the same evidence, to this, are kept as one.
+SAME = 0.005
+#: Words whose evidence a worker keeps at a time, and texts that it has as strings.
+MOST_VALUES, TEXTS_AT_ONCE = 100_000, 256
 
 WORD = re.compile(r"\w+")
 CLASSES = (0, 1)
@@ -93,6 +96,22 @@ class Model:
                 return float(self.upto[at] + (self.leaving[at] if known < len(spelled) else 0.0))
         return 0.0
 
+    def compact(self, same: float = SAME) -> Model:
+        """The model without beginnings below one whose words all give the same evidence."""
+        names = list(self.numbers)
+        whole = np.array([n.endswith(END) for n in names])
+        value = np.log1p(self.rho * np.expm1(np.minimum(self.upto + np.where(whole, 0, self.leaving), 50.0)))
+        parent = np.array([self.numbers[n[:-1]] for n in names], np.int64)
+        low, high = value.copy(), value.copy()
+        lengths = np.array([len(n) for n in names])
+        for length in range(lengths.max(), 0, -1):
+            own = np.flatnonzero(lengths == length)
+            np.minimum.at(low, parent[own], low[own])
+            np.maximum.at(high, parent[own], high[own])
+        kept = np.flatnonzero((high - low)[parent] >= same)
+        kept = np.union1d(kept, [0])
+        return Model({names[i]: k for k, i in enumerate(kept.tolist())}, self.upto[kept], self.leaving[kept], self.rho)
+
     def value(self, word: str) -> float:
         found = self.values.get(word)
         if found is None:
@@ -249,7 +268,7 @@ def fit(
     x, y = (judged[c].to_numpy() for c in ("x", "label"))
     weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
     cut, _ = least_wrong_cut(x, y, weight)
-    return Scorer(models[FOLDS], cut, slope_at(x - cut, y, weight))
+    return Scorer(models[FOLDS].compact(), cut, slope_at(x - cut, y, weight))
 
 
 def least_wrong_cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -284,7 +303,8 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", score_as: str = "sc
     kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32())])
 
     def scored(texts: pa.Array) -> pa.Array:
-        s = shared.value.scores(texts.to_pylist())
+        parts = (texts.slice(k, TEXTS_AT_ONCE).to_pylist() for k in range(0, len(texts), TEXTS_AT_ONCE))
+        s = np.concatenate([np.empty(0), *map(shared.value.scores, parts)])
         return pa.StructArray.from_arrays([pa.array(s), pa.array((s >= 0.5).astype(np.int32))], fields=list(kind))
 
     value = F.arrow_udf(scored, "struct<score:double,predicted:int>")(F.col(text))

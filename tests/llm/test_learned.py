@@ -159,6 +159,24 @@ def test_models_against_counts_in_plain_python(llm):
     assert abs(models[-1].difference(text) - sum(each) / (3 + T.LENGTH_PRIOR)) < 1e-12
 
 
+def test_a_compact_model_gives_the_same_evidence():
+    rng = random.Random(3)
+    numbers = {"": 0}
+    for _ in range(300):
+        word = "".join(rng.choices("abc", k=rng.randint(1, 6))) + T.END
+        for n in range(1, len(word) + 1):
+            numbers.setdefault(word[:n], 0)
+    names = sorted(numbers, key=lambda b: (len(b), b))
+    numbers = {b: i for i, b in enumerate(names)}
+    upto, leaving = (np.array([rng.gauss(0, 3) for _ in names], np.float32) for _ in range(2))
+    model = T.Model(numbers, upto, leaving)
+    small = model.compact(0.05)
+    assert 10 < len(small.numbers) < len(numbers)
+    for _ in range(500):
+        word = "".join(rng.choices("abcd", k=rng.randint(1, 8)))
+        assert abs(model.value(word) - small.value(word)) < 0.05
+
+
 def test_discounts_are_modified_kneser_ney():
     y = 100 / (100 + 2 * 40)
     assert np.allclose(T.discounts([100, 40, 20, 10]), [0, 1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.5])
