@@ -61,6 +61,10 @@ ALLOWED = (
 )
 
 
+#: Letters that stand for an ASCII one where case is ignored, beyond what lower() makes of them.
+FOLDED = "ſıİ"
+
+
 @dataclass(frozen=True)
 class Scanner:
     classes: tuple[CharacterClass, ...] = CLASSES
@@ -90,7 +94,7 @@ class Scanner:
         """(start, number of the kind, end), sorted."""
         found, patterns = [], self._patterns()
         lower = text.lower()
-        if any(word in lower for word in KEYWORDS):
+        if any(word in lower for word in KEYWORDS) or any(letter in text for letter in FOLDED):
             for m in patterns["assign"].finditer(text):
                 if len(m[2]) >= LEAST["assign"]:
                     found.append((m.start(), 0, m.end()))

@@ -96,3 +96,10 @@ def test_query_agrees_with_plain_patterns(llm):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_every_match_of_the_pattern_passes_the_first_look():
+    for word in ("ſecret", "paſsword", "to\u212aen", "apı_key", "APİKEY", "PASSWD", "Api_Key"):
+        text = f"x {word}=abcdefghijklmnop y"
+        expected = [(m.start(), 0, m.end()) for m in re.finditer(S.ASSIGN, text)]
+        assert expected and [f for f in S.Scanner().scan(text) if f[1] == 0] == expected
