@@ -10,7 +10,7 @@ text; positions that two windows hold count once.  A text shorter than a window
 filled up with spaces that do not count.
 
 Bounded: training takes at most `per_language` documents, chosen by a hash of the id,
-and `WINDOWS_EACH` windows of each, for the `MOST_LANGUAGES` most frequent languages.
+and `WINDOWS_EACH` windows of each.
 Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; if nothing
@@ -34,7 +34,7 @@ from cloakwork.llm.shared import smallest_by_hash, with_struct
 
 UNDETERMINED = "und"
 WINDOW, HIDDEN = 96, 12
-PER_LANGUAGE, WINDOWS_EACH, MOST_LANGUAGES = 800, 6, 256
+PER_LANGUAGE, WINDOWS_EACH = 800, 6
 STEPS, BATCH, RATE = 300, 256, 0.01
 WINDOWS_AT_ONCE = 4_096
 LETTER = regex.compile(r"\p{L}")
@@ -281,12 +281,7 @@ def fit(
 ) -> Network | None:
     """A network trained on the labelled documents of the frame; none if there are none."""
     known = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).where("id IS NOT NULL AND lang IS NOT NULL")
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.lang for r in frequent)
-    if not languages:
-        return None
-    known = known.where(F.col("lang").isin(languages))
-    # At most per_language rows of each of the languages, so they may be broadcast.
+    # At most per_language rows of each language, so they may be broadcast.
     picked = F.broadcast(smallest_by_hash(known, per_language, "id", "lang").dropDuplicates(["id", "lang"]))
     n = F.length("text")
     own = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
