@@ -69,3 +69,9 @@ def test_run(llm):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_documents_stay_where_no_language_is_named(llm):
+    rows = [(1, "a b c", None, "s", 5), (2, "12 !", None, "s", 4), (3, None, None, None, None), (4, "日本", None, "s", 2)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.STAGES[1][1](llm, docs, SF).collect()) == [1, 4]
