@@ -3,7 +3,9 @@
 `STAGES` are applied in order; each takes what the one before kept and returns the
 columns of documents, but for the last, which returns the packed pieces.
 
-Null and empty texts: not toxic, without a language (so they go at that stage).  Repeated
+Null and empty texts: not toxic, without a language (so they go at that stage, as all
+texts without a letter do; those with one have a language of those known, and stay, also
+where no row names a language and none can be learned).  Repeated
 rows and ids are rows of their own until near copies are removed, of which one row
 stays.  An empty table gives no rows at every stage.  Columns that documents have beyond
 the usual ones are kept until the last stage.
@@ -37,7 +39,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is one of those known; texts without any letter go."""
     let_workers_import(spark)
     names = [free_name(docs, n) for n in ("found_lang", "found_score", "found_share")]
-    found = language.predict(docs, language.fit(docs), lang_as=names[0], score_as=names[1], share_as=names[2])
+    net = language.fit(docs)
+    if net is None:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    found = language.predict(docs, net, lang_as=names[0], score_as=names[1], share_as=names[2])
     return _own_columns(docs, found.where(F.col(names[0]) != language.UNDETERMINED))
 
 
