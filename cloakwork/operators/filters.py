@@ -18,7 +18,7 @@ from cloakwork.sources.shared import ensure_checkpoint_dir
 IN_PROGRESS = "in_progress"
 COMPLETE = "complete"
 
-# Up to this many keys, `cap_documents` finds its last key with one top-n.
+# The n-th key is looked for among so many at most.
 KEYS_PER_RANGE = 1_000_000
 
 
@@ -117,11 +117,21 @@ def cap_documents(df: DataFrame, max_docs: int | None, key: str | Sequence[str]
     return df.where(ordered < last).unionByName(df.where(ordered == last).limit(max_docs - before))
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """The rows of a table with a number of their own, the same whenever the table's files are read.
+
+    The number counts rows where they are read, so nothing is shuffled, and filters that
+    come after it do not change it.
+    """
+    return df.withColumn(column, F.monotonically_increasing_id())
+
+
 def within_cap(df: DataFrame, max_docs: int, key: str | Sequence[str] = "doc_id") -> Column:
     """True for the rows `cap_documents` takes, as a condition.
 
-    A condition cannot tell rows of one key apart, so those of the last key are taken
-    if all of them fit, or if there is no smaller key (for a run must get on).
+    A condition cannot tell rows of one key apart, so the key has to be unique for the cap
+    to be exact; else the rows of the last key are taken if all of them fit, or if there is
+    no smaller key (for a run must get on).  `numbered` makes any key unique.
     """
     ordered, last, before, upto = _place_of(df, max_docs, key)
     taken = ordered <= last if upto <= max_docs or not before else ordered < last
@@ -146,7 +156,8 @@ def _place_of(df: DataFrame, n: int, key: str | Sequence[str]) -> tuple[Column,
     ranged = ids.withColumn("shard", F.spark_partition_id()).checkpoint()
     counts = [(r.shard, r["count"]) for r in ranged.groupBy("shard").count().orderBy("shard").collect()]
     if not counts:
-        return ordered, F.lit(None), 0, 0
+        # No key is smaller than the null one, and nothing is taken either way.
+        return ordered, F.lit(None).cast(df.select(ordered.alias("k")).schema["k"].dataType), 0, 0
     before = 0
     for shard, count in counts[:-1]:
         if before + count >= n:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.text import quoted
-from cloakwork.operators.filters import cap_documents, unscanned, within_cap
+from cloakwork.operators.filters import cap_documents, numbered, unscanned, within_cap
 from cloakwork.operators.reports import coverage, run_summary, type_breakdown, view_flagged
 from cloakwork.operators.scan import scan_documents
 from cloakwork.policy import Policy
@@ -18,6 +18,7 @@ from cloakwork.sources.documents import read_json_documents
 
 # Fixed value: documents of one round of a bounded scheduled run.
 SCHEDULED_BATCH = 25
+ROW_NUMBER = "__row"
 
 
 def with_metadata(df: DataFrame) -> DataFrame:
@@ -40,12 +41,16 @@ def scan_pending(
 
     Reading, scanning and writing back by id would join.  Here scanned and
     unscanned rows sit in the same splits, so a projection with a condition does
-    all of it.
+    all of it.  Exactly `max_docs` are scanned if there are so many, also where keys
+    repeat: rows are told apart by where they are read.
     """
     due = F.col("pii_flag").isNull()
-    if max_docs:
-        due = due & within_cap(unscanned(df), max_docs, key)
-    return scan_documents(df, policy, key=key, fields=fields, scanned_at=scanned_at, only=due)
+    if not max_docs:
+        return scan_documents(df, policy, key=key, fields=fields, scanned_at=scanned_at, only=due)
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = numbered(df, ROW_NUMBER)
+    due = due & within_cap(unscanned(rows), max_docs, [*keys, ROW_NUMBER])
+    return scan_documents(rows, policy, key=key, fields=fields, scanned_at=scanned_at, only=due).drop(ROW_NUMBER)
 
 
 def scan_unscanned(

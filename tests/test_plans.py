@@ -104,9 +104,32 @@ def test_previews_are_cut_before_the_sort(index):
     assert text.index("TakeOrderedAndProject") < text.index("substring(body")
 
 
-def test_capping_joins_nothing(index):
-    text = plan(filters.cap_documents(filters.unscanned(index), 10))
-    assert "Join" not in text and "Subquery" in text
+def test_capping_joins_nothing(spark, index, tmp_path):
+    # Keys 0 to 9 twice each, ten of the rows scanned.
+    twice = index.where("doc_id < 10").withColumn("pii_flag", F.lit(None).cast("boolean"))
+    twice.unionByName(twice).unionByName(index.where("doc_id >= 90")).write.parquet(str(tmp_path / "twice"))
+    due = filters.unscanned(spark.read.parquet(str(tmp_path / "twice")))
+    # The last key's rows fit, and they don't.
+    for n, limited in ((10, False), (9, True)):
+        capped = filters.cap_documents(due, n)
+        text = plan(capped)
+        assert "Join" not in text and "Subquery" in text and ("GlobalLimit" in text) == limited
+        assert capped.count() == n
+    nothing = filters.cap_documents(filters.unscanned(index), 10)
+    assert nothing.count() == 0 and nothing.columns == index.columns
+
+
+def test_a_capped_scan_takes_exactly_as_many_without_a_shuffle_of_texts(spark, index, tmp_path):
+    twice = index.where("doc_id < 10").withColumn("pii_flag", F.lit(None).cast("boolean"))
+    twice.unionByName(twice).unionByName(twice).repartition(4).write.parquet(str(tmp_path / "thrice"))
+    pending = spark.read.parquet(str(tmp_path / "thrice"))
+    for n in (1, 2, 4, 7, 30, 31):
+        scanned = scan_pending(pending, max_docs=n)
+        assert scanned.columns == pending.columns
+        assert "Exchange" not in plan(scanned).split("Subquery")[0] and "Join" not in plan(scanned)
+        got = scanned.where("pii_flag IS NOT NULL").select("doc_id").collect()
+        assert len(got) == min(n, 30)
+        assert sorted(r.doc_id for r in got) == [k // 3 for k in range(len(got))]
 
 
 def test_keyed_changes_are_equi_joins(spark, index):
