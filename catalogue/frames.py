@@ -23,7 +23,7 @@ from cloakwork.functions.text import (
     truncate_text,
 )
 from cloakwork.operators import entities as ents
-from cloakwork.operators import filters, keyed, reports, scan
+from cloakwork.operators import filters, keyed, ragged, reports, scan
 from cloakwork.plans import batch, scans
 from cloakwork.policy import (
     FLAG,
@@ -35,7 +35,7 @@ from cloakwork.policy import (
 )
 from cloakwork.rules import FIRST_NAMES, Rule
 from cloakwork.sinks import exports, tables
-from cloakwork.sources import detector_output, documents
+from cloakwork.sources import checked, detector_output, documents
 from cloakwork.sources.shared import fresh_dir, spread
 from cloakwork.streaming import stream_new_documents, stream_scan, stream_table, stream_to_index
 from cloakwork.streaming.index import stream_dual_write
@@ -198,6 +198,115 @@ def read_ragged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select("position", "field", "text")
 
 
+#: Keys of a file's documents; the files grow in number with the tables.
+KEYS_PER_FILE = 100
+
+
+def write_ragged_files(spark: SparkSession, sf_dir: str, malformed: bool) -> str:
+    """JSON lists that hold documents and conversation rows, objects without a common schema.
+
+    When `malformed`, every third file lacks its end, and some objects are plain strings.
+    """
+    texts = docs(spark, sf_dir).select(
+        F.lit(0).alias("kind"),
+        F.col("doc_id").alias("id"),
+        F.lit(0).cast("long").alias("turn"),
+        F.to_json(
+            F.struct("doc_id", "text", "n_chars", "lang", F.struct("source", F.col("text").alias("note")).alias("meta"))
+        ).alias("json"),
+    )
+    turns = table(spark, sf_dir, "conversations").select(
+        F.lit(1).alias("kind"),
+        F.col("conv_id").alias("id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.to_json(F.struct("conv_id", "turn", "role", F.col("text").alias("said"))).alias("json"),
+    )
+    rows = texts.unionByName(turns).withColumn("file", F.floor(F.col("id") / KEYS_PER_FILE))
+    if malformed:
+        plain = F.concat(F.lit('"item '), F.col("id"), F.lit('"'))
+        rows = rows.withColumn("json", F.when(F.col("id") % 7 == 3, plain).otherwise(F.col("json")))
+    files = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("kind", "id", "turn", "json"))).alias("rows"))
+    body = F.concat(F.lit("["), F.array_join(F.col("rows")["json"], ",\n"), F.lit("]"))
+    if malformed:
+        body = F.when(F.col("file") % 3 == 1, F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    path = fresh_dir(spark, "ragged-files")
+    files.select(body.alias("body")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def of_ragged(df: DataFrame, *extra: str) -> DataFrame:
+    """Which given row a ragged document is of, some of its fields, and its metadata."""
+
+    def field(path: str, kind: str) -> Column:
+        return F.try_variant_get("document", path, kind)
+
+    return df.select(
+        F.coalesce(field("$.doc_id", "long"), field("$.conv_id", "long")).alias("id"),
+        F.coalesce(field("$.turn", "long"), F.lit(-1)).alias("turn"),
+        F.coalesce(field("$.text", "string"), field("$.said", "string")).alias("text"),
+        F.coalesce(field("$.n_chars", "long"), F.lit(-1)).alias("n_chars"),
+        F.coalesce(F.md5(field("$.meta.note", "string")), F.lit("")).alias("nested"),
+        *extra,
+        "pii_flag",
+        "pii_count",
+        joined("pii_types"),
+    )
+
+
+@query
+def scan_ragged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of two shapes scanned and redacted as they are; strings inside nested values stay."""
+    path = write_ragged_files(spark, sf_dir, malformed=False)
+    rows = checked.accepted(checked.check_json_documents(spark, path))
+    return of_ragged(ragged.scan_ragged_documents(rows, scanned_at=SCANNED_AT), "position")
+
+
+@query
+def process_ragged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of files some of which are malformed."""
+    path, store, rejects = (write_ragged_files(spark, sf_dir, malformed=True), *(fresh_dir(spark, n) for n in ("ragged", "rejects")))
+    scans.process_ragged_files(spark, path, store, rejects, scanned_at=SCANNED_AT)
+    return of_ragged(spark.read.parquet(store), "position")
+
+
+@query
+def read_malformed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object and every fault of malformed files, with its place."""
+    every = checked.check_json_documents(spark, write_ragged_files(spark, sf_dir, malformed=True))
+    own = F.coalesce(F.try_variant_get("document", "$.doc_id", "long"), F.try_variant_get("document", "$.conv_id", "long"))
+    in_raw = F.regexp_extract("raw", r'(?:_id":|item )(\d+)', 1).cast("long")
+    return every.select(
+        F.coalesce("reason", F.lit("accepted")).alias("reason"),
+        F.coalesce("position", F.lit(-1)).alias("position"),
+        F.coalesce(own, in_raw).alias("id"),
+    )
+
+
+@query
+def read_malformed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector lines of all documents, some malformed: how many entities are accepted, and the rejects' line numbers."""
+    lines = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text")
+    key = F.col("id").cast("long")
+    found = batch.detect_lines(lines).withColumns({"key": key, "json": F.to_json(F.struct("id", "File", "Entities"))})
+    faulty = (
+        F.when(F.col("key") % 11 == 5, F.substr("json", F.lit(1), F.length("json") - 2))
+        .when(F.col("key") % 13 == 6, F.to_json(F.struct("Entities")))
+        .when(F.col("key") % 17 == 3, F.to_json(F.struct("id", F.lit("none").alias("Entities"))))
+        .otherwise(F.col("json"))
+    )
+    files = found.groupBy(F.floor(F.col("key") / KEYS_PER_FILE).alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct("key", faulty.alias("line")))).alias("lines")
+    )
+    path = fresh_dir(spark, "malformed-answers")
+    files.select(F.array_join(F.col("lines")["line"], "\n")).write.option("maxRecordsPerFile", 1).text(path)
+    every = checked.check_detector_output(spark, path, glob="*.txt")
+    good = checked.accepted(every).select(
+        F.lit("accepted").alias("reason"), F.col("id").cast("long").alias("place"), F.size("entities").alias("entities")
+    )
+    bad = checked.line_numbers(spark, path, checked.rejected(every), glob="*.txt")
+    return good.unionByName(bad.select("reason", F.col("position").alias("place"), F.lit(-1).alias("entities")))
+
+
 @query
 def read_detector_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "detector-output")

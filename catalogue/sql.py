@@ -403,8 +403,35 @@ def statements() -> dict[str, str]:
     file_scan = scanned(FILES, made_fields)
     redacted_pair = f"{replaced('title')} AS title, {replaced('body')} AS body"
     long_url = f"{is_long('url')}"
+    ragged_rows = (
+        "(SELECT *, id // 100 AS file, row_number() OVER (PARTITION BY id // 100 ORDER BY kind, id, turn) - 1 AS position FROM ("
+        "SELECT 0 AS kind, doc_id AS id, -1 AS turn, text, n_chars, md5(text) AS nested FROM documents UNION ALL "
+        "SELECT 1, conv_id, turn, text, -1, '' FROM conversations))"
+    )
+    ragged_scan = (
+        f"SELECT id, turn, {red} AS text, n_chars, nested, CAST(position AS INTEGER) AS position, pii_flag, pii_count, pii_types "
+        f"FROM {scanned(ragged_rows, ('text',))}"
+    )
+    answer_faults = (
+        "CASE WHEN doc_id % 11 = 5 THEN 'not JSON' WHEN doc_id % 13 = 6 THEN 'no id' "
+        "WHEN doc_id % 17 = 3 THEN 'not of the declared shape' ELSE 'accepted' END"
+    )
     out |= {
         # sources
+        "scan_ragged_documents": ragged_scan,
+        "process_ragged_files": f"{ragged_scan} WHERE file % 3 <> 1 AND id % 7 <> 3",
+        "read_malformed_documents": (
+            "SELECT CASE WHEN id % 7 = 3 THEN 'not an object' ELSE 'accepted' END AS reason, "
+            f"CAST(position AS INTEGER) AS position, id FROM {ragged_rows} WHERE file % 3 <> 1 "
+            f"UNION ALL SELECT 'not JSON', -1, arg_min(id, position) FROM {ragged_rows} WHERE file % 3 = 1 GROUP BY file"
+        ),
+        "read_malformed_answers": (
+            "SELECT reason, CASE WHEN reason = 'accepted' THEN doc_id ELSE position END AS place, "
+            "CAST(CASE WHEN reason = 'accepted' THEN coalesce(n, 0) ELSE -1 END AS INTEGER) AS entities FROM ("
+            f"SELECT doc_id, {answer_faults} AS reason, "
+            "row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS position FROM documents) d LEFT JOIN "
+            f"(SELECT doc_id AS found_id, count(*) AS n FROM ({all_rules_rows('documents', 'text')}) GROUP BY doc_id) ON found_id = doc_id"
+        ),
         "scan_index": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "read_json_documents": f"SELECT doc_id, title, body FROM {FILES}",
         "read_raw_documents": f"SELECT body || chr(10) AS body FROM {SUPPLIERS}",

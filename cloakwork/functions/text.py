@@ -74,6 +74,11 @@ def combine_text(names: Sequence[str], min_chars: int = DEFAULT_MIN_CHARS) -> Co
     return F.concat_ws(" ", *(text_or_null(quoted(n), min_chars) for n in names))
 
 
+def object_fields(document: Column) -> Column:
+    """The fields of a variant object as ``map<string,variant>``; null for any other value."""
+    return F.try_variant_get(document, "$", "map<string,variant>")
+
+
 def truncate_text(value: Column, max_chars: int | None) -> Column:
     """The first `max_chars` code points; the whole text when it is None."""
     return value if max_chars is None else F.substring(value, 1, max_chars)

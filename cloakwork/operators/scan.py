@@ -63,6 +63,19 @@ def detect_pii(text: Column, policy: Policy) -> Column:
     return found
 
 
+def redacted_text(old: Column, found: Column, policy: Policy) -> Column:
+    """A text with the matches found in it written as the policy says; short ones stay."""
+    if not policy.redacts:
+        return old
+    seen = truncate_text(old, policy.max_chars)
+    new = spans.redact_matches(seen, found, policy.rules(), policy.threshold)
+    if policy.max_chars is None:
+        return new
+    if not policy.drop_tail:
+        new = F.concat(new, F.substring(old, F.lit(policy.max_chars + 1), F.length(old)))
+    return F.when(F.length(old) > F.greatest(F.lit(policy.min_chars), F.lit(0)), new).otherwise(old)
+
+
 def _scan(
     df: DataFrame,
     variants: Variants,
@@ -89,15 +102,7 @@ def _scan(
         old = quoted(name)
 
         def under(policy: Policy) -> Column:
-            if not policy.redacts:
-                return old
-            seen = truncate_text(old, policy.max_chars)
-            new = spans.redact_matches(seen, found, policy.rules(), policy.threshold)
-            if policy.max_chars is None:
-                return new
-            if not policy.drop_tail:
-                new = F.concat(new, F.substring(old, F.lit(policy.max_chars + 1), F.length(old)))
-            return F.when(F.length(old) > F.greatest(F.lit(policy.min_chars), F.lit(0)), new).otherwise(old)
+            return redacted_text(old, found, policy)
 
         changed = _choose(variants, under)
         return changed if only is None else F.when(only, changed).otherwise(old)

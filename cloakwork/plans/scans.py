@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from cloakwork.functions.text import quoted
 from cloakwork.operators.filters import cap_documents, numbered, unscanned, within_cap
+from cloakwork.operators.ragged import scan_ragged_documents
 from cloakwork.operators.reports import coverage, run_summary, type_breakdown, view_flagged
 from cloakwork.operators.scan import scan_documents
 from cloakwork.policy import Policy
 from cloakwork.sinks.tables import METADATA_SCHEMA, VersionedTable, append_documents, overwrite_partitions
+from cloakwork.sources.checked import REJECT_COLUMNS, accepted, check_json_documents, counting, rejected
 from cloakwork.sources.documents import read_json_documents
 
 # Fixed value: documents of one round of a bounded scheduled run.
@@ -148,6 +150,32 @@ def process_file(
     return spark.createDataFrame([(seen.get["scanned"], seen.get["flagged"])], "scanned long, flagged long")
 
 
+def process_ragged_files(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    table: str,
+    rejects: str,
+    policy: Policy | None = None,
+    *,
+    glob: str | None = None,
+    scanned_at=None,
+) -> DataFrame:
+    """Scan JSON documents of any shape and append them to a table; what is malformed goes to `rejects`.
+
+    Both are folders of Parquet files.  Returns the summary, one row ``read, scanned,
+    flagged, rejected``, counted while the documents are written.
+    """
+    every = check_json_documents(spark, path, glob=glob)
+    counted, seen = counting(every)
+    found = Observation()
+    scanned = scan_ragged_documents(accepted(counted), policy, scanned_at=scanned_at)
+    scanned = scanned.observe(found, F.count("*").alias("scanned"), F.count_if(F.col("pii_flag")).alias("flagged"))
+    scanned.write.mode("append").parquet(table)
+    rejected(every).select(*REJECT_COLUMNS).write.mode("append").parquet(rejects)
+    row = (seen.get["read"], found.get["scanned"], found.get["flagged"], seen.get["rejected"])
+    return spark.createDataFrame([row], "read long, scanned long, flagged long, rejected long")
+
+
 def coverage_report(
     table: VersionedTable, policy: Policy | None = None, *, key: str = "doc_id", limit: int = 10, scanned_at=None
 ) -> dict[str, DataFrame]:
