@@ -35,6 +35,7 @@ from cloakwork.policy import (
 )
 from cloakwork.rules import FIRST_NAMES, Rule
 from cloakwork.sinks import exports, tables
+from cloakwork.sinks.store import PART, DocumentStore
 from cloakwork.sources import checked, detector_output, documents
 from cloakwork.sources.shared import fresh_dir, spread
 from cloakwork.streaming import stream_new_documents, stream_scan, stream_table, stream_to_index
@@ -381,9 +382,9 @@ def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replace_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = tables.VersionedTable(spark, fresh_dir(spark, "index"))
-    store.write(docs(spark, sf_dir))
-    return store.write(keyed.replace_by_id(store.read(), _updates(spark, sf_dir)))
+    store = _stored(docs(spark, sf_dir))
+    store.replace(_updates(spark, sf_dir))
+    return store.documents().drop(PART)
 
 
 @query
@@ -832,12 +833,16 @@ def top_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- whole jobs ---------------------------------------------------------------
 
 
-def _store(spark: SparkSession, sf_dir: str) -> tables.VersionedTable:
-    store = tables.VersionedTable(spark, fresh_dir(spark, "index"))
-    store.write(partly_scanned(spark, sf_dir))
+def _stored(df: DataFrame) -> DocumentStore:
+    store = DocumentStore.create(df.sparkSession, df.schema)
+    store.append(df)
     return store
 
 
+def _store(spark: SparkSession, sf_dir: str) -> DocumentStore:
+    return _stored(partly_scanned(spark, sf_dir))
+
+
 @query
 def scan_unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir)
@@ -875,9 +880,7 @@ def process_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = tables.VersionedTable(spark, fresh_dir(spark, "index"))
-    store.write(scans.with_metadata(docs(spark, sf_dir)))
-    done = batch.run_batch(store, Policy(), max_docs=None)
+    done = batch.run_batch(_stored(docs(spark, sf_dir)), Policy(), max_docs=None)
     return state(done, "text")
 
 

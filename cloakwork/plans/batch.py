@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans
@@ -12,7 +12,7 @@ from cloakwork.operators.filters import COMPLETE, IN_PROGRESS, is_awaiting_expor
 from cloakwork.operators.keyed import latest_by_id, update_by_id
 from cloakwork.policy import Policy
 from cloakwork.sinks.exports import LINE_SCHEMA, export_jsonl
-from cloakwork.sinks.tables import VersionedTable
+from cloakwork.sinks.store import DocumentStore
 from cloakwork.sources.detector_output import read_detector_output
 from cloakwork.sources.shared import fresh_dir
 
@@ -91,34 +91,67 @@ def import_results(
     return done.withColumn(redact_field, new).drop("__entities")
 
 
+def import_answers(
+    store: DocumentStore, output: DataFrame, policy: Policy | None = None, *, scanned_at=None
+) -> int:
+    """Log what a detector answered (``id, entities``) as states of a store; returns the run.
+
+    As `import_results`, without reading a text: answers meet the keys of documents only.
+    """
+    policy = policy or Policy()
+    kind = store.documents().schema[store.key].dataType
+    known = store.documents().select(quoted(store.key))
+    ids = output.select(F.col("id").try_cast(kind).alias(store.key), "entities")
+    ids = ids.join(known, store.key, "left_semi")
+    answers = ids.groupBy(quoted(store.key)).agg(F.collect_list(F.coalesce("entities", spans.no_entities())).alias("entities"))
+    answers = answers.withColumn("entities", F.array_distinct(F.flatten("entities")))
+    found = metadata_from_lists(F.col("entities"), policy, scanned_at)
+    run = store.next_run()
+    store.log(answers.select(quoted(store.key), *(c.alias(n) for n, c in found.items()), F.lit(COMPLETE).alias("pii_scan_status")), run)
+    return run
+
+
 def run_batch(
-    table: VersionedTable,
+    store: DocumentStore,
     policy: Policy | None = None,
     max_docs: int | None = None,
     *,
-    key: str = "doc_id",
     max_chars: int | None = None,
     work_dir: str | None = None,
     scanned_at=None,
 ) -> DataFrame | None:
-    """Export, detect and import in one job; the table's new rows, or None.
+    """Export, detect and import in one job; the store's documents, or None if none is due.
 
-    Each step leaves files the next one reads, so a detector of one's own can
-    take the place of `detect_lines`.  The table must have ``pii_scan_status``
-    (`scans.with_metadata`).
+    Each step leaves files the next one reads, so a detector of one's own can take the
+    place of `detect_lines`.  Marking documents and importing answers append states; no
+    document is written again.  After a failed run `reset_batch` makes its documents due.
     """
-    spark: SparkSession = table.spark
+    spark, key = store.spark, store.key
     policy = policy or Policy()
     work = work_dir or fresh_dir(spark, "batch")
-    start = table.read()
+    start = store.read()
     due = to_export(start, max_docs, key=key, min_chars=policy.min_chars)
     export_jsonl(start.where(due), f"{work}/input", key=key, min_chars=policy.min_chars, max_chars=max_chars)
     lines = spark.read.schema(LINE_SCHEMA).json(f"{work}/input")
     if lines.isEmpty():
         return None
-    # The rows exported are known by condition, so marking them joins nothing.
-    status = F.when(due, F.lit(IN_PROGRESS)).otherwise(F.col("pii_scan_status"))
-    table.write(start.withColumn("pii_scan_status", status))
+    kind = store.documents().schema[key].dataType
+    out = lines.select(F.col("id").cast(kind).alias(key), F.lit(IN_PROGRESS).alias("pii_scan_status"))
+    store.log(out, store.next_run())
     detect_lines(lines, policy).write.json(f"{work}/output")
     output = read_detector_output(spark, f"{work}/output", glob="*.json")
-    return table.write(import_results(table.read(), output, policy, key=key, scanned_at=scanned_at))
+    import_answers(store, output, policy, scanned_at=scanned_at)
+    return store.read()
+
+
+def reset_batch(store: DocumentStore, run: int | None = None) -> int:
+    """Make documents due again that a batch run took and gave no answer for; how many.
+
+    Of one run, by its number, or of all.
+    """
+    stuck = store.states().where(F.col("pii_scan_status") == IN_PROGRESS).select(quoted(store.key))
+    if run is not None:
+        stuck = stuck.join(store.logged(run).select(quoted(store.key)), store.key, "left_semi")
+    reset = store.next_run()
+    store.log(stuck, reset)
+    return store.logged(reset).count()

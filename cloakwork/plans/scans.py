@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,15 @@ from cloakwork.operators.ragged import scan_ragged_documents
 from cloakwork.operators.reports import coverage, run_summary, type_breakdown, view_flagged
 from cloakwork.operators.scan import scan_documents
 from cloakwork.policy import Policy
-from cloakwork.sinks.tables import METADATA_SCHEMA, VersionedTable, append_documents, overwrite_partitions
+from cloakwork.sinks.store import PART, REDACTING, DocumentStore, is_unfinished
+from cloakwork.sinks.tables import METADATA_SCHEMA, append_documents, overwrite_partitions
 from cloakwork.sources.checked import REJECT_COLUMNS, accepted, check_json_documents, counting, rejected
 from cloakwork.sources.documents import read_json_documents
+from cloakwork.sources.shared import fresh_dir
 
 # Fixed value: documents of one round of a bounded scheduled run.
 SCHEDULED_BATCH = 25
-ROW_NUMBER = "__row"
+ROW_NUMBER, DUE, BEFORE = "__row", "__due", "__before"
 
 
 def with_metadata(df: DataFrame) -> DataFrame:
@@ -56,32 +58,53 @@ def scan_pending(
 
 
 def scan_unscanned(
-    table: VersionedTable,
+    store: DocumentStore,
     policy: Policy | None = None,
     max_docs: int | None = None,
     *,
-    key: str | Sequence[str] = "doc_id",
     scanned_at=None,
 ) -> DataFrame:
-    """Scan a table's unscanned documents and write its next version.
+    """Scan a store's unscanned documents; returns the run's summary, one row ``scanned, flagged``.
 
-    Returns the run's summary, one row ``scanned, flagged``.  When nothing is
-    unscanned no version is written.
+    A run that only flags reads the texts of partitions with unscanned documents and appends
+    states.  One that redacts also writes those partitions again: the rows are staged, their
+    states are logged as unfinished, the partitions are replaced, and the states are confirmed.
+    After a failure the next run finishes the redaction and keeps what was found before.
     """
-    before = table.read()
-    if unscanned(before).isEmpty():
-        return run_summary(before.limit(0))
-    after = table.write(scan_pending(before, policy, max_docs, key=key, scanned_at=scanned_at))
-    return _gained(before, after)
-
-
-def _gained(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Documents scanned and flagged between two states; reads only flags."""
-
-    def grown(name: str) -> Column:
-        return (F.col(name) - coverage(before).select(name).scalar()).alias(name)
-
-    return coverage(after).select(grown("scanned"), grown("flagged"))
+    policy = policy or Policy()
+    spark, key = store.spark, store.key
+    pending = F.col("pii_flag").isNull() | is_unfinished(F.col("pii_scan_status"))
+    places = store.places().where(pending)
+    if max_docs:
+        keys = places.select(quoted(key)).distinct()
+        pending = pending & within_cap(keys, max_docs, key)
+        places = places.where(pending)
+    parts = [r[0] for r in places.select(PART).distinct().collect()]
+    if not parts:
+        return run_summary(store.states().limit(0))
+    run = store.next_run()
+    rows = store.placed(parts).withColumn(DUE, pending)
+    before = F.when(is_unfinished(F.col("pii_scan_status")), F.struct("pii_flag", "pii_count", "pii_types", "pii_scanned_at"))
+    rows = rows.withColumn(BEFORE, before)
+    scanned = scan_documents(rows, policy, key=key, scanned_at=scanned_at, only=F.col(DUE))
+    if not policy.redacts:
+        store.log(_kept(scanned.where(DUE)), run)
+        return run_summary(store.logged(run))
+    folder = fresh_dir(spark, "store-staged")
+    scanned.write.parquet(folder)
+    staged = spark.read.schema(scanned.schema).parquet(folder)
+    done = _kept(staged.where(DUE))
+    store.log(done.withColumn("pii_scan_status", F.lit(REDACTING)), run)
+    store.overwrite(staged)
+    store.log(done, run + 1)
+    return run_summary(store.logged(run + 1))
+
+
+def _kept(scanned: DataFrame) -> DataFrame:
+    """The scanned rows, with the metadata of an unfinished run where there was one."""
+    names = ("pii_flag", "pii_count", "pii_types", "pii_scanned_at")
+    values = {n: F.when(F.col(BEFORE).isNotNull(), F.col(BEFORE)[n]).otherwise(F.col(n)) for n in names}
+    return scanned.withColumns({**values, "pii_scan_status": F.lit(None).cast("string")})
 
 
 def scan_unscanned_partitions(
@@ -112,12 +135,11 @@ def scan_unscanned_partitions(
 
 
 def scheduled_scan(
-    table: VersionedTable,
+    store: DocumentStore,
     policy: Policy | None = None,
     *,
     rounds: int | None = None,
     batch: int = SCHEDULED_BATCH,
-    key: str | Sequence[str] = "doc_id",
     scanned_at=None,
 ) -> DataFrame:
     """A scheduled run over all unscanned documents.
@@ -125,7 +147,7 @@ def scheduled_scan(
     With `rounds` a bounded one: at most `rounds` times `batch`, the rest next time.
     """
     most = None if rounds is None else rounds * batch
-    return scan_unscanned(table, policy, most, key=key, scanned_at=scanned_at)
+    return scan_unscanned(store, policy, most, scanned_at=scanned_at)
 
 
 def process_file(
@@ -177,15 +199,16 @@ def process_ragged_files(
 
 
 def coverage_report(
-    table: VersionedTable, policy: Policy | None = None, *, key: str = "doc_id", limit: int = 10, scanned_at=None
+    store: DocumentStore, policy: Policy | None = None, *, limit: int = 10, scanned_at=None
 ) -> dict[str, DataFrame]:
     """Coverage, a scan, coverage again, then what was found."""
-    before = coverage(table.read())
-    scan_unscanned(table, policy, key=key, scanned_at=scanned_at)
-    after = table.read()
+    spark = store.spark
+    before = spark.createDataFrame([tuple(coverage(store.places()).first())], "total long, scanned long, flagged long")
+    scan_unscanned(store, policy, scanned_at=scanned_at)
+    after = store.read()
     return {
         "before": before,
-        "after": coverage(after),
-        "types": type_breakdown(after, None),
-        "flagged": view_flagged(after, limit, key=key),
+        "after": coverage(store.places()),
+        "types": type_breakdown(store.places(), None),
+        "flagged": view_flagged(after, limit, key=store.key),
     }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,46 +70,6 @@ def append_documents(df: DataFrame, table: str, key: str = "doc_id") -> None:
     full.select(*(quoted(c) for c in target.columns)).write.insertInto(table)
 
 
-class VersionedTable:
-    """A Parquet table replaced as a whole by writing its next version.
-
-    ``<root>/data/v=N`` holds version N and ``<root>/versions`` one row per
-    finished version; readers take the highest.  A version is named only after
-    its data is complete, so a failed writer leaves the table as it was.  One
-    writer at a time.  Versions below the current one still hold the text they
-    were written with; purge them where raw text must not stay.
-    """
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def version(self) -> int | None:
-        """The current version; None before the first."""
-        try:
-            log = self.spark.read.schema("version long").parquet(f"{self.root}/versions")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return log.agg(F.max("version")).first()[0]
-
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version is None:
-            raise FileNotFoundError(f"no version of {self.root} has been written")
-        return self.spark.read.parquet(f"{self.root}/data/v={version}")
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """Make `df` the next version.  It may be derived from the current one."""
-        version = (self.version() or 0) + 1
-        path = f"{self.root}/data/v={version}"
-        df.write.mode("overwrite").parquet(path)
-        named = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
-        named.write.mode("append").parquet(f"{self.root}/versions")
-        return self.spark.read.parquet(path)
-
-
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions that occur in `df`, which must hold them whole.
 

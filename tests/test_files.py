@@ -9,7 +9,7 @@ from cloakwork.functions.text import clean_utf8
 from cloakwork.plans.batch import documents_to_export, import_results, run_batch
 from cloakwork.plans.scans import process_file, with_metadata
 from cloakwork.policy import Policy
-from cloakwork.sinks.tables import VersionedTable
+from cloakwork.sinks.store import DocumentStore
 from cloakwork.sources.detector_output import read_detector_output
 from cloakwork.sources.documents import (
     payload_documents,
@@ -241,8 +241,8 @@ def test_batch_run_takes_each_document_once(spark, tmp_path):
         F.col("id").alias("doc_id"),
         F.when(F.col("id") % 10 == 0, F.lit("short")).otherwise(F.lit("Write to a@b.org about this")).alias("body"),
     )
-    store = VersionedTable(spark, str(tmp_path / "index"))
-    store.write(with_metadata(docs))
+    store = DocumentStore.create(spark, docs.schema, buckets=2)
+    store.append(docs)
     first = run_batch(store, max_docs=20)
     assert first.where("pii_scan_status = 'complete'").count() == 20
     assert documents_to_export(store.read(), None).count() == 7

@@ -9,16 +9,13 @@ from cloakwork.functions.text import scanned_at_text
 from cloakwork.operators import entities, filters, keyed, reports
 from cloakwork.operators.scan import detected_entities, scan_documents
 from cloakwork.plans.scans import (
-    coverage_report,
-    scan_unscanned,
     scan_unscanned_partitions,
-    scheduled_scan,
     with_metadata,
 )
 from cloakwork.policy import Policy
 from cloakwork.rules import FIRST_NAMES
 from cloakwork.sinks import exports
-from cloakwork.sinks.tables import VersionedTable, append_documents, create_index
+from cloakwork.sinks.tables import append_documents, create_index
 from cloakwork.corpus import generate_corpus
 from cloakwork.sources.shared import spread
 
@@ -211,25 +208,6 @@ def test_names_by_join_with_one_name_everywhere(spark):
     assert entities.name_entities(docs, names, broadcast_bytes=0).count() == 3000
 
 
-def test_versioned_table(spark, tmp_path, table):
-    store = VersionedTable(spark, str(tmp_path / "index"))
-    assert store.version() is None
-    with pytest.raises(FileNotFoundError):
-        store.read()
-    store.write(table)
-    store.write(store.read().where("doc_id < 3"))
-    assert store.version() == 2 and sorted(ids(store.read())) == [1, 2]
-
-
-def test_a_failed_write_leaves_the_table(spark, tmp_path, table):
-    store = VersionedTable(spark, str(tmp_path / "index"))
-    store.write(table)
-    broken = store.read().withColumn("x", F.raise_error(F.lit("boom")).cast("string"))
-    with pytest.raises(Exception, match="boom"):
-        store.write(broken)
-    assert store.version() == 1 and store.read().count() == 5
-
-
 def text_table(spark, n=60):
     return spark.range(n).select(
         F.col("id").alias("doc_id"),
@@ -238,26 +216,6 @@ def text_table(spark, n=60):
     )
 
 
-def test_scan_unscanned_with_and_without_a_cap(spark, tmp_path):
-    store = VersionedTable(spark, str(tmp_path / "index"))
-    store.write(with_metadata(text_table(spark)))
-    assert tuple(scan_unscanned(store, max_docs=25).first()) == (25, 25)
-    assert sorted(ids(filters.scanned(store.read()))) == list(range(25))
-    stamp = store.read().where("doc_id = 0").first().pii_scanned_at
-    assert tuple(scan_unscanned(store).first()) == (35, 35)
-    assert store.read().where("doc_id = 0").first().pii_scanned_at == stamp
-    version = store.version()
-    assert tuple(scan_unscanned(store).first()) == (0, 0)
-    assert store.version() == version
-
-
-def test_scheduled_scan_takes_what_is_left_next_time(spark, tmp_path):
-    store = VersionedTable(spark, str(tmp_path / "index"))
-    store.write(with_metadata(text_table(spark)))
-    done = [tuple(scheduled_scan(store, rounds=5, batch=5).first())[0] for _ in range(4)]
-    assert done == [25, 25, 10, 0]
-
-
 def test_only_partitions_with_unscanned_documents_are_rewritten(spark, tmp_path):
     path = str(tmp_path / "index")
     start = scan_documents(with_metadata(text_table(spark)), only=F.col("day") != "d1")
@@ -279,16 +237,6 @@ def test_a_capped_scan_in_place_touches_the_partitions_of_its_documents(spark, t
     assert sorted(ids(filters.scanned(spark.read.parquet(path)))) == list(range(25))
 
 
-def test_coverage_report(spark, tmp_path):
-    store = VersionedTable(spark, str(tmp_path / "index"))
-    store.write(with_metadata(text_table(spark)))
-    report = coverage_report(store, limit=3)
-    assert tuple(report["before"].first()) == (60, 0, 0)
-    assert tuple(report["after"].first()) == (60, 60, 60)
-    assert [tuple(r) for r in report["types"].collect()] == [("EMAIL", 60)]
-    assert ids(report["flagged"]) == [0, 1, 2]
-
-
 def test_create_index_and_append(spark):
     fields = text_table(spark).drop("day").schema
     assert create_index(spark, "docs_plain", fields) is True
