@@ -40,6 +40,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ END = " "
 #: Beginnings after which all words give the same evidence, to this, are kept as one.
 SAME = 0.005
 #: Words whose evidence a worker keeps at a time, and texts that it has as strings.
-MOST_VALUES, TEXTS_AT_ONCE = 100_000, 256
+MOST_VALUES, TEXTS_AT_ONCE, CONTEXTS_OF = 100_000, 256, 64
 
 WORD = re.compile(r"\w+")
 CLASSES = (0, 1)
@@ -141,18 +142,18 @@ class Scorer:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (label, fold, word before the last, last word, word) of each batch."""
+    """Distinct (label, fold, the two words before as a number, word) of some texts at a time."""
     for batch in batches:
-        seen: set[tuple] = set()
-        for label, fold, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = words(text)
-            seen.update(zip([label] * len(own), [fold] * len(own), ["", "", *own], ["", *own], own))
-        if seen:
-            columns = list(zip(*seen))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int32()) for c in columns[:2]), *(pa.array(c, pa.string()) for c in columns[2:])],
-                ["label", "fold", "u", "v", "w"],
-            )
+        for part in (batch.slice(k, CONTEXTS_OF) for k in range(0, batch.num_rows, CONTEXTS_OF)):
+            seen: set[tuple] = set()
+            for label, fold, text in zip(*(c.to_pylist() for c in part.columns)):
+                own = words(text)
+                before = [xxhash.xxh64_intdigest(f"{u} {v}") >> 1 for u, v in zip(["", "", *own], ["", *own])]
+                seen.update(zip([label] * len(own), [fold] * len(own), before, own))
+            if seen:
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+                arrays = [pa.array(c, kind) for c, kind in zip(zip(*seen), kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, ["label", "fold", "before", "w"])
 
 
 def fold_of(text: str | None) -> int:
@@ -170,7 +171,7 @@ def _beginnings(sample: DataFrame) -> DataFrame:
 
     `t` has an entry for each fold left out, and one for all.
     """
-    contexts = sample.select("label", "fold", "text").mapInArrow(_contexts, "label int, fold int, u string, v string, w string")
+    contexts = sample.select("label", "fold", "text").mapInArrow(_contexts, "label int, fold int, before bigint, w string")
     parts = [(c, k) for c in CLASSES for k in range(FOLDS)]
     counted = contexts.distinct().groupBy("w").agg(
         *(F.count_if((F.col("label") == c) & (F.col("fold") == k)).alias(f"c{c}_{k}") for c, k in parts)
