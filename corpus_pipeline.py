@@ -21,13 +21,24 @@ from cloakwork.llm import language, order_minhash, packing, secret_scan, toxicit
 from cloakwork.llm.shared import free_name, let_workers_import, read, staged
 
 
+#: Rows that are handed to a Python worker at once, on either side of the hand-over: whole
+#: texts are kilobytes each, and Spark's default of 10,000 rows is tens of megabytes a task.
+ROWS_AT_ONCE, ROWS_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _prepare(spark: SparkSession) -> None:
+    let_workers_import(spark)
+    if not 0 < int(spark.conf.get(ROWS_SETTING)) <= ROWS_AT_ONCE:
+        spark.conf.set(ROWS_SETTING, str(ROWS_AT_ONCE))
+
+
 def _own_columns(docs: DataFrame, df: DataFrame) -> DataFrame:
     return df.select(*(df[f"`{c}`"] for c in docs.columns))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not called toxic, by a scorer fitted on the labelled ones."""
-    let_workers_import(spark)
+    _prepare(spark)
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     scorer = toxicity.fit(docs, labels)
     score, predicted = free_name(docs, "toxic_score"), free_name(docs, "toxic_predicted")
@@ -37,7 +48,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those known; texts without any letter go."""
-    let_workers_import(spark)
+    _prepare(spark)
     names = [free_name(docs, n) for n in ("found_lang", "found_score", "found_share")]
     net = language.fit(docs)
     if net is None:
@@ -48,7 +59,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    let_workers_import(spark)
+    _prepare(spark)
     names = [free_name(docs, n) for n in ("copy_class", "copy_size", "copy_kept")]
     classed = order_minhash.near_duplicates(docs, class_as=names[0], size_as=names[1], kept_as=names[2])
     return _own_columns(docs, classed.where(F.col(names[2])))
@@ -56,7 +67,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced, and the number of characters put right."""
-    let_workers_import(spark)
+    _prepare(spark)
     name = free_name(docs, "found_secrets")
     clean = secret_scan.redact(secret_scan.scan(docs, out=name), secrets=name)
     if "n_chars" in docs.columns:
@@ -68,7 +79,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
-    let_workers_import(spark)
+    _prepare(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(docs, vocabulary, public_tokenizers.PATTERN)
 
