@@ -15,15 +15,18 @@ can hold.  The index is cut into blocks of entries; a query is answered by every
 and the best of the blocks' answers are its result.  Only the pivots, a bounded sample,
 are fitted; every row is posted.
 
-Defined results: vectors that are null, empty, zero, of another length than the most, or
-hold null or non-finite components take no part, neither do null ids; rows of equal id
-and vector are one; equal scores go to the smaller id; fewer candidates than asked for
+Vectors of different lengths have no inner product: each length has an index of its own, and
+a query is answered among the vectors of its length.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components
+take no part, neither do null ids; rows of equal id and vector are one; equal scores go to the smaller id; fewer candidates than asked for
 give fewer rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,17 +139,23 @@ def nearest(
     prefix: int = PREFIX,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which `is_query` holds."""
-    spark = df.sparkSession
     taken = df.where(valid_vector(vector) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("id"),
         F.transform(vector, lambda x: x.cast("double")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    sizes = taken.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], result)
-    taken = taken.where(F.size("v") == sizes["size"]).dropDuplicates(["id", "v"])
+    # Lengths are few numbers; those that no query has need no index.
+    lengths = taken.where("asks").select(F.size("v").alias("n")).distinct().orderBy("n").collect()
+    if not lengths:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of_each = [_nearest_alike(taken.where(F.size("v") == r["n"]), k, n_pivots, prefix) for r in lengths]
+    return reduce(DataFrame.unionByName, of_each)
+
+
+def _nearest_alike(taken: DataFrame, k: int, n_pivots: int, prefix: int) -> DataFrame:
+    """The result of `nearest` among vectors of one length, given as (id, v, asks)."""
+    spark = taken.sparkSession
+    taken = taken.dropDuplicates(["id", "v"])
     # Of an entry's ids no more than the k + 1 smallest can be in a result.
     copies = Window.partitionBy("v").orderBy("id")
     entries = taken.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)

@@ -33,6 +33,15 @@ def test_nearest_odd_rows(llm):
     assert I.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_of_every_length_are_answered_among_their_own(llm):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [2.0, 1.0]), (20, [3.0]), (21, [1.0]), (22, [-2.0]), (40, [1.0, 1.0, 1.0])]
+    df = llm.createDataFrame([(*r, 0, "x") for r in rows], ODD)
+    got = I.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, 2.0), (0, 2, 1, 0.5), (20, 1, 21, 3.0), (20, 2, 22, -6.0)]
+
+
 def test_many_copies_give_the_smallest_ids(llm):
     from pyspark.sql import functions as F
 
