@@ -348,7 +348,8 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_dir(spark, "stream")
-    stream = stream_table(spark, sf_dir, DOCUMENT_SCHEMA, glob="documents.parquet")
+    # The table may be one file or a folder of them; a stream's path may be a file only as a pattern.
+    stream = stream_table(spark, f"{sf_dir}/{{documents.parquet}}", DOCUMENT_SCHEMA)
     running = stream_to_index(stream_scan(stream), f"{out}/index", f"{out}/checkpoint")
     running.awaitTermination()
     return metadata(spark.read.parquet(f"{out}/index"), "text")

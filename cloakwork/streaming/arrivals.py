@@ -58,7 +58,10 @@ def stream_raw_documents(
 def stream_table(
     spark: SparkSession, directory: str, schema: T.StructType | str, *, glob: str = "*.parquet", files_per_batch: int | None = FILES_PER_BATCH
 ) -> DataFrame:
-    """Parquet files of documents as they land."""
+    """Parquet files of documents as they land.
+
+    `directory` may be a pattern, for folders or files; then subfolders give no partition columns.
+    """
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import frames
 from cloakwork.functions.text import clean_utf8
 from cloakwork.plans.batch import documents_to_export, import_results, run_batch
 from cloakwork.plans.scans import process_file, with_metadata
@@ -252,3 +253,19 @@ def test_batch_run_takes_each_document_once(spark, tmp_path):
     assert table.where("pii_flag is null").count() == 3  # no text, never sent
     assert run_batch(store) is None
     assert table.where("body like '%[EMAIL]%'").count() == 0
+
+
+@pytest.mark.parametrize("one_file", [False, True])
+def test_a_table_is_streamed_from_a_folder_and_from_one_file(spark, tmp_path, one_file):
+    rows = [(i, f"Write to user{i}@mail.org about it", "en", "web", 33) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = tmp_path / "documents.parquet"
+    if one_file:
+        table.coalesce(1).write.parquet(str(tmp_path / "made"))
+        next((tmp_path / "made").glob("part-*")).rename(folder)
+    else:
+        table.repartition(3).write.parquet(str(folder))
+    # Another table beside it is not read.
+    spark.range(2).write.parquet(str(tmp_path / "labels.parquet"))
+    got = frames.stream_scan_documents(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.pii_types, "@" in r.text) for r in got) == [(i, "EMAIL", False) for i in range(6)]
