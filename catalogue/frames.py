@@ -37,7 +37,7 @@ from cloakwork.rules import FIRST_NAMES, Rule
 from cloakwork.sinks import exports, tables
 from cloakwork.sinks.store import PART, DocumentStore
 from cloakwork.sources import checked, detector_output, documents
-from cloakwork.sources.shared import fresh_dir, spread
+from cloakwork.sources.shared import fresh_dir, spread, spread_rows
 from cloakwork.streaming import stream_new_documents, stream_scan, stream_table, stream_to_index
 from cloakwork.streaming.index import stream_dual_write
 
@@ -102,7 +102,7 @@ def state(df: DataFrame, *extra: str) -> DataFrame:
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document with known content for every order."""
-    keys = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
+    keys = spread_rows(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
     return corpus.generate_documents(keys)
 
 

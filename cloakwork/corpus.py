@@ -98,6 +98,8 @@ SLOT_TYPES = {
 }
 
 PRIME = 2_147_483_647
+# Slots that one step of making documents fills.
+SLOTS_PER_STEP = 3
 
 
 def sample_documents(spark: SparkSession) -> DataFrame:
@@ -193,10 +195,25 @@ def generate_documents(
             "__pii": has_pii,
             "__template": F.expr(draw(name, 37, len(PII_TEMPLATES), seed)).cast("int"),
             "__number": _digits(name, 38, 5, seed),
-            **{f"__{slot}": value for slot, value in _slots(name, seed).items()},
         },
     )
 
+    def needed(slot: str) -> Column:
+        """Whether the document's template has the slot."""
+        test = F.lit(False)
+        for flag, templates in ((True, PII_TEMPLATES), (False, CLEAN_TEMPLATES)):
+            used = [i for i, t in enumerate(templates) if ("slot", slot) in template_parts(t[1])]
+            if used:
+                test = test | ((F.col("__pii") == F.lit(flag)) & F.col("__template").isin(*used))
+        return test
+
+    # A few slots at a time: Java interprets a method of more than 8,000 bytes of code
+    # and never compiles it, and each of these steps becomes a method.
+    slots = list(_slots(name, seed).items())
+    for first in range(0, len(slots), SLOTS_PER_STEP):
+        some = slots[first : first + SLOTS_PER_STEP]
+        base = hold(base, {f"__{slot}": F.when(needed(slot), value) for slot, value in some})
+
     def column(kind: str, part: str) -> Column:
         return F.lit(part) if kind == "text" else F.col(f"__{part}")
 
@@ -232,9 +249,9 @@ def generate_documents(
         {
             "title": choose(lambda t: F.concat(F.lit(f"{t[0]} #"), F.col("__number")), lambda t: F.lit(t[0])),
             "body": choose(lambda t: body(t[1]), lambda t: body(t[1])),
-            "truth": choose(lambda t: truth(t[1]), lambda t: spans.no_entities()),
         },
     )
+    documents = hold(documents, {"truth": choose(lambda t: truth(t[1]), lambda t: spans.no_entities())})
     return documents.select(k, "title", "body", "truth")
 
 

@@ -121,30 +121,24 @@ def _by_rule(match: Column, rules: Sequence[Rule], value: Callable[[Rule], Colum
     return value(last) if chosen is None else chosen.otherwise(value(last))
 
 
-def _score(match: Column, rules: Sequence[Rule]) -> Column:
-    def score(rule: Rule) -> Column:
-        if rule.check is None:
-            return F.lit(rule.score)
-        digits = F.regexp_replace(match, "[^0-9]", "")
-        return F.when(F.call_function("luhn_check", digits), rule.score).otherwise(rule.fail_score)
+def _rule_score(match: Column, rule: Rule) -> Column:
+    if rule.check is None:
+        return F.lit(rule.score)
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    return F.when(F.call_function("luhn_check", digits), rule.score).otherwise(rule.fail_score)
+
 
-    return _by_rule(match, rules, score)
+def _score(match: Column, rules: Sequence[Rule]) -> Column:
+    return _by_rule(match, rules, lambda r: _rule_score(match, r))
 
 
 def _type(match: Column, rules: Sequence[Rule]) -> Column:
     return _by_rule(match, rules, lambda r: F.lit(r.type))
 
 
-def _cue(match: Column, rules: Sequence[Rule]) -> Column | None:
-    """The part of a match that announces the span; None when no rule has one."""
-    cued = [r for r in rules if r.cue]
-    if not cued:
-        return None
-    if len(rules) == len(cued) == 1:
-        return F.regexp_extract(match, rf"\A{cued[0].cue}", 0)
-    return _by_rule(
-        match, rules, lambda r: F.regexp_extract(match, rf"\A{r.cue}", 0) if r.cue else F.lit("")
-    )
+def _rule_cue(match: Column, rule: Rule) -> Column:
+    """The part of a match that announces the span."""
+    return F.regexp_extract(match, rf"\A{rule.cue}", 0)
 
 
 def _accepted(match: Column, rules: Sequence[Rule], threshold: float) -> Column | None:
@@ -169,11 +163,15 @@ def redact_matches(text: Column, matches: Column, rules: Sequence[Rule], thresho
         return text
 
     def token(match: Column) -> Column:
-        tag = F.concat(F.lit("["), _type(match, rules), F.lit("]"))
-        cue = _cue(match, rules)
-        tag = tag if cue is None else F.concat(cue, tag)
-        accepted = _accepted(match, rules, threshold)
-        return tag if accepted is None else F.when(accepted, tag).otherwise(match)
+        def written(rule: Rule) -> Column:
+            tag = F.lit(f"[{rule.type}]")
+            tag = F.concat(_rule_cue(match, rule), tag) if rule.cue else tag
+            if rule.min_score >= threshold:
+                return tag
+            return F.when(_rule_score(match, rule) >= threshold, tag).otherwise(match)
+
+        # One walk through the rules, whose tests are most of the work on a match.
+        return _by_rule(match, rules, written)
 
     # The last piece has no match behind it; `zip_with` fills in a null there.
     joined = F.array_join(
@@ -197,14 +195,17 @@ def find_entities(text: Column, rules: Sequence[Rule]) -> Column:
         return no_entities()
 
     def entity(match: Column, end: Column) -> Column:
-        cue = _cue(match, rules)
-        begin = end - F.length(match)
-        return F.struct(
-            _type(match, rules).alias("type"),
-            _score(match, rules).alias("score"),
-            (begin if cue is None else begin + F.length(cue)).alias("begin"),
-            end.alias("end"),
-        ).cast(ENTITY_TYPE)
+        def as_found(rule: Rule) -> Column:
+            begin = end - F.length(match)
+            return F.struct(
+                F.lit(rule.type).alias("type"),
+                _rule_score(match, rule).alias("score"),
+                (begin + F.length(_rule_cue(match, rule)) if rule.cue else begin).alias("begin"),
+                end.alias("end"),
+            ).cast(ENTITY_TYPE)
+
+        # One walk through the rules, whose tests are most of the work on a match.
+        return _by_rule(match, rules, as_found)
 
     def located(matches: Column) -> Column:
         # The last piece has no match behind it.

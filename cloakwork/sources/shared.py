@@ -47,3 +47,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+ROWS_PER_TASK = 50_000
+
+
+def spread_rows(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """A freshly read table in tasks of about so many rows, and over all cores.
+
+    For short rows that much work is done on: a split is a number of bytes, and of
+    keys alone it holds millions.  Only the count is read beforehand.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-df.count() // rows_per_task))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
