@@ -127,8 +127,9 @@ def scan_unscanned_partitions(
     parts = due.select(quoted(partition_by).alias("__part")).distinct()
     count = parts.count()
     if count:
-        # Holds every document due, so the cap falls on the same ones again.
-        touched = table.join(parts, quoted(partition_by).eqNullSafe(F.col("__part")), "left_semi")
+        # Holds every document due, so the cap falls on the same ones again.  Broadcast: a
+        # shuffle would bring a partition's texts to one task.
+        touched = table.join(F.broadcast(parts), quoted(partition_by).eqNullSafe(F.col("__part")), "left_semi")
         scanned = scan_pending(touched, policy, max_docs, key=key, scanned_at=scanned_at)
         overwrite_partitions(scanned, path, [partition_by])
     return count

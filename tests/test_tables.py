@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions.text import scanned_at_text
 from cloakwork.operators import entities, filters, keyed, reports
 from cloakwork.operators.scan import detected_entities, scan_documents
+from cloakwork.plans import scans
 from cloakwork.plans.scans import (
     scan_unscanned_partitions,
     with_metadata,
@@ -15,9 +16,9 @@ from cloakwork.plans.scans import (
 from cloakwork.policy import Policy
 from cloakwork.rules import FIRST_NAMES
 from cloakwork.sinks import exports
-from cloakwork.sinks.tables import append_documents, create_index
+from cloakwork.sinks.tables import append_documents, create_index, overwrite_partitions
 from cloakwork.corpus import generate_corpus
-from cloakwork.sources.shared import spread
+from cloakwork.sources.shared import spread, spread_rows
 
 SCHEMA = "doc_id long, body string, pii_flag boolean, pii_count int, pii_types array<string>, pii_scanned_at timestamp"
 DAY = dt.datetime(2025, 5, 1, 10)
@@ -309,3 +310,31 @@ def test_spread_leaves_tables_with_enough_splits(spark):
     many = spark.range(0, 100, 1, 16)
     assert spread(many) is many
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rewriting_partitions_brings_no_texts_of_a_partition_to_one_task(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "index"), []
+    with_metadata(text_table(spark)).write.partitionBy("day").parquet(path)
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return overwrite_partitions(df, *args)
+
+    monkeypatch.setattr(scans, "overwrite_partitions", seen)
+    # As the planner sees a large table.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert scan_unscanned_partitions(spark, path, "day") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+    assert filters.unscanned(spark.read.parquet(path)).count() == 0
+
+
+def test_spread_rows_gives_tasks_of_bounded_size(spark):
+    rows = spread_rows(spark.range(0, 1000, 1, 1), 100)
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
+    assert max(rows.rdd.glom().map(len).collect()) <= 110
+    assert spread_rows(spark.range(0, 1000, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 16)
+    assert spread_rows(many) is many
