@@ -116,11 +116,16 @@ FILE_SCHEMA = "doc_id long, title string, body string"
 SECOND_OFFSET = 10_000_000
 
 
-def write_json_files(spark: SparkSession, sf_dir: str) -> str:
-    """A JSON file for every supplier, an array of two generated documents."""
+#: Keys of a file's documents; the files grow in number with the tables.
+KEYS_PER_FILE = 100
+#: Files that one task writes.
+FILES_PER_TASK = 250
+
+
+def file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, pair`` for every supplier, an array of two generated documents."""
     first = supplier_documents(spark, sf_dir)
     second = supplier_documents(spark, sf_dir, seed=1).toDF("doc_id", "title2", "body2")
-    both = first.join(second, "doc_id")
     pair = F.array(
         F.struct("doc_id", "title", "body"),
         F.struct(
@@ -129,8 +134,41 @@ def write_json_files(spark: SparkSession, sf_dir: str) -> str:
             F.col("body2").alias("body"),
         ),
     )
+    return first.join(second, "doc_id").select("doc_id", pair.alias("pair"))
+
+
+def supplier_tasks(spark: SparkSession, sf_dir: str, keys_per_task: int) -> int:
+    """A task for so many suppliers, one per core at least."""
+    keys = table(spark, sf_dir, "supplier").count()
+    return max(spark.sparkContext.defaultParallelism, -(-keys // keys_per_task))
+
+
+def write_small_files(spark: SparkSession, lines: DataFrame, path: str, tasks: int) -> str:
+    """A file for every row, written by many tasks at once.
+
+    On a local disk Hadoop starts a process for each mode it sets, of files and of checksum
+    files.  These are scratch files without checksums, and tasks move their own into place.
+    """
+    writer = lines.repartition(tasks).write.option("maxRecordsPerFile", 1)
+    writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer = writer.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    writer.option("fs.file.impl.disable.cache", True).text(path)
+    return path
+
+
+def write_pair_files(spark: SparkSession, sf_dir: str) -> str:
+    """A JSON file for every supplier, an array of two generated documents."""
+    lines = file_pairs(spark, sf_dir).select(F.to_json("pair"))
+    return write_small_files(spark, lines, fresh_dir(spark, "json-files"), supplier_tasks(spark, sf_dir, FILES_PER_TASK))
+
+
+def write_json_files(spark: SparkSession, sf_dir: str) -> str:
+    """JSON files, each an array of two generated documents for every supplier of a range of keys."""
+    pairs = file_pairs(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / KEYS_PER_FILE))
+    tasks = supplier_tasks(spark, sf_dir, KEYS_PER_FILE * FILES_PER_TASK)
+    files = pairs.repartition(tasks, "file").groupBy("file").agg(F.flatten(F.collect_list("pair")).alias("rows"))
     path = fresh_dir(spark, "json-files")
-    both.select(F.to_json(pair)).write.option("maxRecordsPerFile", 1).text(path)
+    files.select(F.to_json("rows")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -187,22 +225,18 @@ def read_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_dir(spark, "raw-files")
-    supplier_documents(spark, sf_dir).select("body").write.option("maxRecordsPerFile", 1).text(path)
+    bodies, tasks = supplier_documents(spark, sf_dir).select("body"), supplier_tasks(spark, sf_dir, FILES_PER_TASK)
+    path = write_small_files(spark, bodies, fresh_dir(spark, "raw-files"), tasks)
     return documents.read_raw_documents(spark, path).select("body")
 
 
 @query
 def read_ragged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_json_files(spark, sf_dir)
+    path = write_pair_files(spark, sf_dir)
     fields = documents.ragged_text_fields(documents.read_ragged_documents(spark, path))
     return fields.select("position", "field", "text")
 
 
-#: Keys of a file's documents; the files grow in number with the tables.
-KEYS_PER_FILE = 100
-
-
 def write_ragged_files(spark: SparkSession, sf_dir: str, malformed: bool) -> str:
     """JSON lists that hold documents and conversation rows, objects without a common schema.
 

@@ -269,3 +269,22 @@ def test_a_table_is_streamed_from_a_folder_and_from_one_file(spark, tmp_path, on
     spark.range(2).write.parquet(str(tmp_path / "labels.parquet"))
     got = frames.stream_scan_documents(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.pii_types, "@" in r.text) for r in got) == [(i, "EMAIL", False) for i in range(6)]
+
+
+def test_files_of_documents_are_written_by_all_tasks_and_grow_slower_than_documents(spark, tmp_path):
+    suppliers = spark.range(1, 201).withColumnRenamed("id", "s_suppkey").coalesce(1)
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    folder = str(tmp_path)
+
+    def files(path):
+        return [f.name for f in (tmp_path / path).iterdir() if f.name.startswith("part-")]
+
+    raw = files(frames.write_small_files(spark, frames.supplier_documents(spark, folder).select("body"), f"{folder}/raw", 4))
+    assert len(raw) == 200 and len({name.split("-")[1] for name in raw}) == 4
+    pairs = files(frames.write_pair_files(spark, folder))
+    assert len(pairs) == 200 and len({name.split("-")[1] for name in pairs}) == 4
+    # Keys 1 to 200 lie in three ranges of a hundred.
+    assert len(files(frames.write_json_files(spark, folder))) == 3
+    rows = frames.read_json_documents(spark, folder).collect()
+    expected = [*range(1, 201), *range(frames.SECOND_OFFSET + 1, frames.SECOND_OFFSET + 201)]
+    assert sorted(r.doc_id for r in rows) == expected
