@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import frames
 from cloakwork import PRESETS, Policy, Rule
 from cloakwork.corpus import generate_corpus, rule_recall, sample_documents
 from cloakwork.functions.text import combine_text, scanned_at_text, text_columns
@@ -313,3 +314,9 @@ def test_threshold_and_types_choose_rules():
 def test_score_equal_to_the_threshold_is_kept(spark):
     row = one(spark, {"body": "card number 4111111111111112 here"}, policy=Policy(threshold=0.75))
     assert row.pii_types == ["CREDIT_DEBIT_NUMBER"]
+
+
+def test_tasks_that_make_documents_grow_in_number_with_the_orders(spark, tmp_path):
+    orders = spark.range(200_001).withColumnRenamed("id", "o_orderkey").repartition(4)
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    assert frames.generated(spark, str(tmp_path)).rdd.getNumPartitions() == 5
