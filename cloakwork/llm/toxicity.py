@@ -35,11 +35,12 @@ import functools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,41 @@ def discounts(counts: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))])
 
 
+def _numbered(names: pa.Array) -> dict[str, int]:
+    return dict(zip(names.to_pylist(), range(len(names))))
+
+
+class Numbers(Mapping):
+    """A number for each beginning, from 0 in order.
+
+    The driver, which looks up none, holds one Arrow array; a worker gets a dict.
+    """
+
+    def __init__(self, names: pa.Array) -> None:
+        self.names = names
+
+    def __reduce__(self):
+        return _numbered, (self.names,)
+
+    @functools.cached_property
+    def _found(self) -> dict[str, int]:
+        return _numbered(self.names)
+
+    def __getitem__(self, beginning: str) -> int:
+        return self._found[beginning]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._found)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def _parents(names: pa.Array) -> np.ndarray:
+    """For each beginning the number of that without its last character; the empty one's own."""
+    return pc.index_in(pc.utf8_slice_codeunits(names, 0, -1), names).to_numpy().astype(np.int64)
+
+
 @dataclass
 class Model:
     """By beginning: the log-ratio of the classes up to there, and of going on as neither has.
@@ -82,7 +118,7 @@ class Model:
     Models may share the numbers; a beginning that one doesn't have is NaN there.
     """
 
-    numbers: dict[str, int]
+    numbers: Mapping[str, int]
     upto: np.ndarray
     leaving: np.ndarray
     rho: float = RHO
@@ -99,19 +135,19 @@ class Model:
 
     def compact(self, same: float = SAME) -> Model:
         """The model without beginnings below one whose words all give the same evidence."""
-        names = list(self.numbers)
-        whole = np.array([n.endswith(END) for n in names])
+        names = self.numbers.names if isinstance(self.numbers, Numbers) else pa.array(self.numbers, pa.string())
+        whole = pc.ends_with(names, END).to_numpy(zero_copy_only=False)
         value = np.log1p(self.rho * np.expm1(np.minimum(self.upto + np.where(whole, 0, self.leaving), 50.0)))
-        parent = np.array([self.numbers[n[:-1]] for n in names], np.int64)
+        parent = _parents(names)
         low, high = value.copy(), value.copy()
-        lengths = np.array([len(n) for n in names])
+        lengths = pc.utf8_length(names).to_numpy()
         for length in range(lengths.max(), 0, -1):
             own = np.flatnonzero(lengths == length)
             np.minimum.at(low, parent[own], low[own])
             np.maximum.at(high, parent[own], high[own])
         kept = np.flatnonzero((high - low)[parent] >= same)
         kept = np.union1d(kept, [0])
-        return Model({names[i]: k for k, i in enumerate(kept.tolist())}, self.upto[kept], self.leaving[kept], self.rho)
+        return Model(Numbers(names.take(pa.array(kept))), self.upto[kept], self.leaving[kept], self.rho)
 
     def value(self, word: str) -> float:
         found = self.values.get(word)
@@ -187,54 +223,92 @@ def _beginnings(sample: DataFrame) -> DataFrame:
 
 
 def _models(sample: DataFrame, rho: float) -> list[Model]:
-    """The models without each fold, and that of all; none where a class has no word."""
+    """The models without each fold, and that of all; none where a class has no word.
+
+    The driver holds the counts by class and fold, and those of one model at a time.
+    """
     rows = staged(_beginnings(sample), "toxicity-beginnings")
+    parts = [[f"c{c}_{k}" for k in range(FOLDS)] for c in CLASSES]
     counts = [
-        [functools.reduce(lambda a, b: a + b, (F.col(f"c{c}_{j}") for j in range(FOLDS) if j != k)) for c in CLASSES]
+        [functools.reduce(lambda a, b: a + b, (F.col(own[j]) for j in range(FOLDS) if j != k)) for own in parts]
         + [F.col(f"t_{k}")]
         for k in range(FOLDS + 1)
     ]
-    of_counts = rows.where("beginning <> ''").agg(
+    both = counts[FOLDS][0] + counts[FOLDS][1]
+    letters, most, *of_counts = rows.where("beginning <> ''").agg(
         F.count_distinct(F.substring("beginning", -1, 1)),
+        # The whole words' counts sum to those of the empty beginning, which has the most.
+        F.sum(F.when(F.endswith("beginning", F.lit(END)), both)),
         *(F.count_if(counts[m][k] == n) for m in range(FOLDS + 1) for k in range(3) for n in (1, 2, 3, 4)),
     ).first()
-    kept = rows.where((counts[FOLDS][0] + counts[FOLDS][1] >= LEAST) | (F.col("beginning") == ""))
-    table = kept.select("beginning", *(x.cast("long").alias(f"x{m}_{k}") for m, own in enumerate(counts) for k, x in enumerate(own))).toArrow()
-    beginnings = table["beginning"].to_pylist()
-    order = sorted(range(len(beginnings)), key=lambda i: (len(beginnings[i]), beginnings[i]))
-    names = [beginnings[i] for i in order]
-    numbers = {b: i for i, b in enumerate(names)}
-    x = np.stack([table[c].to_numpy()[order] for c in table.column_names[1:]]).reshape(FOLDS + 1, 3, len(names))
-    if not names or not x[FOLDS, :2, 0].all():
+    kept = rows.where((both >= LEAST) | (F.col("beginning") == ""))
+    kind = "int" if (most or 0) < 1 << 31 else "long"
+    columns = [*parts[0], *parts[1], *(f"t_{k}" for k in range(FOLDS + 1))]
+    table = kept.select("beginning", *(F.col(c).cast(kind).alias(c) for c in columns)).toArrow()
+    # In the order of length and then text, which has a beginning after what it goes on from.
+    sizes = pc.utf8_length(table["beginning"])
+    order = pc.sort_indices(pa.table([sizes, table["beginning"]], ["size", "beginning"]), [("size", "ascending"), ("beginning", "ascending")])
+    sizes = pc.take(sizes, order).to_numpy()
+    names = pc.take(table["beginning"], order).combine_chunks()
+    table = table.drop_columns("beginning")
+    seen = {}
+    for column in columns:
+        seen[column] = pc.take(table[column], order).to_numpy()
+        table = table.drop_columns(column)
+    del table, order
+    if not len(names) or not all(sum(int(seen[c][0]) for c in own) for own in parts):
         return []
-    parent = np.array([numbers[b[:-1]] for b in names])
-    ends = np.flatnonzero(np.diff([len(b) for b in names], append=-1)) + 1
+    numbers, parent = Numbers(names), _parents(names)
+    ends = np.flatnonzero(np.diff(sizes, append=-1)) + 1
     by_length = list(zip([1, *ends[1:-1].tolist()], ends[1:].tolist()))
-    least = np.array(of_counts[1:]).reshape(FOLDS + 1, 3, 4)
+    least = np.array(of_counts).reshape(FOLDS + 1, 3, 4)
     models = []
     for m in range(FOLDS + 1):
-        known = x[m, 0] + x[m, 1] >= LEAST
+        x = np.empty((3, len(parent)), np.int64)
+        for k, own in enumerate([*([c[j] for j in range(FOLDS) if j != m] for c in parts), [f"t_{m}"]]):
+            x[k] = seen[own[0]]
+            for c in own[1:]:
+                x[k] += seen[c]
+        known = x[0] + x[1] >= LEAST
         known[0] = True
-        upto, leaving = _ratios(x[m], known, parent, by_length, [discounts(row.tolist()) for row in least[m]], of_counts[0])
+        upto, leaving = _ratios(x, known, parent, by_length, [discounts(row.tolist()) for row in least[m]], letters)
         models.append(Model(numbers, np.where(known, upto, np.nan).astype(np.float32), leaving.astype(np.float32), rho))
     return models
 
 
 def _ratios(x, known, parent, by_length, taken_off, letters) -> tuple[np.ndarray, np.ndarray]:
-    """For each beginning the log-ratio up to there and that of what is set free after it."""
-    kept, free = np.zeros(x.shape), np.ones(x.shape)
-    for k in range(3):
-        kept[k, 1:] = np.where(known, np.maximum(x[k] - taken_off[k][np.minimum(x[k], 3)], 0), 0)[1:]
-        used = np.bincount(parent[1:], weights=kept[k, 1:], minlength=len(parent))
-        free[k] = np.where(x[k] > 0, np.maximum((x[k] - used) / np.maximum(x[k], 1), 1e-9), 1.0)
-    above = np.maximum(x[:, parent], 1)
-    shared = kept[2] / above[2] + free[2, parent] / max(1, letters)
-    toxic, ordinary = (kept[c] / above[c] + free[c, parent] * shared for c in (1, 0))
+    """For each beginning the log-ratio up to there and that of what is set free after it.
+
+    Counts that both classes share come last in `x` and are worked out first.
+    """
+
+    def discounted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a row of counts, the share that each beginning keeps, and what is set free after it."""
+        own = np.where(known, np.maximum(x[k] - taken_off[k][np.minimum(x[k], 3)], 0), 0)
+        own[0] = 0
+        free = np.bincount(parent[1:], weights=own[1:], minlength=len(parent))
+        np.subtract(x[k], free, out=free)
+        free /= np.maximum(x[k], 1)
+        np.maximum(free, 1e-9, out=free)
+        free[x[k] <= 0] = 1.0
+        own /= np.maximum(x[k, parent], 1)
+        return own, free
+
+    shared, free = discounted(2)
+    shared += free[parent] / max(1, letters)
+    step, free_toxic = discounted(1)
+    step += free_toxic[parent] * shared
+    ordinary, leaving = discounted(0)
+    shared *= leaving[parent]
+    ordinary += shared
+    step /= ordinary
+    np.log(step, out=step)
+    np.divide(free_toxic, leaving, out=leaving)
+    np.log(leaving, out=leaving)
     upto = np.zeros(len(parent))
-    step = np.log(toxic / ordinary)
     for start, end in by_length:
         upto[start:end] = upto[parent[start:end]] + step[start:end]
-    return upto, np.log(free[1] / free[0])
+    return upto, leaving
 
 
 def fit(
@@ -260,16 +334,19 @@ def fit(
     if not models:
         return Scorer(None, 0.0, 0.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(models[:FOLDS])
+    whole = models.pop()
+    models.clear()
 
     def evidence(column: pa.Array, fold: pa.Array) -> pa.Array:
         held = zip(column.to_pylist(), fold.to_pylist())
         return pa.array([shared.value[k].difference(t) for t, k in held], pa.float64())
 
     judged = chosen.select("label", F.arrow_udf(evidence, "double")("text", "fold").alias("x")).toArrow()
+    shared.destroy()
     x, y = (judged[c].to_numpy() for c in ("x", "label"))
     weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
     cut, _ = least_wrong_cut(x, y, weight)
-    return Scorer(models[FOLDS].compact(), cut, slope_at(x - cut, y, weight))
+    return Scorer(whole.compact(), cut, slope_at(x - cut, y, weight))
 
 
 def least_wrong_cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

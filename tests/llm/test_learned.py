@@ -2,7 +2,9 @@
 
 import collections
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -159,6 +161,27 @@ def test_models_against_counts_in_plain_python(llm):
     assert abs(models[-1].difference(text) - sum(each) / (3 + T.LENGTH_PRIOR)) < 1e-12
 
 
+def test_the_driver_holds_little_for_each_beginning(llm):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 10))) for _ in range(10_000)]
+    rows = [(k % 2, " ".join(rng.choices(words, k=150)), k % T.FOLDS) for k in range(300)]
+    sample = llm.createDataFrame(rows, "label int, text string, fold int").repartition(3)
+    tracemalloc.start()
+    try:
+        models = T._models(sample, T.RHO)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    n = len(models[0].numbers)
+    assert n > 20_000 and peak < 350 * n, peak / n
+    small = models[-1].compact()
+    packed = pickle.loads(pickle.dumps([*models, small]))
+    assert type(packed[0].numbers) is dict and all(m.numbers is packed[0].numbers for m in packed[:-1])
+    for one, other in zip([*models, small], packed):
+        assert list(one.numbers.items()) == list(other.numbers.items())
+        assert all(one.ratio(w) == other.ratio(w) for w in words[:200])
+
+
 def test_a_compact_model_gives_the_same_evidence():
     rng = random.Random(3)
     numbers = {"": 0}
